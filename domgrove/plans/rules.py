@@ -103,17 +103,15 @@ def _check(rules: Mapping[str, Rule]) -> None:
 
 def _one_look(tags: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     """All rules that look at single elements, in one pass over the elements."""
-    kind = "array<struct<rule:string,item:int,value:string>>"
-    hits = [
-        F.when(item.condition(), F.transform(
-            values_of(item.emit),
-            lambda value, i, name=name: F.struct(
-                F.lit(name).alias("rule"), i.alias("item"), value.alias("value"))))
-        .otherwise(F.array().cast(kind))
-        for name, item in rules.items()
-    ]
-    return tags.select("page_id", "node_id", F.explode(F.flatten(F.array(*hits))).alias("hit")
-                       ).select("page_id", "node_id", "hit.*")
+    def hits(name: str, item: Rule) -> Column:
+        found = F.transform(values_of(item.emit), lambda value, i: F.struct(
+            F.lit(name).alias("rule"), i.alias("item"), value.alias("value")))
+        return F.when(item.condition(), found).otherwise(
+            F.array().cast("array<struct<rule:string,item:int,value:string>>"))
+
+    every = F.flatten(F.array(*[hits(name, item) for name, item in rules.items()]))
+    return tags.select("page_id", "node_id", F.explode(every).alias("hit")).select(
+        "page_id", "node_id", "hit.*")
 
 
 def _answered_by(tags: DataFrame, item: Rule) -> bool:
@@ -129,28 +127,23 @@ def run_rules(pages: DataFrame, rules: Mapping[str, Rule],
               nodes: DataFrame | None = None) -> DataFrame:
     """Results of all rules: page_id, rule, idx, value.
 
-    Rules on a tag and its attributes read the pages in one narrow pass, without the tree.
-    Other rules on single elements share one pass over `nodes`; the rest are joins over it.
-    `nodes` is asked for only if a rule needs it: shred once, keep it, and give it here.
+    Rules on single elements share one pass over the elements; the others are joins over the
+    node table. Without `nodes` only rules on a tag and its attributes can be answered: they
+    read the pages in one narrow pass and need no tree. Else shred once, keep the node table,
+    and give it here.
     """
     _check(rules)
-    tags = open_tags(pages)
-    light = {n: r for n, r in rules.items() if r.one_look and _answered_by(tags, r)}
-    rest = {n: r for n, r in rules.items() if n not in light}
-    if rest and nodes is None:
-        raise ValueError(f"these rules need the node table: {sorted(rest)}")
-    single = {n: r for n, r in rest.items() if r.one_look}
-    parts = []
-    # With a node table at hand there is no reason to read the pages again.
-    if light and nodes is None:
-        parts.append(_one_look(tags, light))
-    elif light:
-        single = {**light, **single}
-    if single:
-        parts.append(_one_look(nodes, single))
+    single = {name: item for name, item in rules.items() if item.one_look}
+    rest = {name: item for name, item in rules.items() if not item.one_look}
+    if nodes is not None:
+        elements = nodes
+    else:
+        elements = open_tags(pages)
+        heavy = [*rest, *(n for n, item in single.items() if not _answered_by(elements, item))]
+        if heavy:
+            raise ValueError(f"these rules need the node table: {sorted(heavy)}")
+    parts = [_one_look(elements, single)] if single else []
     for name, item in rest.items():
-        if name not in single:
-            values = item.select(Selection(nodes, pages)).values(item.emit)
-            parts.append(values.select("page_id", "node_id", F.lit(name).alias("rule"), "item",
-                                       "value"))
+        values = item.select(Selection(nodes, pages)).values(item.emit)
+        parts.append(values.select("page_id", "node_id", F.lit(name).alias("rule"), "item", "value"))
     return number(reduce(DataFrame.unionByName, parts), "rule")
