@@ -22,17 +22,27 @@ def number(values: DataFrame, *keys: str) -> DataFrame:
     return values.select("page_id", *keys, F.row_number().over(order).alias("idx"), "value")
 
 
+def tag_test(test: str) -> Column:
+    """Condition for a tag of this name in any case; a prefix such as svg: is not part of it."""
+    return F.lit(True) if test == "*" else F.col("tag") == test.rsplit(":", 1)[-1].lower()
+
+
 class Selection:
     """Elements reached by a path; without steps, the page roots."""
 
     def __init__(self, nodes: DataFrame, pages: DataFrame | None = None,
-                 picked: DataFrame | None = None):
+                 picked: DataFrame | None = None, condition: Column | None = None,
+                 repeats: bool = False):
         self._nodes = nodes
         self._pages = pages
         self._picked = picked
+        # The condition that alone decides membership, as long as no join was needed.
+        self._condition = condition
+        self._repeats = repeats
 
-    def _with(self, picked: DataFrame) -> Selection:
-        return Selection(self._nodes, self._pages, picked)
+    def _with(self, picked: DataFrame, condition: Column | None = None,
+              repeats: bool = False) -> Selection:
+        return Selection(self._nodes, self._pages, picked, condition, repeats)
 
     def nodes(self) -> DataFrame:
         """The selected rows of the node table."""
@@ -40,16 +50,11 @@ class Selection:
 
     # -- steps ---------------------------------------------------------------------------
 
-    def _candidates(self, test: str) -> DataFrame:
-        if test == "*":
-            return self._nodes
-        # A prefix such as svg: is not part of the test.
-        return self._nodes.filter(F.col("tag") == test.rsplit(":", 1)[-1].lower())
-
     def child(self, test: str = "*") -> Selection:
-        found = self._candidates(test)
         if self._picked is None:
-            return self._with(found.filter("parent_id IS NULL"))
+            passes = tag_test(test) & F.col("parent_id").isNull()
+            return self._with(self._nodes.filter(passes), passes)
+        found = self._nodes.filter(tag_test(test))
         parents = self._picked.select("page_id", F.col("node_id").alias("parent_id"))
         return self._with(found.join(parents, ["page_id", "parent_id"], "left_semi"))
 
@@ -58,34 +63,41 @@ class Selection:
 
         Starts (+1) and ends (-1) of the selected elements are merged with the candidates in
         document order; a candidate with a positive running sum before it lies inside one.
+        All come from one pass over the node table, so the rows of a page stay where they are.
         """
-        found = self._candidates(test)
+        passes = tag_test(test)
         if self._picked is None:
-            return self._with(found)
-        node = F.struct(*[F.col(name) for name in found.columns]).alias("node")
-        candidates = found.select(
-            "page_id", F.col("node_id").alias("at"), F.lit(0).alias("step"), node)
-        bounds = (
-            self._picked.filter("end_pos > node_id")
-            .select("page_id", F.explode(F.array(
-                F.struct(F.col("node_id").alias("at"), F.lit(1).alias("step")),
-                F.struct(F.col("end_pos").alias("at"), F.lit(-1).alias("step")))).alias("b"))
-            .select("page_id", "b.at", "b.step", F.lit(None).cast(
-                candidates.schema["node"].dataType).alias("node"))
-        )
+            return self._with(self._nodes.filter(passes), passes)
+        if self._condition is not None:
+            marked = self._nodes.withColumn("is_context", F.coalesce(self._condition, F.lit(False)))
+        else:
+            ids = self._picked.select("page_id", "node_id")
+            ids = (ids.distinct() if self._repeats else ids).withColumn("is_context", F.lit(True))
+            marked = self._nodes.join(ids, ["page_id", "node_id"], "left")
+        is_context = F.col("is_context") & (F.col("end_pos") > F.col("node_id"))
+
+        def event(when: Column, at: str, step: int) -> Column:
+            return F.when(when, F.struct(F.col(at).alias("at"), F.lit(step).alias("step")))
+
+        events = F.array_compact(F.array(
+            event(passes, "node_id", 0), event(is_context, "node_id", 1),
+            event(is_context, "end_pos", -1)))
         # At one place ends come first and starts last: nothing is below itself.
         inside = F.sum("step").over(
             W.partitionBy("page_id").orderBy("at", "step")
             .rowsBetween(W.unboundedPreceding, W.currentRow))
         return self._with(
-            candidates.union(bounds).withColumn("inside", inside)
-            .filter("step = 0 AND inside > 0").select("node.*"))
+            marked.filter(passes | is_context)
+            .select("*", F.explode(events).alias("event")).select("*", "event.*")
+            .withColumn("inside", inside).filter("step = 0 AND inside > 0")
+            .select(self._nodes.columns))
 
     def parent(self, keep_duplicates: bool = False) -> Selection:
         children = self.nodes().filter("parent_id IS NOT NULL").select(
             "page_id", F.col("parent_id").alias("node_id"))
         how = "inner" if keep_duplicates else "left_semi"
-        return self._with(self._nodes.join(children, ["page_id", "node_id"], how))
+        return self._with(self._nodes.join(children, ["page_id", "node_id"], how),
+                          repeats=keep_duplicates)
 
     def self_(self) -> Selection:
         return self
@@ -104,12 +116,14 @@ class Selection:
 
     def where(self, *conditions: Column | str) -> Selection:
         """Keep elements that meet all conditions: Columns over the node table, or Spark SQL."""
-        picked = self.nodes()
+        picked, joint = self.nodes(), self._condition
         for condition in conditions:
             if not isinstance(condition, (Column, str)):
                 raise TypeError(f"not a condition: {condition!r}")
-            picked = picked.filter(condition)
-        return self._with(picked)
+            column = F.expr(condition) if isinstance(condition, str) else condition
+            picked = picked.filter(column)
+            joint = None if joint is None else joint & column
+        return self._with(picked, joint, self._repeats)
 
     # -- emitters ------------------------------------------------------------------------
 

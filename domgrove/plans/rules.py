@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domgrove.operators.selection import Selection, number, values_of
+from domgrove.operators.selection import Selection, number, tag_test, values_of
 from domgrove.operators.shred import open_tags
 
 MAX_RULES = 10_000
@@ -50,10 +50,8 @@ class Rule:
 
     def condition(self) -> Column:
         step = self.steps[0]
-        test = F.lit(True) if step.test == "*" else (
-            F.col("tag") == step.test.rsplit(":", 1)[-1].lower())
         return reduce(lambda a, b: a & b, [
-            F.expr(c) if isinstance(c, str) else c for c in step.where], test)
+            F.expr(c) if isinstance(c, str) else c for c in step.where], tag_test(step.test))
 
 
 def rule(path: Sequence[tuple], emit: str = "html") -> Rule:
