@@ -56,7 +56,8 @@ class Rule:
 
 def rule(path: Sequence[tuple], emit: str = "html") -> Rule:
     """`rule([("descendant", "ul"), ("child", "li", nth(1))], "text")`."""
-    return Rule(tuple(Step(axis, test, tuple(where)) for axis, test, *where in path), emit)
+    steps = (Step(axis, *rest[:1], tuple(rest[1:])) if rest else Step(axis) for axis, *rest in path)
+    return Rule(tuple(steps), emit)
 
 
 def _with(name: str) -> str:
