@@ -15,13 +15,15 @@ _OPAQUE = r"^(?i)<(?:" + "|".join(V.RAW_TEXT + V.ESCAPABLE_TEXT) + r")(?=[\s/>])
 
 def full_text(markup: Column) -> Column:
     """All text in a piece of markup, in order; blocks and line breaks part words."""
+    breaks = F.expr(f"array({', '.join(repr(tag) for tag in V.BREAKS_TEXT)})")
+
     def text_of(token: Column) -> Column:
         return (
             F.when(~token.startswith("<") | (F.length(token) == 1), decode_references(token))
             .when(token.rlike(_SILENT), "")
             .when(token.rlike(_OPAQUE), F.concat(F.lit(" "), decode_references(
                 F.regexp_extract(token, r"(?s)^<[^>]*>(.*?)(?:</[^>]*>)?$", 1)), F.lit(" ")))
-            .when(tag_name(token).isin(V.BREAKS_TEXT), " ")
+            .when(F.array_contains(breaks, tag_name(token)), " ")
             .otherwise("")
         )
     return collapse(F.array_join(F.transform(raw_tokens(markup), text_of), ""))

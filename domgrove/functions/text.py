@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 # The characters that count as blanks, and those that are left out of text.
 BLANKS = r"[ \t\n\f\r\x{A0}]+"
-INVISIBLE = r"[\x{200B}\x{AD}]"
-EDGE_BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+INVISIBLE = ["\u200b", "\u00ad"]
+EDGE_BLANKS = r"^[\s\p{Z}]++|[\s\p{Z}]++$"
 
 _REFERENCE_IN_TEXT = (
     r"&(?:#[xX][0-9a-fA-F]++|#[0-9]++|[a-zA-Z][a-zA-Z0-9]*+);?+|[^&]++|&"
@@ -27,8 +27,9 @@ _WINDOWS_1252 = "".join(bytes([n]).decode("cp1252", "replace") for n in range(12
 
 def collapse(col: Column) -> Column:
     """Runs of blanks become one blank; both ends are trimmed."""
-    squeezed = F.regexp_replace(F.regexp_replace(col, INVISIBLE, ""), BLANKS, " ")
-    return F.regexp_replace(squeezed, EDGE_BLANKS, "")
+    for character in INVISIBLE:
+        col = F.replace(col, F.lit(character), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(col, BLANKS, " "), EDGE_BLANKS, "")
 
 
 def _names() -> Column:

@@ -98,16 +98,18 @@ def tag_name(raw: Column) -> Column:
 OPEN, CLOSE, VOID, OPAQUE, TEXT, MISC, END = range(1, 8)
 
 
-def token_kind(raw: Column, tag: Column) -> Column:
+def token_kind() -> Column:
+    """Kind of a token, from its columns raw and tag."""
+    raw = F.col("raw")
     closed = raw.endswith(">")
-    custom_empty = raw.endswith("/>") & ~tag.isin(V.KNOWN)
+    custom_empty = raw.endswith("/>") & ~V.is_one_of(V.KNOWN)
     return (
-        F.when(tag == "", F.when(raw.rlike("^<[!?/]"), MISC).otherwise(TEXT))
+        F.when(F.col("tag") == "", F.when(raw.rlike("^<[!?/]"), MISC).otherwise(TEXT))
         .when(raw == PAGE_END, END)
         .when(raw.startswith("</"), F.when(closed, CLOSE).otherwise(MISC))
-        .when(tag.isin(V.OPAQUE), OPAQUE)
+        .when(V.is_one_of(V.OPAQUE), OPAQUE)
         .when(~closed, MISC)
-        .when(tag.isin(V.VOID) | custom_empty, VOID)
+        .when(V.is_one_of(V.VOID) | custom_empty, VOID)
         .otherwise(OPEN)
     )
 
@@ -123,7 +125,7 @@ def explode_tokens(pages: DataFrame) -> DataFrame:
         .select("page_id", "pos", "raw",
                 F.when(raw.startswith("<") | raw.startswith("+<"), tag_name(raw))
                 .otherwise("").alias("tag"))
-        .select("page_id", "pos", "raw", "tag", token_kind(raw, F.col("tag")).alias("kind"))
+        .select("page_id", "pos", "raw", "tag", token_kind().alias("kind"))
     )
 
 

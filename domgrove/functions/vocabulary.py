@@ -1,5 +1,8 @@
 """Element names of the HTML standard, grouped by how they end."""
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Elements without content.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"]
@@ -46,3 +49,8 @@ KNOWN = VOID + OPAQUE + CONTAINERS + INLINE + list(ITEM_RANK)
 
 # Elements before and after which the text of a page has a blank.
 BREAKS_TEXT = ENDS_PARAGRAPH + ["br", "html", "body", "head", "title", "caption", *ITEM_RANK]
+
+
+def is_one_of(names: list[str], column: str = "tag") -> Column:
+    """Whether a column holds one of these names (one SQL text instead of many literals)."""
+    return F.expr(f"{column} IN ({', '.join(repr(name) for name in names)})")

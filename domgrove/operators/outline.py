@@ -48,7 +48,7 @@ def outline(nodes: DataFrame) -> DataFrame:
     """
     order = W.partitionBy("page_id").orderBy("node_id")
     return (
-        nodes.filter((F.col("depth") >= 1) & ~F.col("tag").isin(V.SCRIPT_LIKE))
+        nodes.filter((F.col("depth") >= 1) & ~V.is_one_of(V.SCRIPT_LIKE))
         .select(
             "page_id", "node_id", "end_pos", "parent_id",
             (F.row_number().over(order) - 1).alias("item"),

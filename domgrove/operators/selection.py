@@ -199,12 +199,12 @@ class Selection:
             resolve_link(F.col("url"), F.col("base_href")))
         picked = self.nodes().select("page_id", "node_id", attribute(name).alias("link"),
                                      F.map_contains_key("attr", name.lower()).alias("present"))
-        return (
-            picked.join(self._page_column("url"), "page_id").join(bases, "page_id", "left")
-            .select("page_id", "node_id", F.lit(0).alias("item"),
-                    F.when(F.col("present"), resolve_link(base, F.col("link")))
-                    .otherwise("").alias("value"))
-        )
+        # The address of a page is worked out once per page, not once per link.
+        addresses = (self._page_column("url").join(bases, "page_id", "left")
+                     .select("page_id", base.alias("base")))
+        value = F.when(F.col("present"), resolve_link(F.col("base"), F.col("link"))).otherwise("")
+        return picked.join(addresses, "page_id").select(
+            "page_id", "node_id", F.lit(0).alias("item"), value.alias("value"))
 
 
 def values_of(emit: str) -> Column:

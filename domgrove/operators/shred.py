@@ -13,6 +13,8 @@ So an end tag never reaches across a container, and every interval nests in anot
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +41,10 @@ from domgrove.functions.tokens import (
 
 RANKS = sorted(set(V.ITEM_RANK.values()))
 
+# Sizing: html per shuffle partition, growth of compressed files, most partitions of one
+# shuffle, and the share of a scan that is worth a task of its own.
+PARTITION_BYTES, EXPANSION, MAX_PARTITIONS, SPLIT_BYTES = 256 << 20, 4, 20_000, 4 << 20
+
 # Kinds of rows beside those of the tokens: start of a paired container, and its end tag.
 CONTAINER, SCOPE_END = 11, 12
 
@@ -73,7 +79,7 @@ def _before(*keys: str) -> W:
 
 
 def _is(*kinds: int) -> Column:
-    return F.col("kind").isin(*kinds)
+    return F.expr(f"kind IN ({', '.join(map(str, kinds))})")
 
 
 def _step(opening: Column, closing: Column) -> Column:
@@ -83,10 +89,10 @@ def _step(opening: Column, closing: Column) -> Column:
 def open_tags(pages: DataFrame) -> DataFrame:
     """Start tags with their attributes: page_id, node_id, tag, attrs, attr.
 
-    A narrow step without exchange or sort, enough for rules that look at a tag and its
+    A narrow step without sort, and for all but small inputs without exchange, enough for rules that look at a tag and its
     attributes only. Its node_id is the one `shred` gives.
     """
-    tags = explode_tokens(pages).filter(_is(OPEN, VOID, OPAQUE))
+    tags = explode_tokens(_spread_small(pages)).filter(_is(OPEN, VOID, OPAQUE))
     return _with_attributes(
         tags.select("page_id", F.col("pos").alias("node_id"), "tag",
                     F.col("raw").alias("tag_text"))
@@ -109,7 +115,7 @@ def _tags(pages: DataFrame) -> DataFrame:
     row = W.partitionBy("page_id").orderBy("pos")
     opaque_text = F.regexp_extract("raw", r"(?s)^<[^>]*>(.*?)(?:</[^>]*>)?$", 1)
     rank = F.coalesce(*[
-        F.when(F.col("tag").isin([t for t, r in V.ITEM_RANK.items() if r == rank]), rank)
+        F.when(V.is_one_of([t for t, r in V.ITEM_RANK.items() if r == rank]), rank)
         for rank in RANKS
     ])
     return (
@@ -126,7 +132,7 @@ def _tags(pages: DataFrame) -> DataFrame:
             "page_id", _place(F.col("pos"), F.coalesce("off", F.lit(0))).alias("at"),
             "kind", "len", "tag", F.when(_is(OPEN, CLOSE), rank).alias("rank"),
             F.when(_is(OPEN, VOID, OPAQUE), start_tag(F.col("raw"))).alias("tag_text"),
-            F.when(_is(OPAQUE) & ~F.col("tag").isin(V.SCRIPT_LIKE), opaque_text).alias("text"),
+            F.when(_is(OPAQUE) & ~V.is_one_of(V.SCRIPT_LIKE), opaque_text).alias("text"),
             "tail",
         )
     )
@@ -134,9 +140,9 @@ def _tags(pages: DataFrame) -> DataFrame:
 
 def _pair_containers(tags: DataFrame) -> DataFrame:
     """Pair start and end tags of containers by nesting level of the name."""
-    is_container = F.col("tag").isin(V.CONTAINERS) & _is(OPEN, CLOSE)
+    is_container = V.is_one_of(V.CONTAINERS) & _is(OPEN, CLOSE)
     key = F.when(is_container,
-                 F.when(F.col("tag").isin(V.HEADINGS), "heading").otherwise(F.col("tag")))
+                 F.when(V.is_one_of(V.HEADINGS), "heading").otherwise(F.col("tag")))
     has_key = F.col("key").isNotNull()
     opening, closing = has_key & _is(OPEN), has_key & _is(CLOSE)
     level = F.sum(_step(opening, closing)).over(_so_far("key")) + closing.cast("int")
@@ -200,9 +206,9 @@ def _end_items(tags: DataFrame) -> DataFrame:
     def closes(rank: int) -> Column:
         hit = _is(SCOPE_END, END) | (_is(OPEN, CLOSE) & (F.col("rank") <= rank))
         if rank == V.PARAGRAPH_RANK:
-            hit = hit | (starts & F.col("tag").isin(V.ENDS_PARAGRAPH))
+            hit = hit | (starts & V.is_one_of(V.ENDS_PARAGRAPH))
         if rank == V.HEAD_RANK:
-            hit = hit | (starts & ~F.col("tag").isin(*V.HEAD_CONTENT, "head"))
+            hit = hit | (starts & ~V.is_one_of([*V.HEAD_CONTENT, "head"]))
         return hit
 
     end = F.coalesce(*[
@@ -372,37 +378,72 @@ def _with_depth(nodes: DataFrame) -> DataFrame:
     )
 
 
-def default_partitions(pages: DataFrame, target_bytes: int = 64 << 20) -> int:
-    """Shuffle partitions for about 64 MB of html each, from the size Spark estimates."""
+def _size_in_bytes(df: DataFrame) -> int | None:
+    """Input size as Spark estimates it; None when it cannot tell (it then says a huge number)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
+def default_partitions(pages: DataFrame) -> int:
+    """Shuffle partitions for about 256 MB of html each, within the limits of one shuffle.
+
+    Compressed files hold some four times their size. Never fewer than the session asks for.
+    """
+    at_least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = _size_in_bytes(pages)
+    wanted = at_least if size is None else -(-size * EXPANSION // PARTITION_BYTES)
+    return max(at_least, min(wanted, MAX_PARTITIONS))
+
+
+def is_clustered(pages: DataFrame) -> bool:
+    """Whether the rows are partitioned by page_id already, as in a table bucketed by it."""
+    partitioning = pages._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+    return re.match(r"hashpartitioning\(page_id#\d+L?, \d+\)$", partitioning) is not None
+
+
+def _spread_small(pages: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small for the scan to split it that far.
+
+    Large inputs are left as they are: their scan has tasks enough, and nothing is moved.
+    """
     spark = pages.sparkSession
-    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    # Compressed files hold some four times their size; a plan of unknown size reports a huge
-    # number, for which the setting of the session stands.
-    wanted = -(-size * 4 // target_bytes)
-    return fixed if size >= 1 << 60 else max(fixed, wanted)
+    cores = spark.sparkContext.defaultParallelism
+    size = _size_in_bytes(pages)
+    if size is None or size >= cores * SPLIT_BYTES:
+        return pages
+    return pages.repartition(cores, "page_id")
 
 
 def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per element of every page; see the README for the columns.
 
-    `pages` needs page_id (unique), and html (not null).
+    `pages` needs page_id (unique), and html (not null). Pages from a table bucketed by page_id
+    are worked on where they are; others are moved once.
     """
     pages = pages.select("page_id", "html")
-    spread = pages.repartition(partitions or default_partitions(pages), "page_id")
+    if partitions is None and is_clustered(pages):
+        spread = pages
+    else:
+        spread = pages.repartition(partitions or default_partitions(pages), "page_id")
     found = _gather(_end_inline(_end_items(_scope_by_container(_pair_containers(_tags(spread))))))
     siblings = W.partitionBy("page_id", "parent_id")
     same_tag = W.partitionBy("page_id", "parent_id", "tag")
     decoded = F.transform("pieces", lambda p: F.struct(
         _position(p["at"]).alias("pos"), p["is_break"].alias("is_break"),
-        F.when(F.col("tag").isin(V.RAW_TEXT), p["text"])
+        F.when(V.is_one_of(V.RAW_TEXT), p["text"])
         .otherwise(decode_references(p["text"])).alias("text")))
     texts = F.filter(
         F.transform("pieces", lambda p: F.struct(p["pos"].alias("pos"),
                                                  collapse(p["text"]).alias("text"))),
         lambda t: t["text"] != "")
-    own_text = F.array_join(F.transform("pieces", lambda p: F.concat(
+    joined = F.array_join(F.transform("pieces", lambda p: F.concat(
         F.when(p["is_break"], " ").otherwise(""), F.coalesce(p["text"], F.lit("")))), "")
+    # Most elements have one text or none.
+    own_text = (
+        F.when(F.size("pieces") > 1, collapse(joined))
+        .when(F.size("texts") == 1, F.col("texts")[0]["text"])
+        .otherwise("")
+    )
     return (
         _with_attributes(
             _with_depth(found)
@@ -415,8 +456,9 @@ def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
                 "tag_count": F.count(F.lit(1)).over(same_tag).cast("int"),
             })
             .withColumn("pieces", decoded)
+            .withColumn("texts", texts)
+            .withColumn("own_text", own_text)
         )
         .select("page_id", "node_id", "end_pos", "parent_id", "depth", "tag", "attrs", "attr",
-                texts.alias("texts"), collapse(own_text).alias("own_text"), "sib_pos", "sib_count",
-                "tag_pos", "tag_count", "off", "len")
+                "texts", "own_text", "sib_pos", "sib_count", "tag_pos", "tag_count", "off", "len")
     )

@@ -108,8 +108,10 @@ def _one_look(tags: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
         return F.when(item.condition(), found).otherwise(
             F.array().cast("array<struct<rule:string,item:int,value:string>>"))
 
+    # The tags asked for are looked up first, so that other elements are not read or parsed.
+    wanted = reduce(lambda a, b: a | b, [item.condition() for item in rules.values()])
     every = F.flatten(F.array(*[hits(name, item) for name, item in rules.items()]))
-    return tags.select("page_id", "node_id", F.explode(every).alias("hit")).select(
+    return tags.filter(wanted).select("page_id", "node_id", F.explode(every).alias("hit")).select(
         "page_id", "node_id", "hit.*")
 
 

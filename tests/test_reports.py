@@ -16,7 +16,7 @@ from domgrove.operators.shred import shred
 from domgrove.plans.reports import coverage, enrich, not_found
 from domgrove.plans.rules import PRESETS, rule, run_rules
 from domgrove.sources.pages import read_html_files, read_pages, repeated_ids, split_pages
-from domgrove.sources.tables import load_nodes, save_nodes, write_results
+from domgrove.sources.tables import load_nodes, save_nodes, save_pages, write_results
 from domgrove.streaming.run import run_stream
 
 RULES = {
@@ -193,6 +193,15 @@ def test_saved_nodes_and_results(spark, make_pages, tmp_path):
         spark.sql("DROP TABLE saved_nodes")
 
 
+def test_bucketed_pages_stay_in_place(spark, make_pages, tmp_path):
+    pages = make_pages(["<ul><li>1<li>2</ul>", "<p>t", "<b>u", "v"])
+    save_pages(pages, "saved_pages", str(tmp_path / "pages"), 4)
+    nodes = shred(spark.table("saved_pages"))
+    assert "Exchange" not in nodes._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, shred(pages, 3).collect()))
+    spark.sql("DROP TABLE saved_pages")
+
+
 def test_one_exchange(spark):
     """Shredding, every window and the joins of a chain share one exchange by page_id."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
