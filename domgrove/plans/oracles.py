@@ -12,12 +12,10 @@ _TOKEN = (
 
 
 def _plain(x: str) -> str:
-    """References replaced, blanks collapsed."""
-    return (
-        "trim(regexp_replace(replace(replace(replace(replace("
-        f"{x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), "
-        r"'\s+', ' ', 'g'))"
-    )
+    """References replaced (the last one of a text may be cut short), blanks collapsed."""
+    for name, character in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
+        x = f"regexp_replace({x}, '&{name}(;|$)', '{character}', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
 # The shape of the pages: element, the element around it, and its depth.
