@@ -38,7 +38,7 @@ def raw_tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(1))
 
 
-def _signature(tokens: Column) -> Column:
+def _letters(tokens: Column) -> Column:
     """One letter per token: H, D, B for html, head and body tags, h for head content, m for
     what may stand anywhere (comments, blanks), x for the rest."""
     def letter(t: Column) -> Column:
@@ -51,12 +51,14 @@ def _signature(tokens: Column) -> Column:
             .when(t.rlike(_HEAD_CONTENT), "h")
             .otherwise("x")
         )
-    return F.array_join(F.transform(tokens, letter), "")
+    return F.transform(tokens, letter)
 
 
-def with_implied_tags(tokens: Column, signature: Column) -> Column:
+def with_implied_tags(tokens: Column, letters: Column, signature: Column) -> Column:
     """Add the html, head and body tags a page leaves out, and a mark for its end.
 
+    `signature` is the letters as one string.
+
     A page that has them in their places is taken as it is. Otherwise such a tag counts only
     where it stands first; later ones are taken out.
     """
@@ -69,7 +71,7 @@ def with_implied_tags(tokens: Column, signature: Column) -> Column:
     has_body = F.substring(signature, body_at + 1, F.lit(1)) == "B"
 
     def in_place(t: Column, i: Column) -> Column:
-        letter = F.substring(signature, i + 1, F.lit(1))
+        letter = F.element_at(letters, i + 1)
         return (
             ~letter.isin("H", "D", "B")
             | (has_html & (i == lead)) | (has_head & (i == head_lead))
@@ -119,9 +121,10 @@ def explode_tokens(pages: DataFrame) -> DataFrame:
     raw = F.col("raw")
     return (
         pages.select("page_id", raw_tokens(F.col("html")).alias("tokens"))
-        .select("page_id", "tokens", _signature(F.col("tokens")).alias("signature"))
-        .select("page_id", F.posexplode(
-            with_implied_tags(F.col("tokens"), F.col("signature"))).alias("pos", "raw"))
+        .select("page_id", "tokens", _letters(F.col("tokens")).alias("letters"))
+        .select("page_id", "tokens", "letters", F.array_join("letters", "").alias("signature"))
+        .select("page_id", F.posexplode(with_implied_tags(
+            F.col("tokens"), F.col("letters"), F.col("signature"))).alias("pos", "raw"))
         .select("page_id", "pos", "raw",
                 F.when(raw.startswith("<") | raw.startswith("+<"), tag_name(raw))
                 .otherwise("").alias("tag"))

@@ -89,6 +89,9 @@ def test_steps(start):
     assert values(twice.attr("class"), GUIDE_) == ["list", "list"]
     assert own(twice.descendant("a"), GUIDE_) == ["Link 1", "Link 2"]
     assert values(start.descendant("br").count(), DEEP_) == ["0"]
+    # tests for other kinds of nodes are known and select no element
+    assert start.descendant("div").child("comment()").nodes().isEmpty()
+    assert start.descendant("div").child("node()").nodes().isEmpty()
     with pytest.raises(ValueError):
         start.step("following", "div")
 
