@@ -6,17 +6,15 @@ import json
 import os
 import time
 
-from pyspark.sql import SparkSession
+from domgrove.operators.shred import shred
+from domgrove.plans.queries import QUERIES
+from domgrove.plans.workspace import pages_of
+from domgrove.session import get_session
 
 CPUS = os.environ.get("BENCH_CPUS", "8")
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 MEMORY = os.environ.get("BENCH_DRIVER_MEMORY", "12g")
 
-builder = SparkSession.builder.master(f"local[{CPUS}]").config("spark.driver.memory", MEMORY)
-builder = builder.config("spark.ui.showConsoleProgress", "false")
-# get_session adds the settings of the library to this builder's session.
-from domgrove.session import get_session  # noqa: E402
-
 
 def run(df) -> float:
     began = time.perf_counter()
@@ -25,15 +23,10 @@ def run(df) -> float:
 
 
 def main() -> None:
-    builder.config("spark.ui.enabled", "false")
-    builder.config("spark.sql.codegen.cache.maxEntries", "1000").getOrCreate()
-    spark = get_session(partitions=int(CPUS))
+    spark = get_session(f"local[{CPUS}]", int(CPUS), {
+        "spark.driver.memory": MEMORY, "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
 
-    from domgrove.operators.shred import shred
-    from domgrove.plans.queries import QUERIES
-    from domgrove.plans.workspace import pages_of
-
     times: dict[str, float] = {}
     pages = pages_of(spark, FOLDER)
     n_pages = pages.count()

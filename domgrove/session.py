@@ -23,12 +23,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def get_session(master: str | None = None, partitions: int | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName("domgrove").config("spark.ui.enabled", "false")
-    # A shred compiles more expressions than the default cache of 100 classes holds.
-    builder = builder.config("spark.sql.codegen.cache.maxEntries", "1000")
+def get_session(master: str | None = None, partitions: int | None = None,
+                config: dict[str, str] | None = None) -> SparkSession:
+    """A session with the settings of the library and, on top, those given."""
+    start = {
+        "spark.ui.enabled": "false",
+        # A shred compiles more expressions than the default cache of 100 classes holds.
+        "spark.sql.codegen.cache.maxEntries": "1000",
+        **(config or {}),
+    }
+    if partitions:
+        start["spark.sql.shuffle.partitions"] = str(partitions)
+    builder = SparkSession.builder.appName("domgrove")
+    for key, value in start.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
-    if partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return configure(builder.getOrCreate())

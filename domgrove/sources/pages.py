@@ -14,7 +14,10 @@ def split_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("url").isNull() | (address == "") | (address == "https://"), "no address")
         .when(F.col("html").isNull(), "no body")
     )
-    valid = pages.filter(reason.isNull()).select("page_id", "url", "html")
+    # Written out, so that the checks for null reach the scan.
+    valid = pages.filter(
+        F.col("page_id").isNotNull() & F.col("url").isNotNull() & F.col("html").isNotNull()
+        & ~address.isin("", "https://")).select("page_id", "url", "html")
     rejects = pages.select("page_id", "url", reason.alias("reason")).filter("reason IS NOT NULL")
     return valid, rejects
 
