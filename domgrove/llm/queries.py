@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domgrove.llm import toxicity
+from domgrove.llm import packing, toxicity
 from domgrove.llm.common import documents, table
 
 
@@ -16,5 +16,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op10_toxicity,)}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op4_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
