@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domgrove.llm import oracles, packing, substring, toxicity
+from domgrove.llm import near, oracles, packing, substring, toxicity
 from domgrove.llm.common import documents, table
 
 
@@ -20,9 +20,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op8_substring_dedup, op10_toxicity)}
-ORACLES: dict[str, str] = {"op8_substring_dedup": oracles.OP8}
+QUERIES = {f.__name__: f for f in (op4_packing, op7_near_dedup, op8_substring_dedup, op10_toxicity)}
+ORACLES: dict[str, str] = {"op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8}
