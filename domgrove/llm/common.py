@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from domgrove.sources.tables import ensure_checkpoint_dir
+
 #: A-Z to a-z, and nothing else; on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -105,6 +108,17 @@ def map_whole_rows(docs: DataFrame, start: Callable[[], Callable[[list], dict]],
     return arrow_map(whole, run, f"doc {whole.schema[0].dataType.simpleString()}, {schema}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names in spark.checkpoint.dir, for tables."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Cached(dict):
     """A dict that computes what it lacks; emptied when it has grown beyond `limit` entries."""
 

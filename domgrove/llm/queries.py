@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domgrove.llm import near, oracles, packing, substring, toxicity
+from domgrove.llm import decontaminate, near, oracles, packing, substring, toxicity
 from domgrove.llm.common import documents, table
 
 
@@ -16,6 +16,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -28,5 +32,5 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op7_near_dedup, op8_substring_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_packing, op7_near_dedup, op8_substring_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {"op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8}

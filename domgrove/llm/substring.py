@@ -106,18 +106,23 @@ def candidates(block: Block, size: int, bits: list[np.ndarray], cells: int):
     return starts[estimated_repeated(runs[own], bits, cells)[back]] if len(starts) else starts, words
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with what tells rows of one doc_id apart: 32 bits of hash of the text."""
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Documents with what tells rows of one doc_id apart: 31 bits of hash of the text.
+
+    With `whole` the columns other than text come along, in a struct `doc`.
+    """
+    text = F.col("text").cast("binary")
+    rest = [F.struct(F.lit(True).alias("_row"), *[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]).alias("doc")]
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        (F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).bitwiseAND(F.lit(0x7FFFFFFF))
-         ).alias("mark"), F.col("text").cast("binary").alias("text"))
+        F.xxhash64(F.coalesce(text, F.lit(b""))).bitwiseAND(F.lit(0x7FFFFFFF)).alias("mark"),
+        text.alias("text"), *rest * whole)
 
 
-def removals(docs: DataFrame, size: int = 20, cells: int = CELLS) -> DataFrame:
-    """place, doc_id, text and `firsts`: starts of the document's windows that are the first of
-    their kind among candidates, with the sketch to find the candidates again."""
+def with_firsts(docs: DataFrame, size: int, cells: int, whole: bool = False):
+    """The keyed documents with `firsts`, the starts of those of their candidate windows that are
+    the first of their kind; and the broadcast sketch, to find the candidates again."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(repeated_cells(docs, size, cells))
 
@@ -147,50 +152,87 @@ def removals(docs: DataFrame, size: int = 20, cells: int = CELLS) -> DataFrame:
     firsts = (found.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.min_by("at", "place").alias("at"))
               .groupBy("place", F.shiftright("at", 32).alias("mark"))
               .agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("firsts")))
-    return keyed(docs).join(firsts, ["place", "mark"], "left"), sketch
+    return keyed(docs, whole).join(firsts, ["place", "mark"], "left"), sketch
+
+
+def removed_words(batch, bits: list[np.ndarray], size: int, cells: int):
+    """For blocks of a batch: range of rows, Block, which words go, and how many of each text."""
+    texts = texts_of(batch)
+    lists = batch.column("firsts").to_pylist()
+    for a, b in in_blocks(texts):
+        block = Block(texts[a:b])
+        starts, _ = candidates(block, size, bits, cells)
+        first = np.zeros(len(block.doc), bool)
+        for i, own in enumerate(lists[a:b]):
+            if own:
+                first[block.first[i] + np.array(own)] = True
+        gone = covered(starts[~first[starts]], size, len(block.doc))
+        yield a, b, block, gone, np.diff(np.r_[0, np.cumsum(gone)][block.first])
+
+
+def spans(block: Block, gone: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last removed word of each run in text i."""
+    here = gone[block.first[i]:block.first[i + 1]].astype(np.int8)
+    edge = np.diff(np.r_[0, here, 0])
+    return block.first[i] + np.flatnonzero(edge == 1), block.first[i] + np.flatnonzero(edge == -1) - 1
 
 
 def dedup_words(docs: DataFrame, size: int = 20, cells: int = CELLS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and `spans`: byte ranges of the removed words.
+    """doc_id, n_words, n_removed, kept_sha256 and `spans`: begin and end of each removed run of
+    words in bytes of the text, one after the other.
 
     A word goes if a window of `size` words covers it whose words also start earlier: in a smaller
     doc_id, or before it in the same row. Null texts have no words; rows without doc_id come before
     all others. Repeated rows are one place, and keep the same; of rows that share a doc_id and
     differ, one counts as the earlier. Other columns of docs are not looked at.
     """
-    joined, sketch = removals(docs, size, cells)
+    joined, sketch = with_firsts(docs, size, cells)
 
     def run(batches):
-        bits = sketch.value
         for batch in batches:
-            texts = texts_of(batch)
-            lists = batch.column("firsts").to_pylist()
-            ids = batch.column("doc_id").to_pylist()
-            for a, b in in_blocks(texts):
-                block = Block(texts[a:b])
-                starts, _ = candidates(block, size, bits, cells)
-                keep = np.zeros(len(block.doc), bool)
-                for i, firsts in enumerate(lists[a:b]):
-                    if firsts:
-                        keep[block.first[i] + np.array(firsts)] = True
-                gone = covered(starts[~keep[starts]], size, len(block.doc))
-                n_removed = np.diff(np.r_[0, np.cumsum(gone)][block.first])
-                digests, spans = [], []
+            texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
+            for a, b, block, gone, n_removed in removed_words(batch, sketch.value, size, cells):
+                digests, cuts = [], []
                 for i in range(b - a):
-                    lo, hi = block.first[i], block.first[i + 1]
-                    own = texts[a + i].split()
-                    cut = []
+                    own, cut = texts[a + i].split(), []
                     if n_removed[i]:
-                        here = gone[lo:hi]
-                        edge = np.diff(np.r_[0, here.astype(np.int8), 0])
-                        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-                        base = block.begins[i]
-                        cut = np.c_[block.starts[lo + begin] - base, block.ends[lo + end] - base].ravel().tolist()
-                        own = [w for w, g in zip(own, here.tolist()) if not g]
+                        begin, end = spans(block, gone, i)
+                        cut = (np.c_[block.starts[begin], block.ends[end]] - block.begins[i]).ravel().tolist()
+                        here = gone[block.first[i]:block.first[i + 1]].tolist()
+                        own = [w for w, g in zip(own, here) if not g]
                     digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
-                    spans.append(cut)
+                    cuts.append(cut)
                 yield {"doc_id": ids[a:b], "n_words": block.n_words, "n_removed": n_removed,
-                       "kept_sha256": digests, "spans": spans}
+                       "kept_sha256": digests, "spans": cuts}
 
     return arrow_map(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, "
-                     "spans array<int>")
+                     "spans array<long>")
+
+
+def cut_repeats(docs: DataFrame, size: int = 20, cells: int = CELLS) -> DataFrame:
+    """The rows of docs, all columns as they came, with texts that lack the words that go.
+
+    A removed run takes the white space behind it along; a text without removed words is not
+    changed, and one of which nothing is left is empty.
+    """
+    joined, sketch = with_firsts(docs, size, cells, whole=True)
+    rest = joined.schema["doc"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b, block, gone, n_removed in removed_words(batch, sketch.value, size, cells):
+                out = texts[a:b]
+                for i in np.flatnonzero(n_removed).tolist():
+                    begin, end = spans(block, gone, i)
+                    last = block.first[i + 1] - 1
+                    parts, at = [], 0
+                    for x, y in zip(begin.tolist(), end.tolist()):
+                        parts.append(out[i][at:block.starts[x] - block.begins[i]])
+                        at = block.starts[y + 1] - block.begins[i] if y < last else len(out[i])
+                    out[i] = b"".join([*parts, out[i][at:]])
+                yield {"doc": batch.column("doc").slice(a, b - a), "text": out}
+
+    kept = arrow_map(joined, run, f"doc {rest}, text binary")
+    return kept.select([F.col("text").cast("string").alias(c) if c.lower() == "text" else F.col(f"doc.`{c}`")
+                        for c in docs.columns])
