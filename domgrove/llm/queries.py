@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domgrove.llm import decontaminate, near, oracles, packing, substring, toxicity
+from domgrove.llm import decontaminate, near, oracles, packing, quality_rules, substring, toxicity
 from domgrove.llm.common import documents, table
 
 
@@ -24,6 +24,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
@@ -32,5 +38,5 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_packing, op7_near_dedup, op8_substring_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op4_packing, op5_quality_rules, op7_near_dedup, op8_substring_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {"op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8}
