@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domgrove.llm import decontaminate, near, oracles, packing, quality_rules, substring, toxicity
+from domgrove.llm import (
+    binary,
+    decontaminate,
+    near,
+    oracles,
+    packing,
+    quality_classifier,
+    quality_rules,
+    substring,
+    token_counts,
+    toxicity,
+)
 from domgrove.llm.common import documents, table
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.write_shards(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -16,6 +31,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +49,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
@@ -38,5 +61,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op4_packing, op5_quality_rules, op7_near_dedup, op8_substring_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op3_decontamination, op4_packing, op5_quality_rules, op6_quality_classifier,
+    op7_near_dedup, op8_substring_dedup, op9_token_ids, op10_toxicity)}
 ORACLES: dict[str, str] = {"op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8}
