@@ -1,16 +1,17 @@
 """Token ids in training order: fixed-stride shards after a keyed permutation.
 
 Documents are cut into sequences of `length` tokens (the first of a document may be shorter and is
-filled up with end_id). Sequence number i of N gets the slot permute(i): a Feistel network over the
-least even number of bits that hold N, applied again while the result is N or more, so it is a
-permutation of 0..N-1 that needs no table. Slots are dense, so range partitions by slot are equal in
-size and known beforehand; each writes one shard, record after record. Record `slot` stands at
-(slot % per_shard) * stride of shard slot // per_shard: a reader goes on from any slot.
-
-Sequences are numbered in two passes: tasks count first, then each knows where its numbers begin.
-Both passes read the same partitions; a task that finds another number of sequences than was
-counted fails. Shards appear under their names when they are whole, so a task that is run again
-replaces its shard by the same bytes.
+filled up with end_id). Documents are numbered densely, by counting the rows of each task; piece p
+of document d has the number d * M + p, where M is more pieces than any text can have. A keyed
+Feistel network over the least even number of bits that hold all D * M numbers, applied again
+while its result is none of them (cycle-walking), permutes the numbers without a table.
+
+The order of the permuted numbers is the training order: range partitions, known beforehand because
+permuted numbers are spread evenly, sort what they get and write one shard each, record after
+record. A sequence's slot is its place in that order, dense from 0; its record stands at
+(slot - first slot of its shard) * stride. So texts are tokenised once, and a reader goes on from
+any slot. Shards appear under their names when they are whole: a task that is run again replaces
+its shard by the same bytes.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from domgrove.llm.common import arrow_map, mix, shared_folder, text_rows, texts_of
@@ -56,99 +59,96 @@ def files_at(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder else (pyarrow.fs.LocalFileSystem(), folder)
 
 
-def sequences(batches, length: int, end: bytes, ranks_file: str):
-    """(row, piece, first token, ids) of every sequence of some batches, batch by batch."""
-    code = encoder(ranks_file)
-    for batch in batches:
-        out = []
-        for row, ids in enumerate(code.in_blocks(texts_of(batch))):
-            ids += end
-            n = len(ids) // 4
-            cuts = [0, *range(n % length or length, n + 1, length)]
-            out += [(row, k, a, ids[4 * a:4 * b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        yield batch, out
-
-
 def write_shards(docs: DataFrame, folder: str | None = None, length: int = 256, key: int = 20240607,
-                 per_shard: int = 65_536, end_id: int = 2,
+                 shard_bytes: int = 32 << 20, end_id: int = 2,
                  ranks_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """Writes shards and manifest.json when the result is read; returns doc_id, piece, start,
-    n_tokens, ids_crc32, slot, shard and offset (bytes) of every sequence.
+    """Writes shards and manifest.json; returns doc_id, piece, start, n_tokens, ids_crc32, slot,
+    shard and offset (bytes) of every sequence.
 
-    Ids are little-endian unsigned 16-bit integers. The folder must be one that all executors
-    share; by default it is a new one below spark.checkpoint.dir. Null and empty texts are end_id
-    alone. Repeated rows have their own slots. Other columns of docs are not looked at; an empty
-    table gives no shards and an empty result.
+    Ids are little-endian unsigned 16-bit integers. shard_bytes is the text behind a shard, on
+    average. The folder must be one that all executors share; by default it is a new one below
+    spark.checkpoint.dir. Null and empty texts are end_id alone. Repeated rows have their own slots.
+    Other columns of docs are not looked at; an empty table gives no shards and an empty result.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     rows = text_rows(docs)
+    sizes = (rows.groupBy(F.spark_partition_id().alias("task"))
+             .agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("bytes"))
+             .collect())  # a row for each task
+    expected = {r["task"]: r["n"] for r in sizes}
+    begins, n_docs = {}, 0
+    for task in sorted(expected):
+        begins[task], n_docs = n_docs, n_docs + expected[task]
+    most = (max((r["longest"] or 0 for r in sizes), default=0) + 1) // length + 1
+    domain = max(1, n_docs * most)
+    n_shards = max(1, -(-sum(r["bytes"] or 0 for r in sizes) // shard_bytes))
+    width = -(-domain // n_shards)
     end = np.array([end_id], "<u4").tobytes()
     stride = 2 * length
 
-    def count(batches):
-        n = sum(len(out) for _, out in sequences(batches, length, end, ranks_file))
-        yield {"task": [TaskContext.get().partitionId()], "n": [n]}
-
-    counted = sorted(tuple(r) for r in arrow_map(rows, count, "task int, n long").collect())
-    counts = np.array([n for _, n in counted], np.int64)
-    begins = {task: int(b) for (task, _), b in zip(counted, np.cumsum(counts) - counts)}
-    expected = dict(counted)
-    total = int(counts.sum())
-    n_shards = max(1, -(-total // per_shard))
-    fs, root = files_at(folder)
-    fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/manifest.json") as out:
-        out.write(json.dumps({"sequences": total, "length": length, "stride": stride, "dtype": "<u2",
-                              "per_shard": per_shard, "shards": n_shards, "key": key, "end_id": end_id}).encode())
-
     def place(batches):
         task = TaskContext.get().partitionId()
-        at = 0
-        for batch, own in sequences(batches, length, end, ranks_file):
-            ids = batch.column("doc_id").to_pylist()
-            number = begins.get(task, 0) + at + np.arange(len(own))
-            at += len(own)
-            if at > expected.get(task, 0):
-                raise RuntimeError("the documents changed between the two passes")
-            slot = permute(number, total, key)
-            filler = np.full(length, end_id, "<u2").tobytes()
-            yield {"doc_id": [ids[row] for row, _, _, _ in own], "piece": [k for _, k, _, _ in own],
-                   "start": [a for _, _, a, _ in own], "n_tokens": [len(x) // 4 for _, _, _, x in own],
-                   "ids_crc32": [zlib.crc32(x) for _, _, _, x in own],
-                   "slot": slot, "shard": slot // per_shard,
-                   "record": [(np.frombuffer(x, "<u4").astype("<u2").tobytes() + filler)[:stride] for _, _, _, x in own]}
-        if at != expected.get(task, 0):
-            raise RuntimeError("the documents changed between the two passes")
-
-    names = ["doc_id", "piece", "start", "n_tokens", "ids_crc32", "slot", "shard"]
+        code = encoder(ranks_file)
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+        at = begins.get(task, 0)
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "n_tokens", "ids_crc32", "number", "record")}
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), code.encode_all(texts_of(batch))):
+                ids += end
+                n = len(ids) // 4
+                short = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                cuts = [0, *range(n % length or length, n + 1, length)]
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    for name, value in (("doc_id", doc_id), ("piece", k), ("start", a), ("n_tokens", b - a),
+                                        ("ids_crc32", zlib.crc32(ids[4 * a:4 * b])), ("number", at * most + k),
+                                        ("record", pack(short[2 * a:2 * b]))):
+                        out[name].append(value)
+                at += 1
+            order = permute(np.array(out.pop("number"), np.uint64), domain, key)
+            yield out | {"order": order, "shard": order // width}
+        if at - begins.get(task, 0) != expected.get(task, 0):
+            raise RuntimeError("the documents changed after they were counted")
+
+    names = ["doc_id", "piece", "start", "n_tokens", "ids_crc32", "shard"]
     placed = arrow_map(rows, place, "doc_id long, piece int, start long, n_tokens long, ids_crc32 long, "
-                       "slot long, shard int, record binary")
-    ranged = placed.repartitionById(n_shards, "shard").sortWithinPartitions("slot")
+                       "order long, shard int, record binary")
+    ranged = placed.repartitionById(n_shards, "shard").sortWithinPartitions("order")
 
     def write(batches):
         fs, root = files_at(folder)
-        stream = name = None
-        following = 0
+        unpack = zstandard.ZstdDecompressor().decompress
+        filler = np.full(length, end_id, "<u2").tobytes()
+        stream, n = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            slots = batch.column("slot").to_numpy(zero_copy_only=False)
             if stream is None:
-                shard = int(batch.column("shard")[0].as_py())
-                name, part = f"{root}/shard-{shard:08d}.bin", f"{root}/.{uuid.uuid4().hex}.part"
-                stream, following = fs.open_output_stream(part), shard * per_shard
-            if not np.array_equal(slots, following + np.arange(len(slots))):
-                raise RuntimeError("slots of a shard are not dense")
-            following += len(slots)
-            stream.write(b"".join(batch.column("record").to_pylist()))
-            yield {n: batch.column(n) for n in names} | {"offset": slots % per_shard * stride}
+                name = f"{root}/shard-{batch.column('shard')[0].as_py():08d}.bin"
+                part = f"{root}/.{uuid.uuid4().hex}.part"
+                stream = fs.open_output_stream(part)
+            stream.write(b"".join([(unpack(r) + filler)[:stride] for r in batch.column("record").to_pylist()]))
+            yield {c: batch.column(c) for c in names} | {"nth": n + np.arange(batch.num_rows)}
+            n += batch.num_rows
         if stream is not None:
             stream.close()
             fs.move(part, name)
 
-    return arrow_map(ranged, write, "doc_id long, piece int, start long, n_tokens long, ids_crc32 long, "
-                     "slot long, shard int, offset long")
+    fs, root = files_at(folder)
+    fs.create_dir(root, recursive=True)
+    written = arrow_map(ranged, write, "doc_id long, piece int, start long, n_tokens long, ids_crc32 long, "
+                        "shard int, nth long")
+    written.write.parquet(f"{folder}/index")
+    index = spark.read.parquet(f"{folder}/index")
+    full = index.groupBy("shard").agg(F.count("*").alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    firsts = full.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    with fs.open_output_stream(f"{root}/manifest.json") as out:
+        out.write(json.dumps({"length": length, "stride": stride, "dtype": "<u2", "key": key, "end_id": end_id,
+                              "shards": [[r["shard"], r["n"]] for r in full.orderBy("shard").collect()]}).encode())
+    return index.join(firsts.drop("n"), "shard").select(
+        "doc_id", "piece", "start", "n_tokens", "ids_crc32", (F.col("first") + F.col("nth")).alias("slot"),
+        "shard", (F.col("nth") * stride).alias("offset"))
 
 
 def read_slots(folder: str, start: int, n: int) -> np.ndarray:
@@ -156,11 +156,14 @@ def read_slots(folder: str, start: int, n: int) -> np.ndarray:
     fs, root = files_at(folder)
     with fs.open_input_stream(f"{root}/manifest.json") as file:
         kept = json.loads(file.read())
-    stop = min(start + n, kept["sequences"])
+    ends = np.cumsum([m for _, m in kept["shards"]]).tolist()
+    stop = min(start + n, ends[-1] if ends else 0)
     rows = []
     while start < stop:
-        shard, at = divmod(start, kept["per_shard"])
-        m = min(stop - start, kept["per_shard"] - at)
+        k = bisect_right(ends, start)
+        shard, size = kept["shards"][k]
+        at = start - (ends[k] - size)
+        m = min(stop - start, size - at)
         with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as file:
             rows.append(np.frombuffer(file.read_at(m * kept["stride"], at * kept["stride"]), kept["dtype"]))
         start += m

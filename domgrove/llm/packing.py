@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2,
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length",
                                                     "ids_crc32", "task", "nth", "ids")}
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), code.in_blocks(texts_of(batch))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), code.encode_all(texts_of(batch))):
                 ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]

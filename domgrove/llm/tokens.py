@@ -1,86 +1,71 @@
 """Token ids of the byte-level vocabulary, many texts at a time.
 
 Between two characters of which the second is a space before something else, the pre-tokeniser
-always cuts; so the ids of a text are those of its pieces between single spaces, and pieces are
-encoded once per worker as long as they fit the cache. Those that are new in a batch are encoded
-together. The ranks file holds the same vocabulary as the JSON file; a test compares the ids.
+always cuts; so the ids of a text are those of its pieces between single spaces, and a piece is
+encoded once per worker while there is room to remember it. The ranks file holds the same
+vocabulary as the JSON file; a test compares the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 import tiktoken
 
 #: A space with white space on both sides; texts that have one are encoded in one go.
 WIDE = re.compile(r"(?<=\s) (?=\s)")
+SPACES = [" " + chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+
+
+def is_wide(text: str) -> bool:
+    return any(s in text for s in SPACES) and WIDE.search(text) is not None
+
+
+class Pieces(dict):
+    """Ids, as bytes, of pieces with the space before them; keeps the first `limit` it is asked for."""
+
+    def __init__(self, encoding: tiktoken.Encoding, limit: int):
+        super().__init__()
+        self.limit = limit
+        self.any, self.one = encoding._core_bpe.encode_ordinary, encoding._core_bpe.encode_single_piece
+
+    def __missing__(self, piece: str) -> bytes:
+        text = " " + piece
+        # Letters only: the pre-tokeniser leaves them in one piece with the space.
+        value = array("I", self.one(text.encode()) if piece.isalpha() else self.any(text)).tobytes()
+        if len(self) < self.limit:
+            self[piece] = value
+        return value
 
 
 class Encoder:
     """Encodes texts to ids; each result is the little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, ranks_file: str = "byte_bpe_50k.tiktoken", limit: int = 300_000):
+    def __init__(self, ranks_file: str = "byte_bpe_50k.tiktoken", limit: int = 400_000):
         with open(public_tokenizers.path(ranks_file), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN,
                                           mergeable_ranks=ranks, special_tokens={})
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for piece, rank in ranks.items():
-            self.n_bytes[rank] = len(piece)
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.pieces = Pieces(self.encoding, limit)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if WIDE.search(t) else t.split(" ") for t in texts]
-        pieces = set()
-        for parts in split:
-            if parts:
-                pieces.update(parts[1:])
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        known.update(self._ids(new))
-        get = known.__getitem__
-        out = [self.whole(t) if parts is None
-               else self.whole(parts[0]) + b"".join(map(get, parts[1:]))
-               for t, parts in zip(texts, split)]
-        for piece in new[max(0, self.limit - len(known) + len(new)):]:
-            del known[piece]
-        return out
-
-    def _ids(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of each piece with the space before it."""
-        found = {}
-        plain = []
-        for piece in new:
-            if piece and piece[0] > " " and not piece[0].isspace():
-                plain.append(piece)
-            else:
-                found[piece] = self.whole(" " + piece)
-        if plain:
-            ids = np.array(self.encoding.encode_ordinary(" " + " ".join(plain)), "<u4")
-            ends = np.cumsum([1 + len(p.encode()) for p in plain])
-            at = [0, *(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1).tolist()]
-            raw = ids.tobytes()
-            found.update((p, raw[4 * a:4 * b]) for p, a, b in zip(plain, at, at[1:]))
-        return found
-
-    def in_blocks(self, texts: list[bytes], block: int = 1 << 21) -> Iterator[bytes]:
-        """Ids of UTF-8 texts, in order, some 2 MB of text at a time."""
-        held, size = [], 0
+        return array("I", self.encoding.encode_ordinary(text)).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if is_wide(text):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        return self.whole(first) + b"".join(map(self.pieces.__getitem__, rest))
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of UTF-8 texts, in order."""
         for text in texts:
-            held.append(text.decode("utf-8", "replace"))
-            size += len(text)
-            if size >= block:
-                yield from self.encode(held)
-                held, size = [], 0
-        yield from self.encode(held)
+            yield self.encode(text.decode("utf-8", "replace"))
 
 
 _ENCODERS: dict[str, Encoder] = {}
