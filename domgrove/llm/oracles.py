@@ -48,3 +48,29 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.root) AS componen
 FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.node = d.doc_id
 GROUP BY d.doc_id, s.n
 """
+
+OP2 = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (
+  SELECT doc_id, i, md5(substring(h, 2 * i + 1, 200)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS i FROM docs)),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM starts)
+  WHERE nth > 1),
+joined AS (
+  SELECT doc_id, i, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) >= i - 100 THEN 0 ELSE 1 END AS new
+  FROM later),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS nth FROM joined)
+  GROUP BY doc_id, nth),
+cuts AS (
+  SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substring(h, 2 * coalesce(p, 0) + 1, 2 * (a - coalesce(p, 0))), '' ORDER BY a) AS kept, max(b) AS last
+  FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM spans) s JOIN docs USING (doc_id)
+  GROUP BY s.doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN cuts c ON c.doc_id = d.doc_id
+"""

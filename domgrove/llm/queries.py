@@ -14,6 +14,7 @@ from domgrove.llm import (
     quality_classifier,
     quality_rules,
     substring,
+    suffixes,
     token_counts,
     toxicity,
 )
@@ -35,6 +36,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(documents(spark, sf_dir)).drop("spans")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +67,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op3_decontamination, op4_packing, op5_quality_rules, op6_quality_classifier,
+    op1_token_counts, op2_suffix_dedup, op3_decontamination, op4_packing, op5_quality_rules, op6_quality_classifier,
     op7_near_dedup, op8_substring_dedup, op9_token_ids, op10_toxicity)}
-ORACLES: dict[str, str] = {"op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": oracles.OP2, "op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8}

@@ -19,6 +19,7 @@ time and changes nothing in the result; `cells` can be raised.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,8 +49,16 @@ def cells_of(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(hashes + np.uint64(row + 1)) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def repeated_cells(docs: DataFrame, size: int = 20, cells: int = CELLS) -> list[np.ndarray]:
-    """For each row of the sketch the bits of cells counted twice or more, packed."""
+def anchors_seen(texts: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the anchors of all windows, each place once."""
+    _, anchors, runs, _ = anchored(Block(texts), size)
+    return runs[np.unique(anchors)]
+
+
+def repeated_cells(docs: DataFrame, seen_in: Callable[[list[bytes]], np.ndarray], cells: int = CELLS
+                   ) -> list[np.ndarray]:
+    """For each row of the sketch the bits of cells that the hashes seen in texts count twice or
+    more, packed."""
     small = min(cells, BLOCK_CELLS)
 
     def count(batches):
@@ -57,8 +66,7 @@ def repeated_cells(docs: DataFrame, size: int = 20, cells: int = CELLS) -> list[
         for batch in batches:
             texts = texts_of(batch)
             for a, b in in_blocks(texts):
-                _, anchors, runs, _ = anchored(Block(texts[a:b]), size)
-                seen = runs[np.unique(anchors)]
+                seen = seen_in(texts[a:b])
                 for row, counters in enumerate(rows):
                     own, n = np.unique(cells_of(seen, row, cells), return_counts=True)
                     counters[own] = np.minimum(counters[own] + np.minimum(n, 2), 2)
@@ -124,7 +132,7 @@ def with_firsts(docs: DataFrame, size: int, cells: int, whole: bool = False):
     """The keyed documents with `firsts`, the starts of those of their candidate windows that are
     the first of their kind; and the broadcast sketch, to find the candidates again."""
     spark = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(repeated_cells(docs, size, cells))
+    sketch = spark.sparkContext.broadcast(repeated_cells(docs, lambda texts: anchors_seen(texts, size), cells))
 
     def windows(batches):
         bits = sketch.value
