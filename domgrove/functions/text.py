@@ -65,7 +65,7 @@ def decode_references(col: Column, in_attribute: bool = False) -> Column:
     names = _names()
 
     def decode(piece: Column) -> Column:
-        name = F.substring(piece, 2, 64)
+        name = F.substr(piece, F.lit(2))
         named = F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
         return (
             F.when(~piece.startswith("&") | (F.length(piece) == 1), piece)

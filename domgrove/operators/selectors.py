@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from domgrove.functions.attributes import attribute
 from domgrove.operators.outline import class_text
-from domgrove.operators.shred import default_partitions
 from domgrove.sources.tables import cut_lineage
 
 # Fixed value: own text must be longer than this to identify an element.
@@ -53,7 +52,7 @@ def selectors(nodes: DataFrame) -> DataFrame:
     rounds = ceil(log2(deepest)) if deepest > 1 else 0
     if rounds:
         # Every round joins on page_id first, so one exchange serves them all.
-        paths = paths.repartition(default_partitions(nodes), "page_id")
+        paths = paths.repartition("page_id")
     for _ in range(rounds):
         paths = cut_lineage(paths)
         above = paths.select("page_id", F.col("node_id").alias("up"), F.col("path").alias("head"),

@@ -8,13 +8,13 @@ page_id first and reuses it. The tree is found in three steps, from the outside
 3. inline elements pair inside the innermost container or item. What has no end tag there
    ends with the element around it.
 
-So an end tag never reaches across a container, and every interval nests in another.
+So an end tag never reaches across a container. Where inline elements cross, an element ends with
+the first end tag of any that was open when it began, its own included; so every interval nests in
+another: what begins inside an element ends no later than it.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,10 +41,6 @@ from domgrove.functions.tokens import (
 
 RANKS = sorted(set(V.ITEM_RANK.values()))
 
-# Sizing: html per shuffle partition, growth of compressed files, most partitions of one
-# shuffle, and the share of a scan that is worth a task of its own.
-PARTITION_BYTES, EXPANSION, MAX_PARTITIONS, SPLIT_BYTES = 256 << 20, 4, 20_000, 4 << 20
-
 # Kinds of rows beside those of the tokens: start of a paired container, and its end tag.
 CONTAINER, SCOPE_END = 11, 12
 
@@ -89,10 +85,10 @@ def _step(opening: Column, closing: Column) -> Column:
 def open_tags(pages: DataFrame) -> DataFrame:
     """Start tags with their attributes: page_id, node_id, tag, attrs, attr.
 
-    A narrow step without sort, and for all but small inputs without exchange, enough for rules that look at a tag and its
-    attributes only. Its node_id is the one `shred` gives.
+    A narrow step without sort or exchange, enough for rules that look at a tag and its attributes
+    only. Its node_id is the one `shred` gives.
     """
-    tags = explode_tokens(_spread_small(pages)).filter(_is(OPEN, VOID, OPAQUE))
+    tags = explode_tokens(pages).filter(_is(OPEN, VOID, OPAQUE))
     return _with_attributes(
         tags.select("page_id", F.col("pos").alias("node_id"), "tag",
                     F.col("raw").alias("tag_text"))
@@ -258,8 +254,22 @@ def _end_inline(tags: DataFrame) -> DataFrame:
         closing & (F.lag("kind").over(by_level) == OPEN), CLOSE)
     next_at, next_len = F.lead("at").over(by_level), F.lead("len").over(by_level)
 
-    # Pairs open at a place, by running depth; the inner one of two that cross ends with the
-    # outer one.
+    # Pairs that cross: a running sum of random numbers of the pairs tells whether the same are
+    # open before and after a pair. Only those of a block that cross are listed for its rows.
+    block = W.partitionBy("page_id", "block")
+    number = F.pmod(F.xxhash64(F.when(_is(OPEN), F.col("at")).otherwise(F.col("pair_start"))), F.lit(1 << 40))
+    open_set = F.sum(_step(F.col("link") == OPEN, F.col("link") == CLOSE) * number).over(_so_far("block"))
+    crosses = (F.col("link") == OPEN) & (F.lead("open_set").over(by_level) != F.col("open_set") - number)
+    crossing = F.collect_list(F.when(F.col("crosses"), F.struct(
+        F.col("at").alias("start"), F.col("pair_end").alias("end")))).over(block)
+    clipped = F.array_min(F.transform(
+        F.filter("crossing", lambda y: (y["start"] <= F.col("at")) & (y["end"] > F.col("at"))),
+        lambda y: y["end"]))
+    ended_here = F.when(
+        F.exists("crossing", lambda y: y["end"] == F.col("at")),
+        F.size(F.filter("clipped_ends", lambda end: end == F.col("at")))).otherwise(1)
+
+    # Pairs open at a place, by running depth.
     here = F.col("depth")
     linked_open = F.col("link") == OPEN
     head_of_pair = F.col("is_head")
@@ -290,11 +300,23 @@ def _end_inline(tags: DataFrame) -> DataFrame:
             "link": link,
             "pair_end": F.when(opening, next_at),
             "pair_len": F.when(opening, next_len),
+            "pair_start": F.when(closing, F.lag("at").over(by_level)),
         })
+        .withColumn("open_set", open_set)
+        .withColumn("crosses", F.coalesce(crosses, F.lit(False)))
         .filter(~_is(CLOSE) | (F.col("link") == CLOSE) | F.col("tail").isNotNull())
-        .drop("key", "level")
-        .withColumn("depth", F.sum(_step(F.col("link") == OPEN, F.col("link") == CLOSE))
+        .withColumn("crossing", crossing)
+        .withColumn("clipped", F.when(F.col("crosses"), clipped))
+        .withColumn("clipped_ends", F.collect_list("clipped").over(block))
+        .withColumns({
+            "pair_len": F.when(F.col("clipped") < F.col("pair_end"), 0).otherwise(F.col("pair_len")),
+            "pair_end": F.coalesce("clipped", "pair_end"),
+            "n_ended": F.when(F.col("link") == CLOSE, ended_here),
+        })
+        .drop("key", "level", "open_set", "crosses", "crossing", "clipped", "clipped_ends", "pair_start")
+        .withColumn("depth", F.sum(F.when(F.col("link") == OPEN, 1).otherwise(-F.coalesce("n_ended", F.lit(0))))
                     .over(_so_far("block")))
+        .drop("n_ended")
         .withColumn("place", F.explode(places))
         .select("*", "place.*").drop("place", "depth")
         .withColumn("pair", pair)
@@ -378,53 +400,19 @@ def _with_depth(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _size_in_bytes(df: DataFrame) -> int | None:
-    """Input size as Spark estimates it; None when it cannot tell (it then says a huge number)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else None
-
-
-def default_partitions(pages: DataFrame) -> int:
-    """Shuffle partitions for about 256 MB of html each, within the limits of one shuffle.
-
-    Compressed files hold some four times their size. Never fewer than the session asks for.
-    """
-    at_least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = _size_in_bytes(pages)
-    wanted = at_least if size is None else -(-size * EXPANSION // PARTITION_BYTES)
-    return max(at_least, min(wanted, MAX_PARTITIONS))
-
-
-def is_clustered(pages: DataFrame) -> bool:
-    """Whether the rows are partitioned by page_id already, as in a table bucketed by it."""
-    partitioning = pages._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
-    return re.match(r"hashpartitioning\(page_id#\d+L?, \d+\)$", partitioning) is not None
-
-
-def _spread_small(pages: DataFrame) -> DataFrame:
-    """Give every core a share of an input too small for the scan to split it that far.
-
-    Large inputs are left as they are: their scan has tasks enough, and nothing is moved.
-    """
-    spark = pages.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = _size_in_bytes(pages)
-    if size is None or size >= cores * SPLIT_BYTES:
-        return pages
-    return pages.repartition(cores, "page_id")
-
-
-def shred(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+def shred(pages: DataFrame, partitions: int | None = None, clustered: bool = False) -> DataFrame:
     """One row per element of every page; see the README for the columns.
 
-    `pages` needs page_id (unique), and html (not null). Pages from a table bucketed by page_id
-    are worked on where they are; others are moved once.
+    `pages` needs page_id (unique: see split_pages), and html (not null). They are moved once, to
+    `partitions` or as many as spark.sql.shuffle.partitions says; some 256 MB of html each are
+    right. `clustered` tells that they come from a table bucketed by page_id: then they are worked
+    on where they are.
     """
     pages = pages.select("page_id", "html")
-    if partitions is None and is_clustered(pages):
+    if clustered:
         spread = pages
     else:
-        spread = pages.repartition(partitions or default_partitions(pages), "page_id")
+        spread = pages.repartition(*[n for n in [partitions] if n], "page_id")
     found = _gather(_end_inline(_end_items(_scope_by_container(_pair_containers(_tags(spread))))))
     siblings = W.partitionBy("page_id", "parent_id")
     same_tag = W.partitionBy("page_id", "parent_id", "tag")

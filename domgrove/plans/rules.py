@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from domgrove.operators.selection import Selection, number, tag_test, values_of
 from domgrove.operators.shred import open_tags
 
-MAX_RULES = 10_000
-
 
 @dataclass(frozen=True)
 class Step:
@@ -77,12 +75,10 @@ PRESETS: dict[str, Rule] = {
 def rules_from_table(table: DataFrame) -> dict[str, Rule]:
     """Rules kept as rows: rule, steps array<struct<axis,test,where>>, emit.
 
-    `where` is a Spark SQL condition over the node table, or empty. A rule set is a setting of
-    the job, so it is read to the driver; one too large to be that is refused.
+    `where` is a Spark SQL condition over the node table, or empty. A rule set becomes the plan of
+    a job, so it is read to the driver.
     """
-    rows = table.select("rule", "steps", "emit").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    rows = table.select("rule", "steps", "emit").collect()
     return {
         row["rule"]: Rule(
             tuple(Step(s["axis"], s["test"], (s["where"],) if s["where"] else ())

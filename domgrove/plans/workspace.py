@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from domgrove.operators.shred import default_partitions, shred
+from domgrove.operators.shred import shred
 from domgrove.session import configure
 from domgrove.sources.pages import read_pages
 from domgrove.sources.tables import load_nodes, save_nodes
@@ -30,7 +30,7 @@ def nodes_of(spark: SparkSession, folder: str) -> DataFrame:
         pages = pages_of(spark, folder)
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared:
-            buckets = default_partitions(pages)
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
             name = f"nodes_{uuid4().hex}"
             save_nodes(shred(pages, buckets), name, f"{shared}/{name}", buckets)
             _tables[key] = load_nodes(spark, name)

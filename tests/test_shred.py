@@ -31,6 +31,11 @@ PAGES = {
                 "select(optgroup(option(a) option(b)) optgroup(option(c)))"),
     "stray_end": ("<div>a</b></p></li>b</div></div>c", "div(a b) c"),
     "crossing_inline": ("<p><b><i>x</b>y</i>z", "p(b(i(x)) y z)"),
+    "crossing_three": ("<p><b><i><u>x</b></i></u>y", "p(b(i(u(x))) y)"),
+    "crossing_chain": ("<p><a>1<b>2</a>3<i>4</b>5<u>6</i>7</u>8</p>", "p(a(1 b(2)) 3 i(4) 5 u(6) 7 8)"),
+    "crossing_deep": ("<em>b<q>c<s>d</em>e<u>f</s>g</q>h", "em(b q(c s(d))) e u(f g h)"),
+    "crossing_inside": ("<span>1<b>2<i>3</b>4</i>5</span>6", "span(1 b(2 i(3)) 4 5) 6"),
+    "crossing_same": ("<b>1<b>2<i>3</b>4</i>5</b>6", "b(1 b(2 i(3)) 4 5) 6"),
     "crossing_blocks": ("<div><section>a</div>b</section>c", "div(section(a) b) c"),
     "end_tag_beyond_block": ("<div><b>a</div><div>b</b>c</div>", "div(b(a)) div(b c)"),
     "inline_around_block": ("<a><div>x</div>y</a>z", "a(div(x) y) z"),
@@ -182,11 +187,19 @@ def test_large_input(spark, make_pages):
     assert rows[6]["max(depth)"] == 3001
 
 
-def test_random_markup_nests(spark, make_pages):
-    """Any mix of tags gives a tree: every element lies inside its parent."""
+MIXES = {
+    "all": ["div", "p", "b", "i", "ul", "li", "table", "tr", "td", "a", "h1", "h2", "span", "dl",
+            "dd", "select", "option", "section"],
+    "inline": ["b", "i", "u", "a", "em", "q", "s", "span"],
+    "inline_in_blocks": ["b", "i", "u", "a", "em", "p", "div", "li"],
+}
+
+
+@pytest.mark.parametrize("mix", MIXES)
+def test_random_markup_nests(spark, make_pages, mix):
+    """Any mix of tags gives a tree: every element lies inside its parent, text in its element."""
     random.seed(7)
-    tags = ["div", "p", "b", "i", "ul", "li", "table", "tr", "td", "a", "h1", "h2", "span", "dl",
-            "dd", "select", "option", "section"]
+    tags = MIXES[mix]
     pages = ["".join(random.choice([f"<{t}>", f"</{t}>", "x", " "])
                      for t in random.choices(tags, k=60)) for _ in range(300)]
     nodes = shred(make_pages(pages), 4)
@@ -194,13 +207,22 @@ def test_random_markup_nests(spark, make_pages):
     index = {(r.page_id, r.node_id): r for r in rows}
     starts = sum(page.count(f"<{t}>") for page in pages for t in tags)
     assert len(rows) == starts + 3 * len(pages)
-    crossing = 0
     for row in rows:
         if row.parent_id is not None:
             parent = index[row.page_id, row.parent_id]
-            assert parent.node_id < row.node_id
-            crossing += row.end_pos > parent.end_pos
-    assert sum(r.n_crossing for r in nesting(nodes).collect()) == crossing
-    assert crossing <= len(rows) // 100
+            assert parent.node_id < row.node_id and row.end_pos <= parent.end_pos
+            assert row.depth == parent.depth + 1
+        else:
+            assert row.tag == "html"
+    assert sum(r.n_crossing for r in nesting(nodes).collect()) == 0
     text = sum(len(t.text.replace(" ", "")) for r in rows for t in r.texts)
     assert text == sum(page.count("x") for page in pages)
+    # The source of an element holds as many letters as it and the elements below it have as text.
+    total = {}
+    for row in sorted(rows, key=lambda r: -r.node_id):
+        key = (row.page_id, row.node_id)
+        total[key] = total.get(key, 0) + sum(len(t.text.replace(" ", "")) for t in row.texts)
+        if row.parent_id is not None:
+            up = (row.page_id, row.parent_id)
+            total[up] = total.get(up, 0) + total[key]
+        assert pages[row.page_id][row.off:row.off + row.len].count("x") == total[key]
