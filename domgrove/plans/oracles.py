@@ -90,7 +90,6 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTE
 FROM r WHERE {where}"""
 
 
-_NOTHING = "SELECT page_id, CAST(1 AS INTEGER) AS idx, html AS value FROM pages WHERE html LIKE '%{}=%'"
 
 _RULE_SET = f"""{NODES},
 hits AS (
@@ -195,10 +194,23 @@ ORACLES: dict[str, str] = {
           WHEN contains(url, 'utm_source') THEN '  ' ELSE url END AS url,
         CASE WHEN contains(url, '#top') OR contains(url, 'utm_source') THEN 'no address' ELSE 'no body' END AS reason
         FROM pages WHERE contains(url, '#top') OR contains(url, 'utm_source') OR contains(url, 'ref=x')""",
+    "rejects_repeated": """SELECT page_id, url, 'repeated page id' AS reason FROM pages WHERE page_id % 10 = 0
+        UNION ALL SELECT page_id, url, 'repeated page id' FROM pages WHERE page_id % 10 = 0""",
+    "quoted_attributes": """
+        WITH m AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages),
+        r AS (SELECT page_id, unnest(list_transform(range(2 * len(l)), lambda i:
+            CASE WHEN i % 2 = 0 THEN 'href=' || l[i // 2 + 1] ELSE 'rel=no-follow' END)) AS value,
+            unnest(range(2 * len(l))) AS i FROM m)
+        SELECT page_id, CAST(i + 1 AS INTEGER) AS idx, value FROM r""",
+    "numeric_references": _found("<p>([^<]*)", "trim('AB– ' || " + _plain("v") + ")"),
+    "bare_pages": _found(_HREF),
+    "crossed_nesting": f"""{NODES} SELECT page_id, count(*) + count(*) FILTER (tag = 'b') AS n_elements,
+        CAST(0 AS BIGINT) AS n_crossing FROM nodes GROUP BY page_id""",
+    "crossed_text": _numbered("SELECT page_id, node_id, 0 AS item, own_text AS value FROM nodes WHERE tag = 'b'"),
     "links": _found(_HREF),
-    "preset_title": _NOTHING.format(" title"),
-    "preset_data_original": _NOTHING.format("data-original"),
-    "preset_data_src": _NOTHING.format("data-src"),
+    "preset_title": _found("<(li)>", "'t & u'"),
+    "preset_data_original": _found(_HREF),
+    "preset_data_src": _found(_HREF),
     "all_text": _numbered(_BLANKLESS),
     "absolute_path": _found(_HREF),
     "nav_links": _found(_A_TEXT, _plain("v"), html="regexp_extract(html, '(?s)^(.*?)</nav>', 1)"),
@@ -212,7 +224,7 @@ ORACLES: dict[str, str] = {
     "li_last": _rows("tag = 'li' AND sib_pos = sib_count"),
     "li_pos_lt3": _rows("tag = 'li' AND sib_pos < 3"),
     "li_pos_any": _rows("tag = 'li'"),
-    "p_first_child": _rows("tag = 'p' AND sib_pos = 1"),
+    "h1_first_child": _rows("tag = 'h1' AND sib_pos = 1"),
     "p_second_sibling": _rows("tag = 'p' AND sib_pos = 2"),
     "p_second_of_tag": _rows("tag = 'p' AND tag_pos = 2"),
     "children_by_position": _rows("tag IN ('h1', 'p') AND sib_pos BETWEEN 2 AND 4"),

@@ -13,7 +13,7 @@ from domgrove.operators.outline import outline
 from domgrove.operators.search import search
 from domgrove.operators.selection import Selection
 from domgrove.operators.selectors import selectors
-from domgrove.operators.shred import open_tags
+from domgrove.operators.shred import open_tags, shred
 from domgrove.plans import reports
 from domgrove.plans.rules import PRESETS, Rule, Step, rules_from_table, run_rules
 from domgrove.plans.workspace import nodes_of, pages_of
@@ -127,6 +127,66 @@ def _rejects(spark, folder) -> DataFrame:
     return split_pages(pages)[1]
 
 
+def rewritten(spark: SparkSession, folder: str, *changes: tuple[str, str]) -> DataFrame:
+    """All pages of a folder with regular expressions replaced in the html."""
+    html = F.col("html")
+    for pattern, replacement in changes:
+        html = F.regexp_replace(html, pattern, replacement)
+    return pages_of(spark, folder).withColumn("html", html)
+
+
+# The pages with each link turned into an image that is loaded late, and items with a title.
+LAZY = (("<a href=", "<img data-src="), ("</a>", ""), ("<li>", "<li title='t &amp; u'>"))
+# Attributes without quotes or in single ones, repeated, and in capitals; numeric references.
+QUOTES = (('<a href="([^"]*)"', "<A HREF='$1' href=x\n rel=no&#45;follow>"), ("<p>", "<p>&#65;&#x42;&#150; "))
+# Pages without start tags of html, head and body, and lists without end tags of items.
+BARE = (("</?(html|head|body)>", ""), ("</li>", ""))
+# Bold text whose end tag comes after that of an inserted element.
+CROSSED = (("<b>", "<b><i>"), ("</b>", "</b></i>"))
+
+
+def _shredded(*changes: tuple[str, str]) -> Callable:
+    def run(spark, folder):
+        pages = rewritten(spark, folder, *changes)
+        return Selection(shred(pages), pages)
+    return run
+
+
+def _lazy(name: str) -> Query:
+    return lambda spark, folder: run_rules(
+        rewritten(spark, folder, *LAZY, *([("data-src", "data-original")] if name == "@data-original" else [])),
+        {name: PRESETS[name]}).select("page_id", "idx", "value")
+
+
+def _quoted(spark, folder) -> DataFrame:
+    return _shredded(*QUOTES)(spark, folder).descendant("a").attrs()
+
+
+def _references(spark, folder) -> DataFrame:
+    return _shredded(*QUOTES)(spark, folder).descendant("p").normalized_text()
+
+
+def _bare(spark, folder) -> DataFrame:
+    """Items under the tags that were put in."""
+    return (_shredded(*BARE)(spark, folder).child("html").child("body").child("nav").child("ul").child("li")
+            .child("a").attr("href"))
+
+
+def _crossed(spark, folder) -> DataFrame:
+    pages = rewritten(spark, folder, *CROSSED)
+    return reports.nesting(shred(pages)).select("page_id", "n_elements", "n_crossing")
+
+
+def _crossed_text(spark, folder) -> DataFrame:
+    return _shredded(*CROSSED)(spark, folder).descendant("b").child("i").normalized_text()
+
+
+def _repeated(spark, folder) -> DataFrame:
+    """Every tenth page stands twice; all copies are rejected."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return split_pages(pages.union(pages.filter("page_id % 10 = 0")), check_ids=True)[1]
+
+
 def _nesting(spark, folder) -> DataFrame:
     return reports.nesting(nodes_of(spark, folder)).select(
         "page_id", "n_elements", "max_depth", "n_crossing")
@@ -142,11 +202,17 @@ QUERIES: dict[str, Query] = {
     "tree": _tree,
     "nesting": _nesting,
     "rejects": _rejects,
+    "rejects_repeated": _repeated,
+    "quoted_attributes": _quoted,
+    "numeric_references": _references,
+    "bare_pages": _bare,
+    "crossed_nesting": _crossed,
+    "crossed_text": _crossed_text,
     # presets
     "links": _light("@href"),
-    "preset_title": _light("@title"),
-    "preset_data_original": _light("@data-original"),
-    "preset_data_src": _light("@data-src"),
+    "preset_title": _lazy("@title"),
+    "preset_data_original": _lazy("@data-original"),
+    "preset_data_src": _lazy("@data-src"),
     "all_text": _values(lambda s: s.descendant("*").text()),
     # steps
     "absolute_path": _values(lambda s: s.child("html").child("body").child("nav").child("ul")
@@ -162,7 +228,7 @@ QUERIES: dict[str, Query] = {
     "li_last": _elements(lambda s: s.descendant("li").where(C.last())),
     "li_pos_lt3": _elements(lambda s: s.descendant("li").where(C.pos("<", 3))),
     "li_pos_any": _elements(lambda s: s.descendant("li").where(C.pos())),
-    "p_first_child": _elements(lambda s: s.descendant("p").where(C.nth(1))),
+    "h1_first_child": _elements(lambda s: s.descendant("h1").where(C.nth(1))),
     "p_second_sibling": _elements(lambda s: s.descendant("p").where(C.nth(2))),
     "p_second_of_tag": _elements(lambda s: s.descendant("p").where(C.nth(2, of="tag"))),
     "children_by_position": _elements(_children_by_position),

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def split_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages that can be worked on, and (page_id, url, reason) of those that cannot."""
+def split_pages(pages: DataFrame, check_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pages that can be worked on, and (page_id, url, reason) of those that cannot.
+
+    `check_ids` also rejects all pages whose page_id is not unique: their trees would be mixed. Ids
+    are counted before they are moved.
+    """
     address = F.trim(F.col("url"))
     reason = (
         F.when(F.col("page_id").isNull(), "no page id")
@@ -19,13 +23,18 @@ def split_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("page_id").isNotNull() & F.col("url").isNotNull() & F.col("html").isNotNull()
         & ~address.isin("", "https://")).select("page_id", "url", "html")
     rejects = pages.select("page_id", "url", reason.alias("reason")).filter("reason IS NOT NULL")
+    if check_ids:
+        repeated = repeated_ids(valid).select("page_id")
+        twice = valid.join(repeated, "page_id", "left_semi").select(
+            "page_id", "url", F.lit("repeated page id").alias("reason"))
+        valid, rejects = valid.join(repeated, "page_id", "left_anti"), rejects.unionByName(twice)
     return valid, rejects
 
 
-def read_pages(spark: SparkSession, path: str, format: str = "parquet"
+def read_pages(spark: SparkSession, path: str, format: str = "parquet", check_ids: bool = False
                ) -> tuple[DataFrame, DataFrame]:
     """Read a table of page_id, url, html; returns pages and rejects."""
-    return split_pages(spark.read.format(format).load(path).select("page_id", "url", "html"))
+    return split_pages(spark.read.format(format).load(path).select("page_id", "url", "html"), check_ids)
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
