@@ -16,14 +16,14 @@ from domgrove.operators.selectors import selectors
 from domgrove.operators.shred import open_tags, shred
 from domgrove.plans import reports
 from domgrove.plans.rules import PRESETS, Rule, Step, rules_from_table, run_rules
-from domgrove.plans.workspace import nodes_of, pages_of
+from domgrove.plans.workspace import nodes_of, pages_beside, pages_of
 from domgrove.sources.pages import split_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _start(spark: SparkSession, folder: str) -> Selection:
-    return Selection(nodes_of(spark, folder), pages_of(spark, folder))
+    return Selection(nodes_of(spark, folder), pages_beside(spark, folder))
 
 
 def _light(name: str) -> Query:
@@ -56,7 +56,7 @@ RULE_SET: dict[str, Rule] = {
 
 
 def _rule_set(spark, folder) -> DataFrame:
-    return run_rules(pages_of(spark, folder), RULE_SET, nodes_of(spark, folder))
+    return run_rules(pages_beside(spark, folder), RULE_SET, nodes_of(spark, folder))
 
 
 def _rule_table(spark, folder) -> DataFrame:
@@ -66,7 +66,7 @@ def _rule_table(spark, folder) -> DataFrame:
           "full_text"),
          ("plain_links", [("descendant", "a", "NOT contains(attr['href'], ',')")], "attr:href")],
         "rule string, steps array<struct<axis:string,test:string,where:string>>, emit string")
-    return run_rules(pages_of(spark, folder), rules_from_table(table), nodes_of(spark, folder))
+    return run_rules(pages_beside(spark, folder), rules_from_table(table), nodes_of(spark, folder))
 
 
 def _coverage(spark, folder) -> DataFrame:
@@ -84,7 +84,7 @@ def _not_found(spark, folder) -> DataFrame:
 
 def _reports_on(emit: str, tag: str) -> Query:
     def run(spark, folder):
-        results = run_rules(pages_of(spark, folder),
+        results = run_rules(pages_beside(spark, folder),
                             {tag: Rule((Step("descendant", tag),), emit)},
                             nodes_of(spark, folder))
         return reports.enrich(results)

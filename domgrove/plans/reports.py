@@ -17,10 +17,12 @@ def coverage(results: DataFrame) -> DataFrame:
 
 
 def not_found(pages: DataFrame, rules: Iterable[str], results: DataFrame) -> DataFrame:
-    """Pages and rules that gave nothing. The rule names are spread over each page in place."""
-    asked = pages.select("page_id", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule"))
-    found = results.select("page_id", "rule").distinct()
-    return asked.join(found, ["page_id", "rule"], "left_anti")
+    """Pages and rules that gave nothing. One row per page is joined; what is missing is exploded."""
+    asked = F.array(*[F.lit(r) for r in rules])
+    found = results.groupBy("page_id").agg(F.collect_set("rule").alias("found"))
+    missing = F.array_except(asked, F.coalesce("found", F.array().cast("array<string>")))
+    return (pages.select("page_id").join(found, "page_id", "left")
+            .select("page_id", F.explode(missing).alias("rule")))
 
 
 def enrich(results: DataFrame) -> DataFrame:

@@ -10,30 +10,58 @@ from pyspark.sql import DataFrame, SparkSession
 from domgrove.operators.shred import shred
 from domgrove.session import configure
 from domgrove.sources.pages import read_pages
-from domgrove.sources.tables import load_nodes, save_nodes
+from domgrove.sources.tables import load_nodes, remove_folder, save_nodes, save_pages
 
-_tables: dict[tuple[str, str], DataFrame] = {}
+# By application and folder: the node table, the pages beside it, and names of saved tables.
+_tables: dict[tuple[str, str], tuple[DataFrame, DataFrame, list[str]]] = {}
 
 
 def pages_of(spark: SparkSession, folder: str) -> DataFrame:
     return read_pages(configure(spark), f"{folder}/pages.parquet")[0]
 
 
-def nodes_of(spark: SparkSession, folder: str) -> DataFrame:
-    """The node table of a folder of pages, shredded once per session.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that the cluster names for files which all executors share."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
-    On a cluster that names a shared folder it is a bucketed table there, which outlives any
-    executor; elsewhere it is persisted, and lost parts are shredded again.
-    """
+
+def _made(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[str]]:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _tables:
         pages = pages_of(spark, folder)
-        shared = spark.conf.get("spark.checkpoint.dir", None)
+        shared = shared_folder(spark)
         if shared:
             buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            name = f"nodes_{uuid4().hex}"
-            save_nodes(shred(pages, buckets), name, f"{shared}/{name}", buckets)
-            _tables[key] = load_nodes(spark, name)
+            names = [f"{kind}_{uuid4().hex}" for kind in ("pages", "nodes")]
+            save_pages(pages, names[0], f"{shared}/{names[0]}", buckets)
+            pages = spark.table(names[0])
+            save_nodes(shred(pages, clustered=True), names[1], f"{shared}/{names[1]}", buckets)
+            _tables[key] = load_nodes(spark, names[1]), pages, names
         else:
-            _tables[key] = shred(pages).persist(StorageLevel.MEMORY_AND_DISK)
+            _tables[key] = shred(pages).persist(StorageLevel.MEMORY_AND_DISK), pages, []
     return _tables[key]
+
+
+def nodes_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The node table of a folder of pages, shredded once per session.
+
+    On a cluster that names a shared folder it is a bucketed table there, which outlives any
+    executor; elsewhere it is persisted, and lost parts are shredded again.
+    """
+    return _made(spark, folder)[0]
+
+
+def pages_beside(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of a folder, bucketed like its node table: joins of the two move no html."""
+    return _made(spark, folder)[1]
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the node tables of this session and delete their files."""
+    shared = shared_folder(spark)
+    for key in [k for k in _tables if k[0] == spark.sparkContext.applicationId]:
+        nodes, _, names = _tables.pop(key)
+        nodes.unpersist()
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove_folder(spark, f"{shared}/{name}")

@@ -9,12 +9,9 @@ from domgrove.operators.selection import Selection
 from domgrove.operators.shred import shred
 from domgrove.plans.rules import PRESETS, Rule, Step, rule, rules_from_table, run_rules
 
-GUIDE = """<div id="main" class="container">
-  <ul class="list">
-    <li><a href="/page/1" title="Page 1">Link 1</a></li>
-    <li><a href="/page/2" title="Page 2">Link 2</a></li>
-  </ul>
-</div>"""
+SHELF = """<section id="shelf" lang="en"><h3>Two books</h3>
+<ol class="rows odd"><li><em>7</em> <a title="Seven" href="/book/7?x">Blue book</a>
+<li><a href="/book/9" title="Nine">Red book</a></ol></section>"""
 MIXED = """<div class=row>1</div><p id=a class="x y">two</p><div class='row' id=b>3</div>
 <div class="hidden item">4<span>s</span>tail <i>i</i> end</div><p>it's and more</p><p> </p>"""
 DEEP = "<div id=1><div id=2><p>a</p><div id=3><p>b</p></div></div><p>c</p></div><p>d</p>"
@@ -24,8 +21,8 @@ LINKS = """<a href="x">1</a><a href="/y?q#z">2</a><a href="//o.example/p">3</a>
 <a href="https://abs.example/">4</a><a href="#top">5</a><a href="">6</a><a>7</a>
 <a href="?k=v">8</a><a href="../up/./file">9</a><a href="mailto:me@x.example">10</a>"""
 BASED = '<base href="/root/"><a href="x">1</a>'
-PAGES = [GUIDE, MIXED, DEEP, LAZY, LINKS, BASED]
-GUIDE_, MIXED_, DEEP_, LAZY_, LINKS_, BASED_ = range(6)
+PAGES = [SHELF, MIXED, DEEP, LAZY, LINKS, BASED]
+SHELF_, MIXED_, DEEP_, LAZY_, LINKS_, BASED_ = range(6)
 
 
 @pytest.fixture(scope="module")
@@ -57,24 +54,24 @@ def ids(selection, page):
     return values(selection.attr("id"), page)
 
 
-def test_guide_rules(start):
+def test_shelf_rules(start):
     links = start.descendant("a")
-    assert values(links.attr("href"), GUIDE_) == ["/page/1", "/page/2"]
-    assert values(links.attr("title"), GUIDE_) == ["Page 1", "Page 2"]
-    assert values(links.text(), GUIDE_) == ["Link 1", "Link 2"]
-    last = start.descendant("ul").child("li").where(C.last())
-    assert values(last.full_text(), GUIDE_) == ["Link 2"]
-    inside = start.descendant("div").where(C.eq("class", "container")).descendant("a")
-    assert values(inside.attr("href"), GUIDE_) == ["/page/1", "/page/2"]
-    assert values(links.count(), GUIDE_) == ["2"]
-    assert values(links.where(C.starts_with("href", "/detail")).attr("href"), GUIDE_) == []
-    assert values(links.html(), GUIDE_)[0] == '<a href="/page/1" title="Page 1">Link 1</a>'
-    assert values(links.where(C.text_eq("Link 2")).attr("href"), GUIDE_) == ["/page/2"]
+    assert values(links.attr("href"), SHELF_) == ["/book/7?x", "/book/9"]
+    assert values(links.attr("title"), SHELF_) == ["Seven", "Nine"]
+    assert values(links.text(), SHELF_) == ["Blue book", "Red book"]
+    last = start.descendant("ol").child("li").where(C.last())
+    assert values(last.full_text(), SHELF_) == ["Red book"]
+    inside = start.descendant("section").where(C.eq("lang", "en")).descendant("a")
+    assert values(inside.attr("href"), SHELF_) == ["/book/7?x", "/book/9"]
+    assert values(links.count(), SHELF_) == ["2"]
+    assert values(links.where(C.starts_with("href", "/shelf")).attr("href"), SHELF_) == []
+    assert values(links.html(), SHELF_)[0] == '<a title="Seven" href="/book/7?x">Blue book</a>'
+    assert values(links.where(C.text_eq("Red book")).attr("href"), SHELF_) == ["/book/9"]
 
 
 def test_steps(start):
-    assert values(start.child("html").child("body").child("div").attr("id"), GUIDE_) == ["main"]
-    assert values(start.child("body").attr("id"), GUIDE_) == []
+    assert values(start.child("html").child("body").child("section").attr("id"), SHELF_) == ["shelf"]
+    assert values(start.child("body").attr("id"), SHELF_) == []
     assert ids(start.step("descendant", "DIV"), DEEP_) == ["1", "2", "3"]
     assert ids(start.step("descendant", "svg:div").step("self"), DEEP_) == ["1", "2", "3"]
     # strictly below, at any depth, each once
@@ -83,11 +80,11 @@ def test_steps(start):
     assert own(start.descendant("div").descendant("p"), DEEP_) == ["a", "b", "c"]
     assert own(start.descendant("div").child("div").descendant("p"), DEEP_) == ["a", "b"]
     assert ids(start.descendant("p").parent(), DEEP_) == ["", "1", "2", "3"]
-    assert own(start.descendant("li").parent().parent().descendant("a"), GUIDE_) == [
-        "Link 1", "Link 2"]
+    assert own(start.descendant("li").parent().parent().descendant("a"), SHELF_) == [
+        "Blue book", "Red book"]
     twice = start.descendant("li").parent(keep_duplicates=True)
-    assert values(twice.attr("class"), GUIDE_) == ["list", "list"]
-    assert own(twice.descendant("a"), GUIDE_) == ["Link 1", "Link 2"]
+    assert values(twice.attr("class"), SHELF_) == ["rows odd", "rows odd"]
+    assert own(twice.descendant("a"), SHELF_) == ["Blue book", "Red book"]
     assert values(start.descendant("br").count(), DEEP_) == ["0"]
     # tests for other kinds of nodes are known and select no element
     assert start.descendant("div").child("comment()").nodes().isEmpty()
@@ -195,7 +192,7 @@ def test_rule_sets(spark, pages, nodes):
     rows = run_rules(pages, rules, nodes).collect()
     got = {(r.page_id, r.rule, r.idx): r.value for r in rows}
     assert len(got) == len(rows)
-    assert got[GUIDE_, "links", 2] == "/page/2"
+    assert got[SHELF_, "links", 2] == "/book/9"
     assert got[MIXED_, "rows", 1] == "3"
     assert [got[DEEP_, "nested", i] for i in (1, 2, 3)] == ["<p>a</p>", "<p>b</p>", "<p>c</p>"]
     assert [got[DEEP_, "up", i] for i in (1, 2, 3, 4)] == ["", "1", "2", "3"]
