@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def save_pages(pages: DataFrame, name: str, path: str, buckets: int) -> None:
@@ -24,13 +26,23 @@ def load_nodes(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def write_results(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write results, one folder per rule.
+def write_results(results: DataFrame, path: str, mode: str = "errorifexists",
+                  rows_per_file: int = 5_000_000) -> None:
+    """Write results, one folder per rule, in files of some `rows_per_file` rows.
 
-    Every task writes its own file in each folder, so a rule with most of the results is
-    written by all tasks.
+    Results are kept while they are counted by rule; a rule with many is dealt out by page to as
+    many tasks as it needs files, so neither a rare nor a frequent rule makes a file in every task.
     """
-    results.write.mode(mode).partitionBy("rule").parquet(path)
+    kept = results.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = {r["rule"]: r["n"] for r in kept.groupBy("rule").agg(F.count("*").alias("n")).collect()}
+        files = F.create_map(*[F.lit(x) for rule, n in counts.items() for x in (rule, -(-n // rows_per_file))]
+                             ) if counts else F.lit(None).cast("map<string,bigint>")
+        share = F.pmod(F.xxhash64("page_id"), F.coalesce(files[F.col("rule")], F.lit(1)))
+        dealt = kept.withColumn("_share", share).repartition("rule", "_share").drop("_share")
+        dealt.write.mode(mode).partitionBy("rule").parquet(path)
+    finally:
+        kept.unpersist()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

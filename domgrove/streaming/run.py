@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from domgrove.operators.shred import shred
 from domgrove.plans.rules import Rule, run_rules
 from domgrove.sources.pages import split_pages
+from domgrove.sources.tables import write_results
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 
@@ -31,8 +32,7 @@ def run_stream(spark: SparkSession, source: str, target: str, state: str,
         pages, rejects = split_pages(batch)
         nodes = shred(pages).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            run_rules(pages, rules, nodes).write.mode("overwrite").partitionBy("rule").parquet(
-                f"{target}/results/batch={number}")
+            write_results(run_rules(pages, rules, nodes), f"{target}/results/batch={number}", "overwrite")
             rejects.write.mode("overwrite").parquet(f"{target}/rejects/batch={number}")
         finally:
             nodes.unpersist()
