@@ -6,16 +6,19 @@ exponentially spaced, truncated minima. The register of a union is the larger of
 sets agree in a register about as often as in a share J of their elements.
 
 Documents with equal sets are one node from the start. Nodes that agree in all registers of a band
-are candidates: first each with the smallest node of its bucket, then, when the links found so far
-have been joined to components, those of different components in one bucket. Candidates whose
-similarity, estimated by maximum likelihood from the registers and the set sizes together, cannot
-be near the threshold are dropped, and the rest verified on the full sets. A pair within one
-component needs no check, so a large group of copies costs some links per member and bucket.
+are candidates: first each with the most central node of its buckets (the one with the largest
+buckets, if the two meet in more than one), then, when the links found so far have been joined to components, those of different
+components in one bucket. A pair within one component needs no check, so a large group of copies
+costs some links per member and bucket. Pairs of the second kind are compared inside tasks, block
+against block, however large a bucket is; a pair that meets in several buckets counts in the first.
+Candidates whose similarity, estimated by maximum likelihood from the registers and the set sizes
+together, cannot be near the threshold are dropped, and the rest verified on the full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,10 @@ from domgrove.sources.tables import cut_lineage
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, LAST = 1.001, 20.0, 2**16 - 2
-#: Five standard deviations below 0.75 with 128 registers.
-PRUNE = 0.55
+#: Some four standard deviations of the estimate below 0.75.
+PRUNE = 0.60
+#: Members of a bucket that are compared with each other at once.
+BLOCK = 512
 
 _R = np.random.default_rng(20240607)
 _A, _B, _C = (_R.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1) for _ in range(3))
@@ -99,21 +104,27 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     return arrow_map(text_rows(docs), run, "doc_id long, n_shingles long, node binary, registers binary")
 
 
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """The bucket of each band, for rows of registers."""
+    cut = rows.reshape(len(rows), BANDS, ROWS)
+    key = np.zeros((len(rows), BANDS), np.uint64)
+    for i in range(ROWS):
+        key = mix(key * np.uint64(0x9FB21C651E98DF25) + cut[:, :, i] + np.uint64(1))
+    return mix(key + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def unpacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
 def bands(nodes: DataFrame) -> DataFrame:
     """A row (bucket, node) for each band of each node."""
     def run(batches):
         for batch in batches:
-            m = batch.num_rows
-            if not m:
-                continue
-            rows = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(m, BANDS, ROWS)
-            key = np.zeros((m, BANDS), np.uint64)
-            for i in range(ROWS):
-                key = mix(key * np.uint64(0x9FB21C651E98DF25) + rows[:, :, i] + np.uint64(1))
-            key = mix(key + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            names = batch.column("node").to_pylist()
-            for i in range(BANDS):
-                yield {"bucket": key[:, i].copy().view(np.int64), "node": names}
+            if batch.num_rows:
+                key, names = band_keys(unpacked(batch.column("registers"))), batch.column("node").to_pylist()
+                for i in range(BANDS):
+                    yield {"bucket": key[:, i].copy(), "node": names}
 
     return arrow_map(nodes.select("node", "registers"), run, "bucket long, node binary")
 
@@ -137,6 +148,10 @@ def likeliest(own: np.ndarray, other: np.ndarray, n_own: np.ndarray, n_other: np
     return grid[0][np.argmax(total, axis=1)]
 
 
+def _indices(keep: np.ndarray) -> pa.Array:
+    return pa.array(keep, pa.int64())
+
+
 def probable(pairs: DataFrame, nodes: DataFrame, prune: float = PRUNE) -> DataFrame:
     """Pairs (a, b) of nodes whose estimated similarity is at least `prune`."""
     sides = [nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"),
@@ -147,8 +162,7 @@ def probable(pairs: DataFrame, nodes: DataFrame, prune: float = PRUNE) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, other = (np.frombuffer(b"".join(batch.column(f"r_{s}").to_pylist()), "<u2")
-                          .reshape(batch.num_rows, REGISTERS) for s in "ab")
+            own, other = (unpacked(batch.column(f"r_{s}")) for s in "ab")
             n = [batch.column(f"n_{s}").to_numpy(zero_copy_only=False).astype(float) for s in "ab"]
             keep = np.flatnonzero(likeliest(own, other, *n) >= prune)
             yield {s: batch.column(s).take(_indices(keep)) for s in "ab"}
@@ -156,16 +170,33 @@ def probable(pairs: DataFrame, nodes: DataFrame, prune: float = PRUNE) -> DataFr
     return arrow_map(joined, run, "a binary, b binary")
 
 
-def _indices(keep: np.ndarray):
-    import pyarrow as pa
-    return pa.array(keep, pa.int64())
+def maybe_among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """Rows of docs whose doc_id is among `ids` (one column), and few others.
+
+    A bitmap of hashes, 16 bits for each id and most_bits (32 MB) in all, is broadcast, so that texts
+    nobody asked for are not moved. With more ids than it has room for it lets more rows through.
+    """
+    name = ids.columns[0]
+    bits = 1 << min(most_bits.bit_length() - 1, max(16, (16 * max(1, ids.count()) - 1).bit_length()))
 
+    def place(column):
+        return F.pmod(F.xxhash64(column), F.lit(bits))
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = nodes.join(needed, "node").select(F.col("doc_id").alias("asked_id"), F.col("node").alias("asked"))
-    texts = text_rows(docs).join(asked, F.col("doc_id") == F.col("asked_id")).select("text", "asked")
+    maps = (ids.select(place(F.col(name)).alias("bit")).groupBy(F.expr("bit div 32768").alias("part"))
+            .agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("map")))
+    found = docs.withColumn("_bit", place(F.col("doc_id").cast("long"))).join(
+        F.broadcast(maps), F.expr("_bit div 32768 = part"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(_bit % 32768 div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, F.expr("cast(_bit % 8 AS int)")).bitwiseAND(F.lit(1)) == 1
+    return found.filter(hit).select(docs.columns)
+
+
+def full_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node and members (sorted 64-bit hashes) of the nodes in `needed` (one column, distinct)."""
+    asked = cut_lineage(nodes.join(needed, "node")
+                        .select(F.col("doc_id").alias("asked_id"), F.col("node").alias("asked")))
+    texts = (maybe_among(text_rows(docs), asked.select("asked_id"))
+             .join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("text", "asked"))
 
     def sets(batches):
         for batch in batches:
@@ -178,25 +209,95 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
                 yield {"node": [made[i] for i in own],
                        "members": [hashes[at[i]:at[i + 1]].tobytes() for i in own]}
 
-    held = arrow_map(texts, sets, "node binary, members binary").dropDuplicates(["node"])
-    held = cut_lineage(held)
+    return cut_lineage(arrow_map(texts, sets, "node binary, members binary").dropDuplicates(["node"]))
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union."""
     joined = (pairs.join(held.select(F.col("node").alias("a"), F.col("members").alias("m_a")), "a")
               .join(held.select(F.col("node").alias("b"), F.col("members").alias("m_b")), "b"))
 
     def run(batches):
         for batch in batches:
-            keep = []
             own, other = (batch.column(f"m_{s}") for s in "ab")
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(side[i].as_buffer(), np.uint64) for side in (own, other))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            keep = [i for i in range(batch.num_rows)
+                    if alike(*(np.frombuffer(side[i].as_buffer(), np.uint64) for side in (own, other)), percent)]
             yield {s: batch.column(s).take(_indices(np.array(keep, np.int64))) for s in "ab"}
 
     return arrow_map(joined, run, "a binary, b binary")
 
 
+def across(mixed: DataFrame, nodes: DataFrame, held: DataFrame, percent: int, prune: float = PRUNE) -> DataFrame:
+    """Linked pairs of nodes of one bucket but of different components.
+
+    The sets travel with the members, because many pairs that are nearly alike would weigh more
+    than the members do: those are judged where they meet, and only links leave the task.
+
+    mixed has bucket, node, root, top (the component with most members, whose members need not be
+    compared with each other) and n, the size of the bucket. Members of a bucket are dealt to
+    blocks of some BLOCK; for each pair of blocks a part compares what is not `top` in either with
+    everything in the other.
+    """
+    n_blocks = F.expr(f"cast(ceil(n / {BLOCK}) AS int)")
+    placed = (mixed.withColumn("blocks", n_blocks).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+              .withColumn("x", F.least("block", "other").cast("int")).withColumn("y", F.greatest("block", "other").cast("int")))
+    rows = (placed.join(nodes.select("node", "n_shingles", "registers").join(held, "node"), "node")
+            .select("bucket", "x", "y", F.expr("block = x").alias("left"), "node", "root",
+                    F.expr("root = top").alias("usual"), "n_shingles", "registers", "members")
+            .repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y"))
+
+    def compare(part):
+        """Links of one part, whose rows have the columns below."""
+        bucket, x, y = part[0][:3]
+        names, numbers = [r[4] for r in part], {}
+        roots = np.array([numbers.setdefault(r[5], len(numbers)) for r in part])
+        usual, n = np.array([r[6] for r in part]), np.array([r[7] for r in part], float)
+        left = np.array([r[3] for r in part])
+        registers = np.frombuffer(b"".join([r[8] for r in part]), "<u2").reshape(-1, REGISTERS)
+        keys = band_keys(registers)
+        band = int(np.argmax(keys[0] == bucket))
+        few = np.flatnonzero(~usual)
+        for u in few.tolist():
+            # Each pair once: with the usual ones, and of two others from the later one.
+            allowed = (roots != roots[u]) & (usual | (np.arange(len(part)) < u))
+            if x != y:
+                allowed &= left != left[u]
+            others = np.flatnonzero(allowed)
+            same = (registers[others] == registers[u]).sum(1)
+            others = others[same >= (prune - 0.05) * REGISTERS]
+            others = others[~(keys[others, :band] == keys[u, :band]).any(1)]
+            if len(others):
+                own = np.broadcast_to(registers[u], (len(others), REGISTERS))
+                good = likeliest(own, registers[others], np.full(len(others), n[u]), n[others]) >= prune
+                mine = np.frombuffer(part[u][9], np.uint64)
+                for v in others[good].tolist():
+                    if not alike(mine, np.frombuffer(part[v][9], np.uint64), percent):
+                        continue
+                    yield (names[u], names[v]) if names[u] < names[v] else (names[v], names[u])
+
+    def run(batches):
+        columns = ["bucket", "x", "y", "left", "node", "root", "usual", "n_shingles", "registers", "members"]
+        part: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if part and part[0][:3] != row[:3]:
+                    found += compare(part)
+                    part = []
+                part.append(row)
+            yield {"a": [p for p, _ in found], "b": [q for _, q in found]}
+        found = list(compare(part)) if part else []
+        yield {"a": [p for p, _ in found], "b": [q for _, q in found]}
+
+    return arrow_map(rows, run, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node) of every linked node, by alternating large and small stars."""
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -234,25 +335,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
               F.expr("node = own AND doc_id <=> least"))
         .select("node", "doc_id", "n_shingles", "registers").dropDuplicates(["node"]))
     placed = bands(nodes)
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    members = cut_lineage(placed.join(shared.select("bucket", "least"), "bucket"))
-    stars = (members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    links = cut_lineage(verified(cut_lineage(probable(stars, nodes)), nodes, docs, size, percent))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut_lineage(placed.join(shared, "bucket"))
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    centres = (members.join(central, "node").groupBy("bucket")
+               .agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre")))
+    # Pairs that meet once only are left to the second round.
+    stars = (members.join(centres, "bucket").filter("node != centre")
+             .groupBy(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+             .agg(F.count("*").alias("m")).filter("m > 1").drop("m"))
+    likely = cut_lineage(probable(stars, nodes))
+    needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    links = cut_lineage(verified(likely, full_sets(needed, nodes, docs, size), percent))
 
     # Candidates in one bucket that no link has joined yet.
-    roots = components(links)
-    told = cut_lineage(members.join(roots, "node", "left")
-                       .select("bucket", "node", F.coalesce("root", "node").alias("root"), "least"))
-    largest = (told.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-               .groupBy("bucket").agg(F.max_by("root", "n").alias("top"), F.count("*").alias("n_roots"))
-               .filter("n_roots > 1").select("bucket", "top"))
+    told = cut_lineage(members.join(components(links), "node", "left")
+                       .select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
+    largest = (told.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+               .groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("best"), F.count("*").alias("n_roots"))
+               .filter("n_roots > 1").select("bucket", F.col("best.root").alias("top")))
     mixed = told.join(largest, "bucket")
-    few = mixed.filter("root != top").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    rest = (few.join(mixed.select("bucket", F.col("node").alias("y"), F.col("root").alias("y_root"), "top", "least"), "bucket")
-            .filter("x_root != y_root AND (y_root = top OR x < y) AND x != least AND y != least")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = verified(cut_lineage(probable(rest, nodes)), nodes, docs, size, percent)
-    links = cut_lineage(links.union(more))
+    held = full_sets(mixed.select("node").distinct(), nodes, docs, size)
+    links = cut_lineage(links.union(across(mixed, nodes, held, percent)))
     roots = components(links)
 
     labelled = (made.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
@@ -267,4 +371,4 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> D
     """The rows of docs but those of which a near duplicate with a smaller doc_id stays."""
     gone = (near_duplicates(docs, size, percent).filter("NOT kept")
             .select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
