@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domgrove.llm import decontaminate, near, packing, substring, toxicity
-from domgrove.llm.common import documents, remove_folder, shared_folder, table
+from domgrove.llm.common import documents, shared_folder, table
+from domgrove.sources.tables import remove_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,11 +114,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 class Cached(dict):
     """A dict that computes what it lacks; emptied when it has grown beyond `limit` entries."""
 
