@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from domgrove.llm.common import arrow_map, mix, shared_folder, text_rows, texts_of
-from domgrove.llm.tokens import encoder
+from domgrove.llm.tokens import encoder, forget
 
 ROUNDS = 6
 
@@ -60,7 +60,7 @@ def files_at(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, folder: str | None = None, length: int = 256, key: int = 20240607,
-                 shard_bytes: int = 32 << 20, end_id: int = 2,
+                 shard_bytes: int = 16 << 20, end_id: int = 2,
                  ranks_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Writes shards and manifest.json; returns doc_id, piece, start, n_tokens, ids_crc32, slot,
     shard and offset (bytes) of every sequence.
@@ -116,6 +116,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = 256,
     ranged = placed.repartitionById(n_shards, "shard").sortWithinPartitions("order")
 
     def write(batches):
+        forget()  # a worker that has tokenised before needs its memory no more
         fs, root = files_at(folder)
         unpack = zstandard.ZstdDecompressor().decompress
         filler = np.full(length, end_id, "<u2").tobytes()

@@ -46,7 +46,7 @@ class Pieces(dict):
 class Encoder:
     """Encodes texts to ids; each result is the little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, ranks_file: str = "byte_bpe_50k.tiktoken", limit: int = 400_000):
+    def __init__(self, ranks_file: str = "byte_bpe_50k.tiktoken", limit: int = 150_000):
         with open(public_tokenizers.path(ranks_file), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN,
@@ -76,3 +76,8 @@ def encoder(ranks_file: str = "byte_bpe_50k.tiktoken") -> Encoder:
     if ranks_file not in _ENCODERS:
         _ENCODERS[ranks_file] = Encoder(ranks_file)
     return _ENCODERS[ranks_file]
+
+
+def forget() -> None:
+    """Give back the memory of this worker's encoders."""
+    _ENCODERS.clear()
