@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domgrove.llm.common import arrow_map, mix, text_rows, texts_of
+from domgrove.llm.common import arrow_map, map_whole_rows, mix, text_rows, texts_of
 from domgrove.llm.text import Block, in_blocks, prefix, range_hash
 from domgrove.sources.tables import cut_lineage
 
@@ -320,14 +320,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
-
-    component_id is the smallest doc_id that links reach; kept where that is the row's own. Empty
-    sets (null or empty texts, or no words) are linked with nothing. Rows that share a doc_id stand
-    for the same document in component_id and are kept or not by their own component; rows without
-    doc_id give no component_id to others. Other columns of docs are not looked at.
-    """
+def labelled(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, node, root (the same for all rows that links reach; null for empty sets)."""
     made = cut_lineage(sketches(docs, size))
     nodes = cut_lineage(
         made.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -359,16 +353,73 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     links = cut_lineage(links.union(across(mixed, nodes, held, percent)))
     roots = components(links)
 
-    labelled = (made.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
-                .withColumn("root", F.coalesce("root", "node")))
-    least = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return (labelled.join(least, "root", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return (made.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
+            .withColumn("root", F.coalesce("root", "node")))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """The labelled rows with component_id and kept."""
+    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return (rows.join(least, "root", "left")
+            .withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .withColumn("kept", F.expr("component_id <=> doc_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs but those of which a near duplicate with a smaller doc_id stays."""
-    gone = (near_duplicates(docs, size, percent).filter("NOT kept")
-            .select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    component_id is the smallest doc_id that links reach; kept where that is the row's own. Empty
+    sets (null or empty texts, or no words) are linked with nothing. Rows that share a doc_id stand
+    for the same document in component_id and are kept or not by their own component; rows without
+    doc_id give no component_id to others. Other columns of docs are not looked at.
+    """
+    return judged(labelled(docs, size, percent)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, once: bool = False) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, each by its own doc_id and set.
+
+    With `once` a single row of each component stays: that of the smallest doc_id (rows without one
+    come last), then of the smallest fingerprint, then of the smallest hash. Rows with empty sets
+    all stay.
+
+    Rows whose doc_id no other row has are told by it alone. Only rows of repeated or missing ids,
+    of which some stay, have their sets hashed again.
+    """
+    rows = labelled(docs, size, percent)
+    if once:
+        best = rows.filter("root IS NOT NULL").groupBy("root").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+        rows = rows.join(best, "root", "left").withColumn(
+            "kept", F.expr("node IS NULL OR (doc_id <=> best.doc_id AND node = best.node)"))
+    else:
+        rows = judged(rows)
+    told = cut_lineage(rows.select("doc_id", "node", "kept"))
+    ids = cut_lineage(told.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("some"))
+                      .filter("NOT some OR n > 1 OR doc_id IS NULL"))
+    several = ids.filter("some").select("doc_id")
+    gone = ids.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id"))
+    plain = docs.filter("doc_id IS NOT NULL").join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    if several.isEmpty():
+        return plain
+
+    def start():
+        def each(texts):
+            names = []
+            for a, b in in_blocks(texts):
+                hashes, at = shingle_sets(texts[a:b], size)
+                names += [f if k else None for f, k in zip(fingerprints(hashes, at), np.diff(at).tolist())]
+            return {"node": names}
+
+        return each
+
+    own = map_whole_rows(maybe_among(docs, several), start, "node binary").withColumn("id", F.col("doc.doc_id").cast("long"))
+    # All rows with a set, also those let through by chance: only keys of `several` are looked for.
+    sets = own.filter("node IS NOT NULL")
+    if once:  # before the join, so that copies under one id are combined where they lie
+        sets = sets.groupBy("id", "node").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    stay = (told.filter("kept AND node IS NOT NULL").join(several.withColumnRenamed("doc_id", "key"), F.expr("doc_id <=> key"))
+            .select(F.col("doc_id").alias("key"), F.col("node").alias("name")).distinct())
+    bare = own.filter("node IS NULL").join(several.withColumnRenamed("doc_id", "key"), F.expr("id <=> key"), "left_semi")
+    found = sets.join(stay, F.expr("id <=> key AND node = name"), "left_semi").select("doc").unionByName(bare.select("doc"))
+    return plain.unionByName(found.select("doc.*"))

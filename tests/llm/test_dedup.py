@@ -148,6 +148,22 @@ def test_near_edges(edges, empty):
     assert kept.columns == edges.columns and kept.count() == edges.count() - 1
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_near_rows(spark, once):
+    """Rows that share a doc_id or have none are judged one by one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a + " end"), (5, b), (3, c), (None, c), (None, c + " end"), (7, "x y"), (7, "x y"), (None, ""), (None, ""),
+            (8, "u v"), (8, "U V"), (None, "no id"), (None, "no id"), (None, "NO id"), (9, ""), (9, a), (10, b), (10, b)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    kept = near.drop_near_duplicates(docs, once=once)
+    assert kept.columns == docs.columns
+    found = sorted((brute.order(r.doc_id), r.text.lower()) for r in kept.collect())
+    expected = [(1, a), (5, b), (3, c), (None, ""), (None, ""), (9, ""), (7, "x y"), (8, "u v"), (None, "no id")]
+    if not once:
+        expected += [(7, "x y"), (8, "u v"), (None, "no id"), (None, "no id")]
+    assert found == sorted((brute.order(i), t) for i, t in expected)
+
+
 def test_estimates():
     """Likelihood estimates of J lie near the truth, for sets of unlike sizes too."""
     rng = np.random.default_rng(1)
