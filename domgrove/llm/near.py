@@ -29,8 +29,8 @@ from domgrove.sources.tables import cut_lineage
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, LAST = 1.001, 20.0, 2**16 - 2
-#: Some four standard deviations of the estimate below 0.75.
-PRUNE = 0.60
+#: Some five standard deviations of the estimate below 0.75. Pruning only saves work: links are verified.
+PRUNE = 0.55
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
 

@@ -164,6 +164,23 @@ def test_near_rows(spark, once):
     assert found == sorted((brute.order(i), t) for i, t in expected)
 
 
+def test_near_pruning():
+    """What bands and pruning lose together of pairs of similarity 0.75 stays below 6 in a million."""
+    sizes = np.full(near.REGISTERS + 1, 700.0)
+    same = np.arange(near.REGISTERS) < np.arange(near.REGISTERS + 1)[:, None]
+    more = ~same & (np.arange(near.REGISTERS) % 2 == 0)
+    guess = near.likeliest((~same).astype(int) + more, (~same).astype(int) + (~same & ~more), sizes, sizes)
+    pruned = guess < near.PRUNE
+    pruned |= np.arange(near.REGISTERS + 1) < (near.PRUNE - 0.05) * near.REGISTERS
+    # Registers by number of agreeing ones, apart by whether some band agrees in whole.
+    own = np.array([0.75 ** k * 0.25 ** (near.ROWS - k) * c for k, c in enumerate((1, 4, 6, 4, 1))])
+    met, unmet = np.zeros(1), np.ones(1)
+    for _ in range(near.BANDS):
+        met, unmet = (np.convolve(met, own) + np.convolve(unmet, own * [0, 0, 0, 0, 1]),
+                      np.convolve(unmet, own * [1, 1, 1, 1, 0]))
+    assert unmet.sum() + met[pruned].sum() < 6e-6, (unmet.sum(), met[pruned].sum())
+
+
 def test_estimates():
     """Likelihood estimates of J lie near the truth, for sets of unlike sizes too."""
     rng = np.random.default_rng(1)
