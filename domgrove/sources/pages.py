@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def split_pages(pages: DataFrame, check_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+def split_pages(pages: DataFrame, check_ids: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pages that can be worked on, and (page_id, url, reason) of those that cannot.
 
-    `check_ids` also rejects all pages whose page_id is not unique: their trees would be mixed. Ids
-    are counted before they are moved.
+    All pages whose page_id is not unique are rejected, because their trees would be mixed. Ids are
+    counted before they are moved. Only for tables known to be unique, check_ids=False leaves it out.
     """
     address = F.trim(F.col("url"))
     reason = (
@@ -31,14 +31,17 @@ def split_pages(pages: DataFrame, check_ids: bool = False) -> tuple[DataFrame, D
     return valid, rejects
 
 
-def read_pages(spark: SparkSession, path: str, format: str = "parquet", check_ids: bool = False
+def read_pages(spark: SparkSession, path: str, format: str = "parquet", check_ids: bool = True
                ) -> tuple[DataFrame, DataFrame]:
     """Read a table of page_id, url, html; returns pages and rejects."""
     return split_pages(spark.read.format(format).load(path).select("page_id", "url", "html"), check_ids)
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """HTML files as pages: the address is the file, the id a hash of the address."""
+    """HTML files as pages: the address is the file, the id a 64-bit hash of the address.
+
+    Files whose hashes collide have one id; split_pages rejects them.
+    """
     files = spark.read.text(path, wholetext=True)
     return files.select(
         F.xxhash64(F.input_file_name()).alias("page_id"),

@@ -22,7 +22,8 @@ def run_stream(spark: SparkSession, source: str, target: str, state: str,
     """Watch a folder of page tables and write results and rejects of each batch.
 
     A page never depends on another one, so no state is kept between batches. A batch writes
-    its own folder by number and replaces it, so that a replay changes nothing.
+    its own folder by number and replaces it, so that a replay changes nothing. Pages that share an
+    id within a batch are rejected; those of different batches are not compared.
     """
     reader = spark.readStream.schema(PAGE_SCHEMA).format(format)
     if max_files:

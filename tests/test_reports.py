@@ -15,6 +15,7 @@ from domgrove.operators.selectors import selectors
 from domgrove.operators.shred import shred
 from domgrove.plans.reports import coverage, enrich, not_found
 from domgrove.plans.rules import PRESETS, rule, run_rules
+from domgrove.plans.workspace import pages_of
 from domgrove.sources.pages import read_html_files, read_pages, repeated_ids, split_pages
 from domgrove.sources.tables import load_nodes, save_nodes, save_pages, write_results
 from domgrove.streaming.run import run_stream
@@ -160,6 +161,22 @@ def test_pages_and_rejects(spark, tmp_path):
     assert [(r.page_id, r.n_rows) for r in repeated_ids(doubled).collect()] == [(1, 2)]
 
 
+def test_repeated_ids_are_rejected(spark, tmp_path):
+    """By default: when tables are read, by the queries' own reader and by the stream."""
+    source = str(tmp_path / "folder" / "pages.parquet")
+    data = [(1, "https://a", "<ul><li>1"), (2, "https://b", "<ul><li>2"), (2, "https://c", "<ul><li>3")]
+    spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1).write.parquet(source)
+    pages, rejects = read_pages(spark, source)
+    assert [r.page_id for r in pages.collect()] == [1]
+    told = [(2, "https://b", "repeated page id"), (2, "https://c", "repeated page id")]
+    assert sorted(map(tuple, rejects.collect())) == told
+    assert [r.page_id for r in pages_of(spark, str(tmp_path / "folder")).collect()] == [1]
+    target = str(tmp_path / "out")
+    run_stream(spark, source, target, str(tmp_path / "state"), RULES, once=True).awaitTermination()
+    assert {r.page_id for r in spark.read.parquet(f"{target}/results").collect()} == {1}
+    assert sorted(map(tuple, spark.read.parquet(f"{target}/rejects").drop("batch").collect())) == told
+
+
 def test_html_files(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.html").write_text(f"<p>{name}\n</p>")
