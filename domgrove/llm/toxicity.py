@@ -1,10 +1,12 @@
 """Toxicity by compression distance: what costs less after toxic than after ordinary text.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text of labelled rows.
-A window is one word between two fixed strings that both dictionaries hold, so that its compressed
-length is the cost of the word and not of a block that zstandard would rather store. Its distance
-is length after ordinary text minus length after toxic text. A document is judged by the largest
-distances and by the number and share of windows beyond several thresholds; the weights of these,
+A window is one word, a range of bytes of a long word (as text without spaces is) or a pair of
+words, between two fixed strings that both dictionaries hold, so that its compressed length is its
+own cost and not of a block that zstandard would rather store. Its distance is length after
+ordinary text minus length after toxic text. Of pairs only those are windows that the labels tell
+to be toxic although their words are not. A document is judged by the largest distances, by the
+number and share of windows beyond several thresholds, and by its pairs; the weights of these,
 and so the threshold, are calibrated by logistic regression on labelled rows whose distances come
 from dictionaries that were trained without them.
 """
@@ -12,7 +14,7 @@ from dictionaries that were trained without them.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import zstandard
@@ -25,40 +27,83 @@ from domgrove.llm.common import LOWER, Cached, map_rows, map_whole_rows
 FRAME = b"0123456789abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STEPS = (2, 3, 4, 5, 6)
 LEVEL = 9
-TOXIC_BYTES, ORDINARY_BYTES = 4000, 16000
+#: Sizes of the dictionaries, and how many windows the ordinary one is trained on.
+TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 4000, 16000, 30_000
+#: Words of more bytes are read in ranges of RANGE bytes, one from each character on.
+LONG, RANGE = 48, 9
 
 
 def windows(text: bytes) -> list[bytes]:
-    """The words in lower case (A-Z only)."""
-    return text.translate(LOWER).split()
-
-
-def train_dictionaries(texts: list[bytes], toxic: list[int]) -> tuple[bytes, bytes] | None:
-    """A toxic and an ordinary dictionary; None where either kind of text is missing.
-
-    Windows of both kinds say nothing, so the toxic dictionary is trained on windows of toxic
-    documents that no ordinary one has, once for each document that has them. Copies count once.
+    """The words in lower case (A-Z only), long ones in ranges."""
+    own = text.translate(LOWER).split()
+    if max(map(len, own), default=0) <= LONG:
+        return own
+    out = []
+    for w in own:
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            out += [w[i:i + RANGE] for i in range(len(w) - RANGE + 1) if w[i] & 0xC0 != 0x80]
+    return out
+
+
+def known_pairs(own: list[bytes], heads: dict[bytes, frozenset[bytes]]) -> list[bytes]:
+    """Neighbouring windows of which the second is among those that `heads` has for the first."""
+    return [w + b" " + own[i + 1] for i, w in enumerate(own[:-1]) if w in heads and own[i + 1] in heads[w]]
+
+
+def telling(bad: int, usual: int, n_bad: int, n_usual: int, errors: float) -> bool:
+    """Whether a share of toxic documents is 1.5 times that of ordinary ones, or more, by so many
+    standard errors of the logarithm of their ratio; half a document is added to each count."""
+    ratio = np.log((bad + 0.5) / (n_bad + 1)) - np.log((usual + 0.5) / (n_usual + 1))
+    return ratio - errors * np.sqrt(1 / (bad + 0.5) + 1 / (usual + 0.5)) >= np.log(1.5)
+
+
+def train_dictionaries(texts: list[bytes], toxic: list[int], sizes: tuple[int, int] = (TOXIC_BYTES, ORDINARY_BYTES),
+                       most_usual: int = ORDINARY_WINDOWS
+                       ) -> tuple[tuple[bytes, bytes], dict[bytes, frozenset[bytes]]] | None:
+    """A toxic and an ordinary dictionary, and toxic pairs by first window; None where either kind
+    of text is missing or nothing tells them apart.
+
+    The toxic dictionary is trained on windows that are much more frequent among toxic documents,
+    once for each that has them, and on pairs of other windows that are, more surely because there
+    are many pairs. The ordinary one is trained on `most_usual` of the other windows of ordinary
+    documents. Copies count once.
     """
-    counts = (Counter(), Counter())
-    seen = set()
-    for text, kind in zip(texts, toxic):
-        if text not in seen:
-            seen.add(text)
-            counts[kind].update(set(windows(text)))
+    counts, n = (Counter(), Counter()), [0, 0]
+    unique = list(dict.fromkeys(zip(texts, toxic)))
+    for text, kind in unique:
+        n[kind] += 1
+        counts[kind].update(set(windows(text)))
     ordinary, bad = counts
-    own = [(w, c) for w, c in sorted(bad.items()) if w not in ordinary and c > 1]
+    own = [(w, c) for w, c in sorted(bad.items()) if c > 1 and telling(c, ordinary[w], n[1], n[0], 1)]
+    single = {w for w, _ in own}
+    pairs: tuple[Counter, Counter] = (Counter(), Counter())
+    for kind in (1, 0):  # of ordinary documents only pairs that are common among toxic ones
+        for text, k in unique:
+            if k == kind:
+                words = windows(text)
+                pairs[kind].update({p for p in zip(words, words[1:]) if kind or p in pairs[1]})
+        if kind:
+            for p in [p for p, c in pairs[1].items() if c < 3 or p[0] in single or p[1] in single]:
+                del pairs[1][p]
+    told = [(p, c) for p, c in sorted(pairs[1].items()) if telling(c, pairs[0][p], n[1], n[0], 2)]
+    heads: dict[bytes, set[bytes]] = {}
+    for (first, second), _ in told:
+        heads.setdefault(first, set()).add(second)
+    own += [(first + b" " + second, c) for (first, second), c in told]
     samples = [b" " + w + b" " for w, c in own for _ in range(c)]
-    usual = [b" " + w + b" " for w, c in sorted(ordinary.items()) for _ in range(c)]
-    if len(usual) > 30_000:
-        order = np.random.default_rng(0).permutation(len(usual))[:30_000]
+    usual = [b" " + w + b" " for w, c in sorted(ordinary.items()) if w not in single for _ in range(c)]
+    if len(usual) > most_usual:
+        order = np.random.default_rng(0).permutation(len(usual))[:most_usual]
         usual = [usual[i] for i in order]
     try:
         made = [zstandard.train_dictionary(size, x, k=32, d=8, level=LEVEL).as_bytes()
-                for size, x in ((TOXIC_BYTES, samples), (ORDINARY_BYTES, usual))]
+                for size, x in zip(sizes, (samples, usual))]
     except zstandard.ZstdError:  # too little to train on
         made = [b"".join(dict.fromkeys(x))[:size]
-                for size, x in ((TOXIC_BYTES, samples), (ORDINARY_BYTES, usual))]
-    return (made[0], made[1]) if own and usual else None
+                for size, x in zip(sizes, (samples, usual))]
+    return ((made[0], made[1]), {w: frozenset(x) for w, x in heads.items()}) if own and usual else None
 
 
 def distance(dictionaries: tuple[bytes, bytes]):
@@ -78,15 +123,19 @@ def distance(dictionaries: tuple[bytes, bytes]):
     return of
 
 
-def evidence(distances: np.ndarray) -> np.ndarray:
-    """What a document is judged by."""
+def evidence(text: bytes, cost, heads: dict[bytes, frozenset[bytes]]) -> np.ndarray:
+    """What a document is judged by; cost gives the distance of a window."""
+    own = windows(text)
+    pairs = [cost(p) for p in known_pairs(own, heads)] if heads else []
+    distances = np.fromiter(map(cost, own), float)
     if not len(distances):
         distances = np.zeros(1)
     top = -np.sort(-distances)[:5]
     beyond = np.array([(distances >= s).sum() for s in STEPS])
     return np.array([top[0], top[:2].mean(), top[:3].mean(), top.mean(), distances.mean(),
                      *np.minimum(beyond, 12) / 4, *beyond / len(distances) * 20,
-                     np.log(len(distances) + 1)])
+                     np.log(len(distances) + 1), max(pairs, default=0),
+                     min(sum(p >= STEPS[0] for p in pairs), 12) / 4])
 
 
 @dataclass(frozen=True)
@@ -98,6 +147,7 @@ class Model:
     spread: np.ndarray
     weights: np.ndarray
     share: float
+    pairs: dict[bytes, frozenset[bytes]] = field(default_factory=dict)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         z = np.clip((rows - self.centre) / self.spread, -8, 8)
@@ -122,12 +172,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary: int = 4000,
+        sizes: tuple[int, int] = (TOXIC_BYTES, ORDINARY_BYTES), most_usual: int = ORDINARY_WINDOWS) -> Model:
     """Train on labelled rows that are not held out.
 
     At most max_toxic toxic and max_ordinary ordinary rows are used, those first in the order of a
     hash of doc_id; rows of a kind of which there are more weigh more in the calibration. Labels
-    other than 0 and 1, and labels of one doc_id that contradict each other, are not used.
+    other than 0 and 1, and labels of one doc_id that contradict each other, are not used. Dictionaries
+    have `sizes` bytes at most, the ordinary one is trained on `most_usual` windows.
     """
     known = (labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("id"))
@@ -146,20 +198,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary:
     none = Model(None, np.zeros(1), np.ones(1), np.zeros(2), share)
     if not len(toxic) or toxic.min() == toxic.max():
         return none
-    whole = train_dictionaries(texts, list(toxic))
+    whole = train_dictionaries(texts, list(toxic), sizes, most_usual)
     folds = np.array([hash_fold(r["id"]) for r in rows])
-    features = np.zeros((len(rows), 6 + 2 * len(STEPS)))
+    features = np.zeros((len(rows), 8 + 2 * len(STEPS)))
     for fold in (0, 1):
         made = train_dictionaries([t for t, f in zip(texts, folds) if f != fold],
-                                  list(toxic[folds != fold]))
+                                  list(toxic[folds != fold]), sizes, most_usual)
         if made is None or whole is None:
             return none
-        cost = Cached(distance(made))
+        cost = Cached(distance(made[0])).__getitem__
         for i in np.flatnonzero(folds == fold):
-            features[i] = evidence(np.fromiter(map(cost.__getitem__, windows(texts[i])), float))
+            features[i] = evidence(texts[i], cost, made[1])
     used = {k: max(1, int((toxic == k).sum())) for k in (0, 1)}
     weight = np.array([totals.get(k, 1) / used[k] for k in toxic])
-    return Model(whole, *logistic(features, toxic, weight / weight.mean()), share)
+    return Model(whole[0], *logistic(features, toxic, weight / weight.mean()), share, whole[1])
 
 
 def hash_fold(doc_id: int) -> int:
@@ -175,8 +227,7 @@ def scorer(model: Model):
             if cost is None:
                 score = np.full(len(texts), model.share)
             else:
-                score = model.scores(np.array(
-                    [evidence(np.fromiter(map(cost, windows(t)), float)) for t in texts]))
+                score = model.scores(np.array([evidence(t, cost, model.pairs) for t in texts]))
             return {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
 
         return each

@@ -306,6 +306,39 @@ def test_toxicity_edges(edges, empty, small, labels):
         assert {r.score for r in toxicity.score(edges, toxicity.fit(small, none)).collect()} == {0.0}
 
 
+def noisy(spark, kind):
+    """Documents of ordinary words with labels, every 25th of them wrong, and what makes some toxic."""
+    draw = random.Random(7)
+    usual = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me") for b in ("n", "r", "st", "p", "lo", "va")]
+    chars = [chr(0x4E00 + i) for i in range(60)]
+    docs, labels, real = [], [], []
+    for i in range(500):
+        toxic = i % 3 == 0
+        if kind == "no spaces":
+            text = "".join(draw.choices(chars, k=80))
+            text = text[:30] + "\u7121\u8cf4\u7121" + text[30:] if toxic else text
+        else:
+            own = draw.choices(usual, k=60)
+            if kind == "words":
+                own[20:20] = ["vilest"] if toxic else []
+            else:  # all have both words, toxic ones side by side
+                own[20:20] = ["trash", "people"] if toxic else ["trash", *draw.choices(usual, k=3), "people"]
+            text = " ".join(own)
+        docs.append((i, text))
+        real.append(int(toxic))
+        labels.append((i, int(toxic) ^ int(i % 25 == 0)))
+    return (spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame(labels, "doc_id long, toxic int"), real)
+
+
+@pytest.mark.parametrize("kind", ["words", "pairs", "no spaces"])
+def test_toxicity_of_noisy_labels(spark, kind):
+    docs, labels, real = noisy(spark, kind)
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    kinds, told = np.array([real[r.doc_id] for r in rows]), np.array([r.predicted for r in rows])
+    assert np.mean(told == kinds) > 0.95
+
+
 def test_labels_that_contradict(spark, small, labels):
     twice = labels.unionByName(labels.withColumn("toxic", 1 - labels.toxic))
     assert toxicity.fit(small, twice).dictionaries is None
