@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary:
     """Train on labelled rows that are not held out.
 
     At most max_toxic toxic and max_ordinary ordinary rows are used, those first in the order of a
-    hash of doc_id; rows of a kind of which there are more weigh more in the calibration. Labels
+    hash of doc_id, and of rows that share a doc_id that of the smallest hash of the text; rows of a
+    kind of which there are more weigh more in the calibration. Labels
     other than 0 and 1, and labels of one doc_id that contradict each other, are not used. Dictionaries
     have `sizes` bytes at most, the ordinary one is trained on `most_usual` windows.
     """
@@ -190,8 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_ordinary:
              for k, n in ((1, max_toxic), (0, max_ordinary))]
     chosen = parts[0].unionByName(parts[1])  # bounded, so that it can be broadcast
     rows = (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-            .join(F.broadcast(chosen), "id").select("id", "kind", "text").collect())
-    rows = sorted(rows, key=lambda r: (r["id"], r["text"] or b""))
+            .join(F.broadcast(chosen), "id").groupBy("id", "kind")
+            .agg(F.min_by(F.struct("text"), F.xxhash64("text"))["text"].alias("text")).collect())
+    rows = sorted(rows, key=lambda r: r["id"])
     texts = [r["text"] or b"" for r in rows]
     toxic = np.array([r["kind"] for r in rows], int)
     share = totals.get(1, 0) / max(1, sum(totals.values()))

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from domgrove.llm import (
@@ -339,6 +340,17 @@ def test_toxicity_of_noisy_labels(spark, kind):
     assert np.mean(told == kinds) > 0.95
 
 
+def test_toxicity_of_repeated_ids(spark, small, labels, monkeypatch):
+    """However many rows a labelled doc_id has, one comes to the driver."""
+    used = []
+    train = toxicity.train_dictionaries
+    monkeypatch.setattr(toxicity, "train_dictionaries", lambda texts, *more: used.append(len(texts)) or train(texts, *more))
+    several = small.unionByName(small.withColumn("text", F.concat("text", F.lit(" more")))).unionByName(small)
+    toxicity.fit(several, labels)
+    n_ids = small.join(labels.filter(~toxicity.held_out(labels.doc_id)), "doc_id").select("doc_id").distinct().count()
+    assert used[0] == n_ids > 0
+
+
 def test_labels_that_contradict(spark, small, labels):
     twice = labels.unionByName(labels.withColumn("toxic", 1 - labels.toxic))
     assert toxicity.fit(small, twice).dictionaries is None
