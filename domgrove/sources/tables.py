@@ -65,6 +65,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of frames that `cut_lineage` made and that nothing will read again."""
+    for frame in frames:
+        written = frame._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if written.isDefined():
+            remove_folder(frame.sparkSession, written.get())
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark reaches."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

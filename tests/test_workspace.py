@@ -38,9 +38,14 @@ def test_html_stays(spark, shared, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def saved_tables(spark):
+    return {t.name for t in spark.catalog.listTables() if t.name.startswith(("nodes_", "pages_"))}
+
+
 def test_release(spark, shared):
+    before = saved_tables(spark)
     workspace.nodes_of(spark, FOLDER).count()
-    assert any(n.startswith("nodes_") for n in os.listdir(shared))
+    assert any(n.startswith("nodes_") for n in os.listdir(shared)) and saved_tables(spark) > before
     workspace.release(spark)
     assert not any(n.startswith(("nodes_", "pages_")) for n in os.listdir(shared))
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("nodes_", "pages_"))]
+    assert saved_tables(spark) == before
