@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from domgrove.llm.common import arrow_map, map_whole_rows, mix, text_rows, texts_of
 from domgrove.llm.text import Block, in_blocks, prefix, range_hash
-from domgrove.sources.tables import cut_lineage
+from domgrove.sources.tables import cut_lineage, forget
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -184,11 +184,12 @@ def maybe_among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 28) -> Da
 
     maps = (ids.select(place(F.col(name)).alias("bit")).groupBy(F.expr("bit div 32768").alias("part"))
             .agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("map")))
-    found = docs.withColumn("_bit", place(F.col("doc_id").cast("long"))).join(
-        F.broadcast(maps), F.expr("_bit div 32768 = part"))
-    byte = F.conv(F.hex(F.expr("substring(map, cast(_bit % 32768 div 8 AS int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, F.expr("cast(_bit % 8 AS int)")).bitwiseAND(F.lit(1)) == 1
-    return found.filter(hit).select(docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = whole.withColumn("bit", place(F.col("row.doc_id").cast("long"))).join(
+        F.broadcast(maps), F.expr("bit div 32768 = part"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(bit % 32768 div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, F.expr("cast(bit % 8 AS int)")).bitwiseAND(F.lit(1)) == 1
+    return found.filter(hit).select("row.*")
 
 
 def full_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -209,7 +210,9 @@ def full_sets(needed: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -
                 yield {"node": [made[i] for i in own],
                        "members": [hashes[at[i]:at[i + 1]].tobytes() for i in own]}
 
-    return cut_lineage(arrow_map(texts, sets, "node binary, members binary").dropDuplicates(["node"]))
+    held = cut_lineage(arrow_map(texts, sets, "node binary, members binary").dropDuplicates(["node"]))
+    forget(asked)
+    return held
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -299,7 +302,8 @@ def across(mixed: DataFrame, nodes: DataFrame, held: DataFrame, percent: int, pr
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root (the smallest node) of every linked node, by alternating large and small stars."""
+    """u and v, the root (the smallest node), of every linked node that is no root, by alternating
+    large and small stars. They are written, for the caller to `forget`."""
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .filter("u != v").distinct())
     state = None
@@ -316,18 +320,25 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = cut_lineage(small)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before, edges = edges, cut_lineage(small)
+        forget(before)
+    return edges
 
 
 def labelled(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, node, root (the same for all rows that links reach; null for empty sets)."""
+    """doc_id, n_shingles, node, root (the same for all rows that links reach; null for empty sets).
+
+    What is written on the way is deleted as soon as nothing reads it any more; the result is
+    written too, for the caller to `forget`.
+    """
     made = cut_lineage(sketches(docs, size))
     nodes = cut_lineage(
         made.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
         .join(made.select("doc_id", F.col("node").alias("own"), "n_shingles", "registers"),
               F.expr("node = own AND doc_id <=> least"))
         .select("node", "doc_id", "n_shingles", "registers").dropDuplicates(["node"]))
+    bare = cut_lineage(made.select("doc_id", "n_shingles", "node"))
+    forget(made)
     placed = bands(nodes)
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut_lineage(placed.join(shared, "bucket"))
@@ -340,21 +351,29 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
              .agg(F.count("*").alias("m")).filter("m > 1").drop("m"))
     likely = cut_lineage(probable(stars, nodes))
     needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    links = cut_lineage(verified(likely, full_sets(needed, nodes, docs, size), percent))
+    held = full_sets(needed, nodes, docs, size)
+    links = cut_lineage(verified(likely, held, percent))
+    forget(likely, held)
 
     # Candidates in one bucket that no link has joined yet.
-    told = cut_lineage(members.join(components(links), "node", "left")
+    edges = components(links)
+    told = cut_lineage(members.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
                        .select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
+    forget(members, edges)
     largest = (told.groupBy("bucket", "root").agg(F.count("*").alias("m"))
                .groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("best"), F.count("*").alias("n_roots"))
                .filter("n_roots > 1").select("bucket", F.col("best.root").alias("top")))
-    mixed = told.join(largest, "bucket")
+    mixed = cut_lineage(told.join(largest, "bucket"))
+    forget(told)
     held = full_sets(mixed.select("node").distinct(), nodes, docs, size)
-    links = cut_lineage(links.union(across(mixed, nodes, held, percent)))
-    roots = components(links)
-
-    return (made.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
-            .withColumn("root", F.coalesce("root", "node")))
+    all_links = cut_lineage(links.union(across(mixed, nodes, held, percent)))
+    forget(mixed, held, nodes, links)
+    edges = components(all_links)
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rows = cut_lineage(bare.join(roots, "node", "left").select(
+        "doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")))
+    forget(all_links, edges, bare)
+    return rows
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -386,7 +405,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, once
     Rows whose doc_id no other row has are told by it alone. Only rows of repeated or missing ids,
     of which some stay, have their sets hashed again.
     """
-    rows = labelled(docs, size, percent)
+    written = rows = labelled(docs, size, percent)
     if once:
         best = rows.filter("root IS NOT NULL").groupBy("root").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
@@ -395,13 +414,18 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, once
     else:
         rows = judged(rows)
     told = cut_lineage(rows.select("doc_id", "node", "kept"))
+    forget(written)
     ids = cut_lineage(told.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("some"))
                       .filter("NOT some OR n > 1 OR doc_id IS NULL"))
     several = ids.filter("some").select("doc_id")
     gone = ids.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id"))
-    plain = docs.filter("doc_id IS NOT NULL").join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    # Rows travel as one struct, so that none of their columns can clash with those of the joins.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    plain = (whole.filter("doc.doc_id IS NOT NULL")
+             .join(gone, F.col("doc.doc_id").cast("long") == F.col("gone_id"), "left_anti"))
     if several.isEmpty():
-        return plain
+        forget(told)
+        return plain.select("doc.*")
 
     def start():
         def each(texts):
@@ -422,4 +446,4 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, once
             .select(F.col("doc_id").alias("key"), F.col("node").alias("name")).distinct())
     bare = own.filter("node IS NULL").join(several.withColumnRenamed("doc_id", "key"), F.expr("id <=> key"), "left_semi")
     found = sets.join(stay, F.expr("id <=> key AND node = name"), "left_semi").select("doc").unionByName(bare.select("doc"))
-    return plain.unionByName(found.select("doc.*"))
+    return plain.select("doc").unionByName(found).select("doc.*")

@@ -1,11 +1,14 @@
 """Suffix-array, near and substring dedup against plain versions."""
 
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from domgrove.llm import near, substring, suffixes
+from domgrove.sources.tables import ensure_checkpoint_dir
 import brute
 
 
@@ -164,6 +167,36 @@ def test_near_rows(spark, once):
     assert found == sorted((brute.order(i), t) for i, t in expected)
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_near_clashing_columns(spark, once):
+    """Columns named like those that the operator makes on its way stay as they came."""
+    names = ["gone_id", "part", "map", "bit", "_bit", "key", "name", "node", "doc", "row", "id", "root", "best", "kept", "n"]
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text + " end"), (2, "other words"), (3, "x"), (3, "x"), (None, "y z"), (4, None)]
+    docs = spark.createDataFrame([(i, t, *[f"{c}{k}" for c in names]) for k, (i, t) in enumerate(rows)],
+                                 ", ".join(["doc_id long", "text string", *[f"{c} string" for c in names]]))
+    kept = near.drop_near_duplicates(docs, once=once)
+    assert kept.schema == docs.schema
+    found = sorted((brute.order(r.doc_id), r.text or "") for r in kept.collect())
+    expected = [(1, text), (2, "other words"), (3, "x"), (None, "y z"), (4, "")] + [(3, "x")] * (not once)
+    assert found == sorted((brute.order(i), t) for i, t in expected)
+    assert {r.key[:3] for r in kept.collect()} == {"key"}
+
+
+def test_near_leaves_no_files(spark, small):
+    """Of what is written on the way only what the result is read from stays."""
+    ensure_checkpoint_dir(spark)
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(top) for f in names if f.startswith("part-")}
+
+    before = files()
+    near.near_duplicates(small.limit(50)).count()
+    # One frame is left, of as many partitions as its last join had.
+    assert len({os.path.dirname(f) for f in files() - before}) == 1
+
+
 def test_near_pruning():
     """What bands and pruning lose together of pairs of similarity 0.75 stays below 6 in a million."""
     sizes = np.full(near.REGISTERS + 1, 700.0)
