@@ -29,6 +29,8 @@ STEPS = (2, 3, 4, 5, 6)
 LEVEL = 9
 #: Sizes of the dictionaries, and how many windows the ordinary one is trained on.
 TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 4000, 16000, 30_000
+#: Share of the toxic windows that may be there by chance.
+FALSE_SHARE = 0.01
 #: Words of more bytes are read in ranges of RANGE bytes, one from each character on.
 LONG, RANGE = 48, 9
 
@@ -52,11 +54,37 @@ def known_pairs(own: list[bytes], heads: dict[bytes, frozenset[bytes]]) -> list[
     return [w + b" " + own[i + 1] for i, w in enumerate(own[:-1]) if w in heads and own[i + 1] in heads[w]]
 
 
-def telling(bad: int, usual: int, n_bad: int, n_usual: int, errors: float) -> bool:
-    """Whether a share of toxic documents is 1.5 times that of ordinary ones, or more, by so many
-    standard errors of the logarithm of their ratio; half a document is added to each count."""
-    ratio = np.log((bad + 0.5) / (n_bad + 1)) - np.log((usual + 0.5) / (n_usual + 1))
-    return ratio - errors * np.sqrt(1 / (bad + 0.5) + 1 / (usual + 0.5)) >= np.log(1.5)
+def surprise(bad: np.ndarray, usual: np.ndarray, n_bad: int, n_usual: int) -> np.ndarray:
+    """Probability that of bad + usual marked documents so many or more are toxic, if the mark and
+    toxicity had nothing to do with each other (upper tail of the hypergeometric distribution)."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n_bad + n_usual + 1)))])
+
+    def choose(n, k):
+        return log[n] - log[k] - log[n - k]
+
+    made = {}
+    for a, b in set(zip(bad.tolist(), usual.tolist())):
+        x = np.arange(a, min(a + b, n_bad) + 1)
+        x = x[a + b - x <= n_usual]
+        made[a, b] = np.exp(choose(n_bad, x) + choose(n_usual, a + b - x) - choose(n_bad + n_usual, a + b)).sum()
+    return np.array([made[k] for k in zip(bad.tolist(), usual.tolist())])
+
+
+def telling(marks: dict, bad: Counter, usual: Counter, n_bad: int, n_usual: int, false: float = FALSE_SHARE) -> list:
+    """Those of marks (their number of toxic documents by mark) that tell toxic documents, surest first.
+
+    A mark counts if its share of toxic documents is 1.5 times that of ordinary ones or more, and if
+    it passes the procedure of Benjamini and Hochberg: among all that pass, a share of `false` is
+    expected to be there by chance, however many were looked at.
+    """
+    names = sorted(marks)
+    a, b = (np.fromiter((c[w] for w in names), np.int64, len(names)) for c in (bad, usual))
+    p = surprise(a, b, n_bad, n_usual)
+    order = np.lexsort((-a, p))
+    passed = np.flatnonzero(p[order] <= false * np.arange(1, len(names) + 1) / max(1, len(names)))
+    sure = order[:passed[-1] + 1] if len(passed) else order[:0]
+    often = (a + 0.5) / (n_bad + 1) >= 1.5 * (b + 0.5) / (n_usual + 1)
+    return [names[i] for i in sure.tolist() if often[i]]
 
 
 def train_dictionaries(texts: list[bytes], toxic: list[int], sizes: tuple[int, int] = (TOXIC_BYTES, ORDINARY_BYTES),
@@ -65,9 +93,9 @@ def train_dictionaries(texts: list[bytes], toxic: list[int], sizes: tuple[int, i
     """A toxic and an ordinary dictionary, and toxic pairs by first window; None where either kind
     of text is missing or nothing tells them apart.
 
-    The toxic dictionary is trained on windows that are much more frequent among toxic documents,
-    once for each that has them, and on pairs of other windows that are, more surely because there
-    are many pairs. The ordinary one is trained on `most_usual` of the other windows of ordinary
+    The toxic dictionary is trained on windows that are surely more frequent among toxic documents,
+    once for each that has them, and on pairs of other windows that are; the surest come first until
+    it is full. The ordinary one is trained on `most_usual` of the other windows of ordinary
     documents. Copies count once.
     """
     counts, n = (Counter(), Counter()), [0, 0]
@@ -76,8 +104,10 @@ def train_dictionaries(texts: list[bytes], toxic: list[int], sizes: tuple[int, i
         n[kind] += 1
         counts[kind].update(set(windows(text)))
     ordinary, bad = counts
-    own = [(w, c) for w, c in sorted(bad.items()) if c > 1 and telling(c, ordinary[w], n[1], n[0], 1)]
-    single = {w for w, _ in own}
+    if not n[0] or not n[1]:
+        return None
+    own = telling(bad, bad, ordinary, n[1], n[0])
+    single = set(own)
     pairs: tuple[Counter, Counter] = (Counter(), Counter())
     for kind in (1, 0):  # of ordinary documents only pairs that are common among toxic ones
         for text, k in unique:
@@ -85,25 +115,36 @@ def train_dictionaries(texts: list[bytes], toxic: list[int], sizes: tuple[int, i
                 words = windows(text)
                 pairs[kind].update({p for p in zip(words, words[1:]) if kind or p in pairs[1]})
         if kind:
-            for p in [p for p, c in pairs[1].items() if c < 3 or p[0] in single or p[1] in single]:
+            for p in [p for p in pairs[1] if p[0] in single or p[1] in single]:
                 del pairs[1][p]
-    told = [(p, c) for p, c in sorted(pairs[1].items()) if telling(c, pairs[0][p], n[1], n[0], 2)]
+    told = telling(pairs[1], *pairs[::-1], n[1], n[0])
     heads: dict[bytes, set[bytes]] = {}
-    for (first, second), _ in told:
+    for first, second in told:
         heads.setdefault(first, set()).add(second)
-    own += [(first + b" " + second, c) for (first, second), c in told]
-    samples = [b" " + w + b" " for w, c in own for _ in range(c)]
+    kept, held = [], 0
+    for w, c in [*((w, bad[w]) for w in own), *((p[0] + b" " + p[1], pairs[1][p]) for p in told)]:
+        held += len(w) + 2
+        if held > sizes[0]:
+            break
+        kept.append((w, c))
+    samples = [b" " + w + b" " for w, c in kept for _ in range(c)]
     usual = [b" " + w + b" " for w, c in sorted(ordinary.items()) if w not in single for _ in range(c)]
     if len(usual) > most_usual:
         order = np.random.default_rng(0).permutation(len(usual))[:most_usual]
         usual = [usual[i] for i in order]
+    made = [trained(x, size) for size, x in zip(sizes, (samples, usual))]
+    # Training leaves out what is short or rare: such windows follow, the surest next to the text.
+    rest = b"".join(b" " + w + b" " for w, _ in reversed(kept) if b" " + w + b" " not in made[0])
+    made[0] = (made[0] + rest)[-sizes[0]:]
+    return ((made[0], made[1]), {w: frozenset(x) for w, x in heads.items()}) if kept and usual else None
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of at most `size` bytes; the samples themselves if they are too few."""
     try:
-        made = [zstandard.train_dictionary(size, x, k=32, d=8, level=LEVEL).as_bytes()
-                for size, x in zip(sizes, (samples, usual))]
-    except zstandard.ZstdError:  # too little to train on
-        made = [b"".join(dict.fromkeys(x))[:size]
-                for size, x in zip(sizes, (samples, usual))]
-    return ((made[0], made[1]), {w: frozenset(x) for w, x in heads.items()}) if own and usual else None
+        return zstandard.train_dictionary(size, samples, k=32, d=6, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
 
 
 def distance(dictionaries: tuple[bytes, bytes]):

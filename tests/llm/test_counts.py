@@ -284,16 +284,37 @@ def test_shrinkage(spark):
 
 def test_toxicity(spark):
     from domgrove.llm.common import documents, table
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     docs, labels = documents(spark, folder), table(spark, folder, "labels")
     model = toxicity.fit(docs, labels)
+    docs = docs.join(labels, "doc_id", "left_semi")
     known = {r.doc_id: r.toxic for r in labels.collect()}
     rows = [r for r in toxicity.score(docs, model).collect()
             if r.doc_id in known and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     kinds = np.array([known[r.doc_id] for r in rows])
     scores = np.array([r.score for r in rows])
-    better = (scores[kinds == 1][:, None] > scores[kinds == 0]).mean()
-    assert better > 0.75 and np.mean((scores >= 0.5) == kinds) > 0.85
+    toxic, calm = scores[kinds == 1], scores[kinds == 0]
+    # Some 7 of 97 toxic labels stand at texts that hold nothing toxic, which bounds all three.
+    assert (toxic[:, None] > calm).mean() > 0.93
+    assert (toxic >= 0.5).mean() > 0.85 and (calm < 0.5).mean() > 0.98
+
+
+def test_windows_that_tell():
+    """Of thousands of windows that chance spreads over few toxic documents none is taken."""
+    draw = random.Random(3)
+    toxic = [" ".join(draw.choices([f"w{k}" for k in range(5000)], k=60)) + " vile" * (i % 4 == 0) for i in range(300)]
+    calm = [" ".join(draw.choices([f"w{k}" for k in range(5000)], k=60)) for _ in range(2000)]
+    texts = [t.encode() for t in toxic + calm]
+    content, pairs = toxicity.train_dictionaries(texts, [1] * 300 + [0] * 2000)
+    assert b" vile " in content[0] and content[0].count(b" w") <= 2 and not pairs
+
+
+def test_surprise():
+    from itertools import combinations
+    for bad, usual, n_bad, n_usual in [(2, 1, 3, 4), (0, 3, 2, 5), (3, 0, 3, 3), (1, 1, 1, 6)]:
+        draws = list(combinations([1] * n_bad + [0] * n_usual, bad + usual))
+        share = sum(sum(d) >= bad for d in draws) / len(draws)
+        assert toxicity.surprise(np.array([bad]), np.array([usual]), n_bad, n_usual)[0] == pytest.approx(share)
 
 
 def test_toxicity_edges(edges, empty, small, labels):
