@@ -74,3 +74,96 @@ SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_rem
        sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM docs d LEFT JOIN cuts c ON c.doc_id = d.doc_id
 """
+
+
+def _crc32(number: str) -> str:
+    """The unsigned CRC-32 of an integer in decimal, bit by bit."""
+    byte = "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), {byte})))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+# g is the language in an order that begins with null.
+OP13 = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_crc32('doc_id')} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS own
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+    count(*) OVER (PARTITION BY g) AS n FROM docs),
+tree AS (
+  SELECT g, 0 AS level, r AS i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), max(n + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY g, level, i // 2),
+langs AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS k, count(*) OVER () AS m FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, k AS i, subroot AS h, m AS n FROM langs
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), max(n + 1) // 2
+  FROM top WHERE n > 1 GROUP BY level, i // 2),
+steps AS (
+  SELECT l.g, l.r, s.level AS pos, (l.r >> s.level) & 1 AS bit, coalesce(t.h, '') AS h
+  FROM leaves l JOIN (SELECT DISTINCT g, level FROM tree WHERE n > 1) s ON s.g = l.g
+  LEFT JOIN tree t ON t.g = l.g AND t.level = s.level AND t.i = xor(l.r >> s.level, 1)
+  UNION ALL
+  SELECT l.g, l.r, 1000 + s.level, (a.k >> s.level) & 1, coalesce(t.h, '')
+  FROM leaves l JOIN langs a ON a.g = l.g, (SELECT DISTINCT level FROM top WHERE n > 1) s
+  LEFT JOIN top t ON t.level = s.level AND t.i = xor(a.k >> s.level, 1)),
+paths AS (SELECT g, r, list({{'bit': bit, 'h': h}} ORDER BY pos) AS path, string_agg(h, '' ORDER BY pos) AS proof
+          FROM steps GROUP BY g, r),
+checked AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_concat([{{'bit': 0::BIGINT, 'h': own}}], coalesce(path, [])), lambda a, x: {{'bit': 0::BIGINT,
+      'h': sha256(CASE WHEN x.bit = 1 THEN x.h || a.h ELSE a.h || x.h END)}}).h AS folded_root
+  FROM leaves JOIN langs USING (g) LEFT JOIN paths USING (g, r))
+SELECT *, folded_root = root AS verified FROM checked
+"""
+
+
+_WORDS_OF_TEXT = WORDS.format("text")
+
+OP12 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+marked AS (
+  SELECT *, md5(octet_length(encode(role)) || ':' || role || text) AS content, len({_WORDS_OF_TEXT}) AS words FROM turns),
+own AS (
+  SELECT conv_id, content, words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) - 1 AS r FROM marked),
+conv AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {_crc32('conv_id')} % 4 AS h FROM turns),
+made AS (
+  SELECT c.conv_id, 0 AS part, o.r, o.content, o.words FROM conv c JOIN own o ON o.conv_id = c.base AND o.r < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.r, o.content, o.words FROM conv c JOIN own o ON o.conv_id = c.conv_id AND o.r >= c.h),
+placed AS (
+  SELECT conv_id, words, row_number() OVER w AS depth, string_agg(content, '') OVER w AS path
+  FROM made WINDOW w AS (PARTITION BY conv_id ORDER BY part, r ROWS UNBOUNDED PRECEDING)),
+steps AS (
+  SELECT conv_id, depth, words, path AS key, substring(path, 1, length(path) - 32) AS parent FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM conv),
+last AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS total FROM steps),
+nodes AS (
+  SELECT key, min(conv_id) AS conv_id, min(depth) AS depth, min(parent) AS parent, count(*) AS n_convs, min(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = total), '')) AS ends_sha256
+  FROM last GROUP BY key),
+children AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (key)),
+below AS (SELECT DISTINCT a.key AS top, b.key FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+totals AS (
+  SELECT top AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM below JOIN known USING (key) GROUP BY top)
+SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens,
+  k.ends_sha256
+FROM known k JOIN totals t ON t.key = k.key LEFT JOIN nodes p ON p.key = k.parent
+"""

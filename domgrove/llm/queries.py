@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from domgrove.llm import (
     binary,
+    conversations,
     decontaminate,
+    merkle,
     near,
     oracles,
     packing,
@@ -66,7 +68,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(documents(spark, sf_dir)).drop("spans")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_suffix_dedup, op3_decontamination, op4_packing, op5_quality_rules, op6_quality_classifier,
-    op7_near_dedup, op8_substring_dedup, op9_token_ids, op10_toxicity)}
-ORACLES: dict[str, str] = {"op2_suffix_dedup": oracles.OP2, "op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8}
+    op7_near_dedup, op8_substring_dedup, op9_token_ids, op10_toxicity, op12_conversation_trie, op13_merkle_manifest)}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": oracles.OP2, "op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8,
+                           "op12_conversation_trie": oracles.OP12, "op13_merkle_manifest": oracles.OP13}

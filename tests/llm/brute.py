@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -102,3 +103,76 @@ def tiling(doc, item, shortest):
             return count, covered
         count, covered = count + 1, covered + size
         doc_free[i:i + size] = item_free[j:j + size] = [False] * size
+
+
+def joined(*parts):
+    return sha("".join(parts).encode())
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def merkle(rows):
+    """The digest of the manifest of rows (dicts): as merkle.checked."""
+    def leaf(r, more=0):
+        n = None if r["n_chars"] is None else r["n_chars"] + more
+        return joined(*map(field, (r["doc_id"], r["source"], r["lang"], n, r["text"])))
+
+    def build(level):
+        tree = [level]
+        while len(tree[-1]) > 1:
+            tree.append([joined(*tree[-1][i:i + 2]) for i in range(0, len(tree[-1]), 2)])
+        return tree
+
+    def path(tree, i):
+        return [((i >> k) & 1, level[(i >> k) ^ 1] if (i >> k) ^ 1 < len(level) else "")
+                for k, level in enumerate(tree[:-1])]
+
+    by = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).append(r)
+    langs = sorted(by, key=lambda x: (x is not None, (x or "").encode()))
+    for own in by.values():
+        own.sort(key=lambda r: (order(r["doc_id"]), leaf(r)))
+    trees = [build([leaf(r) for r in by[x]]) for x in langs]
+    top = build([t[-1][0] for t in trees]) if trees else []
+    out = []
+    for k, x in enumerate(langs):
+        for i, r in enumerate(by[x]):
+            steps = path(trees[k], i) + path(top, k)
+            now = leaf(r, int(r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0))
+            for on_left, s in steps:
+                now = joined(s, now) if on_left else joined(now, s)
+            root = top[-1][0]
+            out.append((r["doc_id"], leaf(r), trees[k][-1][0], root, joined(*[s for _, s in steps]), now, now == root))
+    return out
+
+
+def trie(rows, family=20, heads=4):
+    """The nodes of the trie of (conv_id, turn, role, text): as conversations.prefix_trie."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+            own.setdefault(c, []).append((order(turn), tie, (role, text)))
+    own = {c: [x[2] for x in sorted(turns)] for c, turns in own.items()}
+    made = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        made[c] = own.get(c - (abs(c) % family) * (1 if c > 0 else -1), [])[:h] + turns[h:]
+    members = {}
+    for c, turns in made.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    children = Counter(s[:-1] for s in members if s)
+    leaves, saved = Counter(), Counter()
+    for s, own_members in members.items():
+        cost = (len(own_members) - 1) * len(words(s[-1][1])) if s else 0
+        for d in range(len(s) + 1):
+            leaves[s[:d]] += not children[s]
+            saved[s[:d]] += cost
+    return [(min(m), len(s), min(members[s[:-1]]) if s else None, len(m), children[s], leaves[s], saved[s],
+             sha(",".join(map(str, sorted(c for c in m if len(made[c]) == len(s)))).encode()))
+            for s, m in members.items()]
