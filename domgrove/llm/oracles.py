@@ -24,31 +24,36 @@ FROM docs d LEFT JOIN (
   FROM gone GROUP BY doc_id) g ON d.doc_id = g.doc_id
 """
 
-OP7 = f"""
+def _components(size: int, percent: int, more: str) -> str:
+    """Components of documents whose sets of shingles are alike."""
+    return f"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws
   FROM documents),
 sets AS (
-  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS s
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM docs WHERE len(ws) > 0)),
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + {size - 1}], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, 1) + 1)) AS i FROM docs WHERE len(ws) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 pairs AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
   FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (
   SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
-  WHERE 100 * common >= 75 * (p.n + q.n - common)),
+  WHERE 100 * common >= {percent} * (p.n + q.n - common)),
 edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (
   SELECT doc_id AS node, doc_id AS root FROM docs
   UNION
   SELECT e.y, r.root FROM reach r JOIN edges e ON e.x = r.node AND r.root < e.y)
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.root) AS component_id,
-       min(r.root) = d.doc_id AS kept
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.root) AS component_id{more}
 FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.node = d.doc_id
 GROUP BY d.doc_id, s.n
 """
 
+
+OP7 = _components(5, 75, ", min(r.root) = d.doc_id AS kept")
+OP11 = _components(4, 85, "")
+
 OP2 = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 starts AS (

@@ -11,6 +11,7 @@ from domgrove.llm import (
     decontaminate,
     merkle,
     near,
+    ngram_join,
     oracles,
     packing,
     quality_classifier,
@@ -68,6 +69,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(documents(spark, sf_dir)).drop("spans")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(documents(spark, sf_dir))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -78,6 +83,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_suffix_dedup, op3_decontamination, op4_packing, op5_quality_rules, op6_quality_classifier,
-    op7_near_dedup, op8_substring_dedup, op9_token_ids, op10_toxicity, op12_conversation_trie, op13_merkle_manifest)}
+    op7_near_dedup, op8_substring_dedup, op9_token_ids, op10_toxicity, op11_ngram_join, op12_conversation_trie, op13_merkle_manifest)}
 ORACLES: dict[str, str] = {"op2_suffix_dedup": oracles.OP2, "op7_near_dedup": oracles.OP7, "op8_substring_dedup": oracles.OP8,
-                           "op12_conversation_trie": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
+                           "op11_ngram_join": oracles.OP11, "op12_conversation_trie": oracles.OP12, "op13_merkle_manifest": oracles.OP13}

@@ -47,8 +47,8 @@ def shingles(text, size=5):
     return {tuple(own[i:i + size]) for i in range(max(1, len(own) - size + 1))}
 
 
-def components(items):
-    """component_id by doc_id for (doc_id, set) with Jaccard of at least 3/4."""
+def components(items, percent=75):
+    """component_id by doc_id for (doc_id, set) with a Jaccard similarity of at least so many percent."""
     parent = {d: d for d, _ in items}
 
     def root(d):
@@ -58,7 +58,7 @@ def components(items):
 
     for i, (a, x) in enumerate(items):
         for b, y in items[:i]:
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 low, high = sorted((root(a), root(b)))
                 parent[high] = low
     return {d: root(d) for d, _ in items}
