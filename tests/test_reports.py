@@ -14,9 +14,10 @@ from domgrove.operators.selection import Selection
 from domgrove.operators.selectors import selectors
 from domgrove.operators.shred import shred
 from domgrove.plans.reports import coverage, enrich, not_found
+from domgrove.plans.queries import QUERIES
 from domgrove.plans.rules import PRESETS, rule, run_rules
 from domgrove.plans.workspace import pages_of
-from domgrove.sources.pages import read_html_files, read_pages, repeated_ids, split_pages
+from domgrove.sources.pages import read_html_files, read_pages, repeated_ids, split_pages, without_repeated
 from domgrove.sources.tables import load_nodes, save_nodes, save_pages, write_results
 from domgrove.streaming.run import run_stream
 
@@ -177,6 +178,59 @@ def test_repeated_ids_are_rejected(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{target}/rejects").drop("batch").collect())) == told
 
 
+def counted(pages, **more):
+    """What without_repeated gives for pages that are all valid: kept and repeated rows."""
+    alone, repeated = without_repeated(pages, pages, **more)
+    return sorted(map(tuple, alone.collect())), sorted(map(tuple, repeated.collect())) if repeated is not None else None
+
+
+def test_id_check_ways(spark):
+    """Few suspects, many of them, and a map so small that it holds back nearly everything."""
+    rows = [(i, f"u{i}", "h") for i in range(300)] + [(i, f"v{i}", "k") for i in range(0, 300, 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    kept = sorted(r for r in rows if r[0] % 3)
+    gone = sorted(r for r in rows if not r[0] % 3)
+    for more in ({}, {"few": 10}, {"few": 10, "most_bits": 1 << 15}, {"few": 99}, {"few": 100}):
+        assert counted(pages, **more) == (kept, gone), more
+    assert counted(pages.filter("html = 'h'")) == (sorted(r for r in rows if r[2] == "h"), None)
+    assert counted(pages.filter("false")) == ([], None)
+
+
+def test_only_valid_pages_repeat(spark):
+    """A page stays if the other rows of its id cannot be worked on; rows without id are told apart."""
+    rows = [(1, "https://a", "x"), (1, "https://a", None), (1, "", "y"), (2, "https://b", "x"), (2, "https://c", "x"),
+            (None, "https://d", "x"), (None, "https://d", "x")]
+    pages, rejects = split_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert [r.page_id for r in pages.collect()] == [1]
+    assert sorted((r.page_id or 0, r.reason) for r in rejects.collect()) == [
+        (0, "no page id"), (0, "no page id"), (1, "no address"), (1, "no body"),
+        (2, "repeated page id"), (2, "repeated page id")]
+
+
+def test_html_is_scanned_once(spark):
+    """With broadcasts and adaptive plans off, the id check adds no scan of html and moves none."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        folder = "/root/testdata/sf0.001"
+        for name in ("links", "tag_census"):
+            df = QUERIES[name](spark, folder)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+        # A few repeated ids are broadcast by themselves: still nothing that holds html is moved.
+        pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+        few = pages.withColumn("page_id", F.when(F.col("page_id") == 3, 4).otherwise(F.col("page_id")))
+        kept, _ = split_pages(few)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(moves) == 1  # of the suspects' ids
+        assert kept.count() == pages.count() - 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_html_files(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.html").write_text(f"<p>{name}\n</p>")
