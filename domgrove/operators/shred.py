@@ -9,8 +9,9 @@ page_id first and reuses it. The tree is found in three steps, from the outside
    ends with the element around it.
 
 So an end tag never reaches across a container. Where inline elements cross, an element ends with
-the first end tag of any that was open when it began, its own included; so every interval nests in
-another: what begins inside an element ends no later than it.
+the one around it, if that ends first, and its own end tag then ends nothing; so every interval nests
+in another: what begins inside an element ends no later than it. `clipped_by` tells of an element
+that was cut short by whose end tag that happened.
 """
 
 from __future__ import annotations
@@ -244,91 +245,113 @@ def _end_items(tags: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a block that are folded at a time: what a fold carries is copied for every row.
+CHUNK = 512
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once. Spark copies both, so they are to be small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _nest_inline(marks: Column) -> Column:
+    """For each row of a block, in document order: parent, end and clipped_by of an inline element.
+
+    marks has `at`, `stop` (where an element's own end tag is, or the end of the block; null for rows
+    that are no inline elements with content) and `is_paired` (it is its own end tag).
+
+    A fold carries the elements that are open: id, end, and the element whose end tag is that end.
+    Every element ends with the one around it if not before, so what is open ends from the inside
+    out, and what has ended by a row stands at the top. Results of a chunk of rows are carried, too,
+    and put behind those of the chunks before; so a row costs what is open there and one chunk.
+    """
+    longs = F.array().cast("array<bigint>")
+    empty = F.struct(*[longs.alias(c) for c in ("ids", "ends", "by", "out")])
+
+    def look(state: Column, mark: Column) -> Column:
+        """How many elements are still open, and what the row makes of the innermost."""
+        ends, stop = state["ends"], mark["stop"]
+        n_open = F.when(F.try_element_at(ends, F.lit(-1)) > mark["at"], F.size(ends)).otherwise(
+            F.size(F.filter(ends, lambda end: end > mark["at"])))
+
+        def told(n: Column) -> Column:
+            limit = F.get(ends, n - 1)
+            is_cut = F.coalesce(limit < stop, F.lit(False))
+            return F.struct(
+                n.alias("n"), F.get(state["ids"], n - 1).alias("parent"),
+                F.when(stop.isNotNull(), F.least(stop, limit)).alias("end"),
+                F.when(is_cut, F.get(state["by"], n - 1)).otherwise(mark["at"]).alias("by"),
+                (is_cut & mark["is_paired"]).alias("is_clipped"), mark["at"].alias("at"))
+
+        return _let(n_open, told)
+
+    def move(state: Column, seen: Column) -> Column:
+        def stacked(name: str, value: str) -> Column:
+            left = F.when(seen["n"] == F.size(state[name]), state[name]).otherwise(F.slice(state[name], F.lit(1), seen["n"]))
+            return F.when(seen["end"].isNotNull(), F.array_append(left, seen[value])).otherwise(left).alias(name)
+
+        found = F.array(seen["parent"], seen["end"], F.when(seen["is_clipped"], seen["by"]))
+        return F.struct(stacked("ids", "at"), stacked("ends", "end"), stacked("by", "by"),
+                        F.concat(state["out"], found).alias("out"))
+
+    def fold(state: Column, chunk: Column) -> Column:
+        fresh = F.struct(state["ids"].alias("ids"), state["ends"].alias("ends"), state["by"].alias("by"), longs.alias("out"))
+        return F.aggregate(
+            chunk, fresh, lambda now, mark: F.aggregate(F.array(look(now, mark)), now, move),
+            lambda now: F.struct(now["ids"].alias("ids"), now["ends"].alias("ends"), now["by"].alias("by"),
+                                 F.concat(state["out"], now["out"]).alias("out")))
+
+    def rows(state: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(state["out"]) - 3, F.lit(3))
+        return F.transform(at, lambda i: F.struct(*[
+            F.get(state["out"], i + k).alias(name) for k, name in enumerate(("parent", "end", "clipped_by"))]))
+
+    starts = F.sequence(F.lit(1), F.size(marks), F.lit(CHUNK))
+    return F.aggregate(F.transform(starts, lambda at: F.slice(marks, at, F.lit(CHUNK))), empty, fold, rows)
+
+
 def _end_inline(tags: DataFrame) -> DataFrame:
-    """Ends of the other elements, and the parent of every element and text."""
+    """Ends of the other elements, and the parent of every element and text.
+
+    Start and end tags of one name pair by nesting level in their block. Then each block is folded
+    in document order, see `_nest_inline`: an element ends at its own end tag, or before it with the
+    element around it. The end tag of an element that has ended so ends nothing.
+    """
     has_key = F.col("key").isNotNull()
     opening, closing = has_key & _is(OPEN), has_key & _is(CLOSE)
     level = F.sum(_step(opening, closing)).over(_so_far("block", "key")) + closing.cast("int")
     by_level = _rows("block", "key", "level")
-    link = F.when(opening & (F.lead("kind").over(by_level) == CLOSE), OPEN).when(
-        closing & (F.lag("kind").over(by_level) == OPEN), CLOSE)
-    next_at, next_len = F.lead("at").over(by_level), F.lead("len").over(by_level)
-
-    # Pairs that cross: a running sum of random numbers of the pairs tells whether the same are
-    # open before and after a pair. Only those of a block that cross are listed for its rows.
-    block = W.partitionBy("page_id", "block")
-    number = F.pmod(F.xxhash64(F.when(_is(OPEN), F.col("at")).otherwise(F.col("pair_start"))), F.lit(1 << 40))
-    open_set = F.sum(_step(F.col("link") == OPEN, F.col("link") == CLOSE) * number).over(_so_far("block"))
-    crosses = (F.col("link") == OPEN) & (F.lead("open_set").over(by_level) != F.col("open_set") - number)
-    crossing = F.collect_list(F.when(F.col("crosses"), F.struct(
-        F.col("at").alias("start"), F.col("pair_end").alias("end")))).over(block)
-    clipped = F.array_min(F.transform(
-        F.filter("crossing", lambda y: (y["start"] <= F.col("at")) & (y["end"] > F.col("at"))),
-        lambda y: y["end"]))
-    ended_here = F.when(
-        F.exists("crossing", lambda y: y["end"] == F.col("at")),
-        F.size(F.filter("clipped_ends", lambda end: end == F.col("at")))).otherwise(1)
-
-    # Pairs open at a place, by running depth.
-    here = F.col("depth")
-    linked_open = F.col("link") == OPEN
-    head_of_pair = F.col("is_head")
-    places = F.when(
-        F.coalesce(linked_open, F.lit(False)),
-        F.array(F.struct((here - 1).alias("level"), F.lit(False).alias("is_head")),
-                F.struct(here.alias("level"), F.lit(True).alias("is_head"))),
-    ).otherwise(F.array(F.struct(here.alias("level"), F.lit(False).alias("is_head"))))
-    pair = F.last(
-        F.when(head_of_pair, F.struct(F.col("at").alias("id"), F.col("pair_end").alias("end"))),
-        ignorenulls=True,
-    ).over(_so_far("block", "level"))
-    alive = (F.col("level") > 0) & (F.col("pair.end") > F.col("at"))
-
-    is_loose = _is(OPEN) & F.col("end").isNull() & F.col("link").isNull()
-    loose = F.last(F.when(is_loose, F.col("at")), ignorenulls=True).over(_before("block", "pair_id"))
-    limit = F.coalesce("around_end", "block_end")
+    is_paired = opening & (F.lead("kind").over(by_level) == CLOSE)
+    own_end = F.when(F.col("is_paired"), F.lead("at").over(by_level))
+    own_len = F.when(F.col("is_paired"), F.lead("len").over(by_level))
+
+    # Elements with content whose end is not known yet: of the others the end is, or follows from the tag.
+    stop = F.when(_is(OPEN) & F.col("end").isNull(), F.coalesce("own_end", "block_end"))
+    carried = ["at", "kind", "len", "tag", "tag_text", "text", "tail", "end", "ends", "own_end", "own_len"]
+    folded = F.zip_with("rows", _nest_inline(F.col("marks")), lambda row, found: F.struct(
+        row.alias("row"), found.alias("found")))
     end = (
-        F.when(F.col("end").isNotNull(), F.col("end"))
-        .when(_is(VOID, OPAQUE), F.col("at") + F.col("len"))
-        .when(linked_open, F.least(F.col("pair_end") + F.col("pair_len"), limit))
-        .when(_is(OPEN), limit)
+        F.when(F.col("row.end").isNotNull(), F.col("row.end"))
+        .when(F.expr(f"row.kind IN ({VOID}, {OPAQUE})"), F.col("row.at") + F.col("row.len"))
+        .when(F.col("row.own_end") == F.col("found.end"), F.col("row.own_end") + F.col("row.own_len"))
+        .otherwise(F.col("found.end"))
     )
     return (
         tags.withColumn("key", F.when(_is(OPEN, CLOSE) & F.col("end").isNull(), F.col("tag")))
         .withColumn("level", level)
-        .withColumns({
-            "link": link,
-            "pair_end": F.when(opening, next_at),
-            "pair_len": F.when(opening, next_len),
-            "pair_start": F.when(closing, F.lag("at").over(by_level)),
-        })
-        .withColumn("open_set", open_set)
-        .withColumn("crosses", F.coalesce(crosses, F.lit(False)))
-        .filter(~_is(CLOSE) | (F.col("link") == CLOSE) | F.col("tail").isNotNull())
-        .withColumn("crossing", crossing)
-        .withColumn("clipped", F.when(F.col("crosses"), clipped))
-        .withColumn("clipped_ends", F.collect_list("clipped").over(block))
-        .withColumns({
-            "pair_len": F.when(F.col("clipped") < F.col("pair_end"), 0).otherwise(F.col("pair_len")),
-            "pair_end": F.coalesce("clipped", "pair_end"),
-            "n_ended": F.when(F.col("link") == CLOSE, ended_here),
-        })
-        .drop("key", "level", "open_set", "crosses", "crossing", "clipped", "clipped_ends", "pair_start")
-        .withColumn("depth", F.sum(F.when(F.col("link") == OPEN, 1).otherwise(-F.coalesce("n_ended", F.lit(0))))
-                    .over(_so_far("block")))
-        .drop("n_ended")
-        .withColumn("place", F.explode(places))
-        .select("*", "place.*").drop("place", "depth")
-        .withColumn("pair", pair)
-        .filter(~head_of_pair)
-        .withColumns({"pair_id": F.when(alive, F.col("pair.id")),
-                      "around_end": F.when(alive, F.col("pair.end"))})
-        .drop("pair", "level", "is_head")
-        .withColumn("parent", F.coalesce(loose, "pair_id", "block"))
-        .withColumn("end", end)
+        .withColumn("is_paired", F.coalesce(is_paired, F.lit(False)))
+        .withColumns({"own_end": own_end, "own_len": own_len})
         .filter(~_is(CLOSE) | F.col("tail").isNotNull())
-        .select("page_id", "at", "kind", "len", "tag", "tag_text", "text", "tail", "parent", "end",
-                "ends")
+        .withColumn("stop", stop)
+        .groupBy("page_id", "block")
+        .agg(F.sort_array(F.collect_list(F.struct(*carried))).alias("rows"),
+             F.sort_array(F.collect_list(F.struct("at", "stop", "is_paired"))).alias("marks"))
+        # The outer form: for the inner one Spark would add a filter that folds once more.
+        .select("page_id", "block", F.explode_outer(folded).alias("pair"))
+        .select("page_id", "block", "pair.*")
+        .select("page_id", "row.at", "row.kind", "row.len", "row.tag", "row.tag_text", "row.text", "row.tail",
+                F.coalesce("found.parent", "block").alias("parent"), end.alias("end"), "row.ends",
+                F.when(F.col("row.own_end") > F.col("found.end"), F.col("found.clipped_by")).alias("clipped_by"))
     )
 
 
@@ -336,7 +359,7 @@ def _gather(tags: DataFrame) -> DataFrame:
     """One row per element, with the pieces of text that stand directly in it."""
     empty = {
         "node": "bigint", "parent": "bigint", "head": "struct<tag:string,tag_text:string>",
-        "end": "bigint", "piece": "struct<at:bigint,is_break:boolean,text:string>",
+        "end": "bigint", "clipped_by": "bigint", "piece": "struct<at:bigint,is_break:boolean,text:string>",
     }
 
     def role(**fields: Column) -> Column:
@@ -352,7 +375,7 @@ def _gather(tags: DataFrame) -> DataFrame:
     is_element = _is(OPEN, CONTAINER, VOID, OPAQUE)
     follows = ~_is(OPEN, CONTAINER) & (F.col("tail").isNotNull() | (F.col("tag") == "br"))
     roles = F.array_compact(F.array(
-        F.when(is_element, role(node=at, parent=parent, head=head, end=F.col("end"),
+        F.when(is_element, role(node=at, parent=parent, head=head, end=F.col("end"), clipped_by=F.col("clipped_by"),
                                 piece=F.when(inner.isNotNull(), piece(inner)))),
         # Text behind a tag belongs to the element around it; so does a line break.
         F.when(follows, role(node=parent, piece=piece(F.col("tail")))),
@@ -367,6 +390,7 @@ def _gather(tags: DataFrame) -> DataFrame:
             F.max("parent").alias("parent"),
             F.first("head", ignorenulls=True).alias("head"),
             F.max("end").alias("end"),
+            F.max("clipped_by").alias("clipped_by"),
             F.sort_array(F.collect_list("piece")).alias("pieces"),
         )
         .filter("head IS NOT NULL")
@@ -376,6 +400,7 @@ def _gather(tags: DataFrame) -> DataFrame:
             F.when(F.col("parent") >= 0, _position(F.col("parent"))).alias("parent_id"),
             "head.tag", "head.tag_text", _offset(F.col("node")).alias("off"),
             (_offset(F.col("end")) - _offset(F.col("node"))).alias("len"), "pieces",
+            _position(F.col("clipped_by")).alias("clipped_by"),
         )
     )
 
@@ -448,5 +473,5 @@ def shred(pages: DataFrame, partitions: int | None = None, clustered: bool = Fal
             .withColumn("own_text", own_text)
         )
         .select("page_id", "node_id", "end_pos", "parent_id", "depth", "tag", "attrs", "attr",
-                "texts", "own_text", "sib_pos", "sib_count", "tag_pos", "tag_count", "off", "len")
+                "texts", "own_text", "sib_pos", "sib_count", "tag_pos", "tag_count", "off", "len", "clipped_by")
     )

@@ -207,6 +207,16 @@ ORACLES: dict[str, str] = {
     "crossed_nesting": f"""{NODES} SELECT page_id, count(*) + count(*) FILTER (tag = 'b') AS n_elements,
         CAST(0 AS BIGINT) AS n_crossing FROM nodes GROUP BY page_id""",
     "crossed_text": _numbered("SELECT page_id, node_id, 0 AS item, own_text AS value FROM nodes WHERE tag = 'b'"),
+    "crossed_links": f"""{NODES} SELECT page_id, count(*) + 2 * count(*) FILTER (tag = 'a') AS n_elements,
+        greatest(max(depth), max(depth + 2) FILTER (tag = 'a')) AS max_depth,
+        2 * count(*) FILTER (tag = 'a') AS n_crossing FROM nodes GROUP BY page_id""",
+    # Every link before in the page has five tokens more: three tags before and behind, and a blank.
+    "clipped": f"""{NODES},
+        found AS (SELECT page_id, node_id + 5 * (row_number() OVER (PARTITION BY page_id ORDER BY node_id) - 1) AS spot
+                  FROM nodes WHERE tag = 'a')
+        SELECT page_id, CAST(spot + i AS INTEGER) AS node_id, CASE i WHEN 1 THEN 'i' ELSE 'a' END AS tag,
+          CAST(spot + 4 AS INTEGER) AS end_pos, CAST(spot AS INTEGER) AS clipped_by, 'em' AS clipped_by_tag
+        FROM found, (SELECT unnest([1, 2]) AS i)""",
     "links": _found(_HREF),
     "preset_title": _found("<(li)>", "'t & u'"),
     "preset_data_original": _found(_HREF),

@@ -143,6 +143,8 @@ QUOTES = (('<a href="([^"]*)"', "<A HREF='$1' href=x\n rel=no&#45;follow>"), ("<
 BARE = (("</?(html|head|body)>", ""), ("</li>", ""))
 # Bold text whose end tag comes after that of an inserted element.
 CROSSED = (("<b>", "<b><i>"), ("</b>", "</b></i>"))
+# Links that begin in one element and end behind its end tag, and in turn cut another one short.
+CROSSED_LINKS = (("<a href=", "<em><i><a href="), ("</a>", "</em> </a></i>"))
 
 
 def _shredded(*changes: tuple[str, str]) -> Callable:
@@ -181,6 +183,15 @@ def _crossed_text(spark, folder) -> DataFrame:
     return _shredded(*CROSSED)(spark, folder).descendant("b").child("i").normalized_text()
 
 
+def _crossed_links(spark, folder) -> DataFrame:
+    return reports.nesting(shred(rewritten(spark, folder, *CROSSED_LINKS))).select(
+        "page_id", "n_elements", "max_depth", "n_crossing")
+
+
+def _clipped(spark, folder) -> DataFrame:
+    return reports.clipped(shred(rewritten(spark, folder, *CROSSED_LINKS)))
+
+
 def _repeated(spark, folder) -> DataFrame:
     """Every tenth page stands twice; all copies are rejected."""
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
@@ -208,6 +219,8 @@ QUERIES: dict[str, Query] = {
     "bare_pages": _bare,
     "crossed_nesting": _crossed,
     "crossed_text": _crossed_text,
+    "crossed_links": _crossed_links,
+    "clipped": _clipped,
     # presets
     "links": _light("@href"),
     "preset_title": _lazy("@title"),

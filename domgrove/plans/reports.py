@@ -37,15 +37,19 @@ def enrich(results: DataFrame) -> DataFrame:
     })
 
 
+def clipped(nodes: DataFrame) -> DataFrame:
+    """Elements that the end tag of another one cut short, because the two crossed: page_id, node_id,
+    tag, end_pos, clipped_by and clipped_by_tag, the element whose end tag it was."""
+    cut = nodes.filter("clipped_by IS NOT NULL").select("page_id", "node_id", "tag", "end_pos", "clipped_by")
+    by = nodes.select("page_id", F.col("node_id").alias("clipped_by"), F.col("tag").alias("clipped_by_tag"))
+    return cut.join(by, ["page_id", "clipped_by"]).select(
+        "page_id", "node_id", "tag", "end_pos", "clipped_by", "clipped_by_tag")
+
+
 def nesting(nodes: DataFrame) -> DataFrame:
-    """Per page: elements, depth, and elements that reach past the element around them."""
-    ends = nodes.select("page_id", F.col("node_id").alias("parent_id"),
-                        F.col("end_pos").alias("parent_end"))
-    return (
-        nodes.join(ends, ["page_id", "parent_id"], "left")
-        .groupBy("page_id")
-        .agg(F.count(F.lit(1)).alias("n_elements"),
-             F.max("depth").alias("max_depth"),
-             F.max("end_pos").alias("n_tokens"),
-             F.count(F.when(F.col("end_pos") > F.col("parent_end"), 1)).alias("n_crossing"))
-    )
+    """Per page: elements, depth, tokens, and elements that another one's end tag cut short."""
+    return nodes.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n_elements"),
+        F.max("depth").alias("max_depth"),
+        F.max("end_pos").alias("n_tokens"),
+        F.count("clipped_by").alias("n_crossing"))

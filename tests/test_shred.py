@@ -5,7 +5,7 @@ import random
 import pytest
 
 from domgrove.operators.shred import open_tags, shred
-from domgrove.plans.reports import nesting
+from domgrove.plans.reports import clipped, nesting
 
 # name: (page, expected tree below body or html as nested text)
 PAGES = {
@@ -32,10 +32,13 @@ PAGES = {
     "stray_end": ("<div>a</b></p></li>b</div></div>c", "div(a b) c"),
     "crossing_inline": ("<p><b><i>x</b>y</i>z", "p(b(i(x)) y z)"),
     "crossing_three": ("<p><b><i><u>x</b></i></u>y", "p(b(i(u(x))) y)"),
-    "crossing_chain": ("<p><a>1<b>2</a>3<i>4</b>5<u>6</i>7</u>8</p>", "p(a(1 b(2)) 3 i(4) 5 u(6) 7 8)"),
+    "crossing_chain": ("<p><a>1<b>2</a>3<i>4</b>5<u>6</i>7</u>8</p>", "p(a(1 b(2)) 3 i(4 5 u(6)) 7 8)"),
     "crossing_deep": ("<em>b<q>c<s>d</em>e<u>f</s>g</q>h", "em(b q(c s(d))) e u(f g h)"),
     "crossing_inside": ("<span>1<b>2<i>3</b>4</i>5</span>6", "span(1 b(2 i(3)) 4 5) 6"),
     "crossing_same": ("<b>1<b>2<i>3</b>4</i>5</b>6", "b(1 b(2 i(3)) 4 5) 6"),
+    "crossing_ended": ("<b>1<i>2<b>3</i>4</b>5", "b(1 i(2 b(3)) 4 5)"),
+    "crossing_twice": ("<b>1<i>2</b>3</i>4<i>5<b>6</i>7</b>8", "b(1 i(2)) 3 4 i(5 b(6)) 7 8"),
+    "crossing_loose": ("<b>1<i>2<u>3</b>4</i>5", "b(1 i(2 u(3))) 4 5"),
     "crossing_blocks": ("<div><section>a</div>b</section>c", "div(section(a) b) c"),
     "end_tag_beyond_block": ("<div><b>a</div><div>b</b>c</div>", "div(b(a)) div(b c)"),
     "inline_around_block": ("<a><div>x</div>y</a>z", "a(div(x) y) z"),
@@ -99,6 +102,71 @@ def test_tree_in_body(trees, name):
     assert drawn == (f"body({PAGES[name][1]})" if PAGES[name][1] else "body")
 
 
+def test_clipped(spark, make_pages):
+    """What another element's end tag cut short, and by which; what has no end tag is not cut short."""
+    html = ["<p><a>1<b>2</a>3<i>4</b>5<u>6</i>7</u>8</p>", "<em>b<q>c<s>d</em>e<u>f</s>g</q>h", "<b>1<i>2<u>3</b>4</i>",
+            "<b>1<i>2</i>3", "<q><s><i>x</i></q></s>"]
+    nodes = shred(make_pages(html), 2)
+    tags = {(r.page_id, r.node_id): r.tag for r in nodes.collect()}
+    found = {(r.page_id, r.tag, r.clipped_by_tag) for r in clipped(nodes).collect()}
+    assert found == {(0, "b", "a"), (0, "u", "i"), (1, "q", "em"), (1, "s", "em"), (2, "i", "b"), (4, "s", "q")}
+    assert all(tags[r.page_id, r.clipped_by] == r.clipped_by_tag for r in clipped(nodes).collect())
+    assert {r.page_id: r.n_crossing for r in nesting(nodes).collect()} == {0: 2, 1: 2, 2: 1, 3: 0, 4: 1}
+
+
+def stack_tree(tokens):
+    """Intervals of inline elements in one block by the plain method: pairs by level, then a stack."""
+    level, pairs, opens = {}, {}, {}
+    for at, t in enumerate(tokens):
+        if t.startswith("</"):
+            stack = opens.get(t[2:-1])
+            if stack:
+                pairs[stack.pop()] = at
+        elif t.startswith("<"):
+            opens.setdefault(t[1:-1], []).append(at)
+    ends, stack = {}, []
+    for at, t in enumerate(tokens):
+        while stack and ends[stack[-1]] <= at:
+            stack.pop()
+        if t.startswith("<") and not t.startswith("</"):
+            around = stack[-1] if stack else None
+            ends[at] = min(pairs.get(at, len(tokens)), ends[around] if stack else len(tokens))
+            level[at] = around
+            stack.append(at)
+    return level, ends
+
+
+def test_inline_against_a_stack(spark, make_pages):
+    draw = random.Random(11)
+    pages = []
+    for i in range(400):
+        tokens = draw.choices(["<b>", "</b>", "<i>", "</i>", "<u>", "</u>", "x"], k=draw.randrange(1, 60))
+        pages.append([t if t != "x" else f"x{k}" for k, t in enumerate(tokens) if t != "x" or k == 0 or tokens[k - 1] != "x"])
+    rows = shred(make_pages(["<p>" + "".join(p) for p in pages]), 2).collect()
+    for i, tokens in enumerate(pages):
+        own = {r.node_id: r for r in rows if r.page_id == i}
+        base = next(r.node_id for r in own.values() if r.tag == "p") + 1
+        parents, ends = stack_tree(tokens)
+        assert {at + base for at in parents} == {n for n in own if n >= base}
+        for at, parent in parents.items():
+            assert own[at + base].parent_id == base + (-1 if parent is None else parent)
+            assert own[at + base].end_pos == base + ends[at]
+
+
+def test_many_crossing_elements(spark, make_pages, monkeypatch):
+    """Thousands that cross in one paragraph, side by side and inside each other, in short chunks too."""
+    n = 3000
+    pages = ["<p>" + "<b>x<i>y</b></i>" * n, "<p>" + "<b>x" * 700 + "<i>y" * 700 + "</b>" * 700 + "</i>" * 700]
+    nodes = shred(make_pages(pages), 2).persist()
+    assert {r.page_id: (r.n_elements, r.n_crossing) for r in nesting(nodes).collect()} == {
+        0: (4 + 2 * n, n), 1: (4 + 1400, 700)}
+    assert nodes.filter("page_id = 0 AND tag = 'b' AND parent_id <> 3").count() == 0
+    monkeypatch.setattr("domgrove.operators.shred.CHUNK", 7)
+    again = shred(make_pages(pages), 2)
+    assert sorted(map(str, again.collect())) == sorted(map(str, nodes.collect()))
+    nodes.unpersist()
+
+
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_tree(trees, name):
     rows = trees[name]
@@ -214,7 +282,7 @@ def test_random_markup_nests(spark, make_pages, mix):
             assert row.depth == parent.depth + 1
         else:
             assert row.tag == "html"
-    assert sum(r.n_crossing for r in nesting(nodes).collect()) == 0
+    assert sum(r.n_crossing for r in nesting(nodes).collect()) == clipped(nodes).count()
     text = sum(len(t.text.replace(" ", "")) for r in rows for t in r.texts)
     assert text == sum(page.count("x") for page in pages)
     # The source of an element holds as many letters as it and the elements below it have as text.
