@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark import StorageLevel
@@ -66,11 +67,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete the files of frames that `cut_lineage` made and that nothing will read again."""
+    """Delete the files of frames that `cut_lineage` made and that nothing will read again.
+
+    The driver is asked to collect its garbage, too: executors keep the shuffle files of what has
+    been written until it does, which by itself happens every half an hour.
+    """
     for frame in frames:
         written = frame._jdf.queryExecution().logical().rdd().getCheckpointFile()
         if written.isDefined():
             remove_folder(frame.sparkSession, written.get())
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
