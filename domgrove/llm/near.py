@@ -325,6 +325,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the most central one of its buckets, if the two meet more than once."""
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    centres = (members.join(central, "node").groupBy("bucket")
+               .agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre")))
+    return (members.join(centres, "bucket").filter("node != centre")
+            .groupBy(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+            .agg(F.count("*").alias("m")).filter("m > 1").drop("m"))
+
+
 def labelled(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, node, root (the same for all rows that links reach; null for empty sets).
 
@@ -340,18 +350,10 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     bare = cut_lineage(made.select("doc_id", "n_shingles", "node"))
     forget(made)
     placed = bands(nodes)
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut_lineage(placed.join(shared, "bucket"))
-    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    centres = (members.join(central, "node").groupBy("bucket")
-               .agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("centre")))
+    members = cut_lineage(placed.join(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"))
     # Pairs that meet once only are left to the second round.
-    stars = (members.join(centres, "bucket").filter("node != centre")
-             .groupBy(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-             .agg(F.count("*").alias("m")).filter("m > 1").drop("m"))
-    likely = cut_lineage(probable(stars, nodes))
-    needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    held = full_sets(needed, nodes, docs, size)
+    likely = cut_lineage(probable(stars(members), nodes))
+    held = full_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), nodes, docs, size)
     links = cut_lineage(verified(likely, held, percent))
     forget(likely, held)
 
@@ -360,10 +362,10 @@ def labelled(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     told = cut_lineage(members.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
                        .select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
     forget(members, edges)
-    largest = (told.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-               .groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("best"), F.count("*").alias("n_roots"))
-               .filter("n_roots > 1").select("bucket", F.col("best.root").alias("top")))
-    mixed = cut_lineage(told.join(largest, "bucket"))
+    mixed = cut_lineage(told.join(
+        told.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+        .groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("best"), F.count("*").alias("n_roots"))
+        .filter("n_roots > 1").select("bucket", F.col("best.root").alias("top")), "bucket"))
     forget(told)
     held = full_sets(mixed.select("node").distinct(), nodes, docs, size)
     all_links = cut_lineage(links.union(across(mixed, nodes, held, percent)))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,21 +115,35 @@ class Order:
         return hashes[take], begin, chosen, n
 
 
-def postings(docs: DataFrame, size: int, order, bits, cells: int) -> DataFrame:
-    """token, node, n, m: the prefix shingles that more than one document may have in its prefix."""
+def prefixes(docs: DataFrame, size: int, order) -> DataFrame:
+    """node, n, m and `text`, the shingles of its prefix as bytes, for every document that has some;
+    written, so that texts are not read again."""
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)
             for a, b in in_blocks(texts):
                 hashes, at = shingle_sets(texts[a:b], size)
-                names = fingerprints(hashes, at)
                 tokens, begin, m, n = order.value.prefixes(hashes, at)
+                own, names = np.flatnonzero(n), fingerprints(hashes, at)
+                yield {"node": [names[i] for i in own.tolist()], "n": n[own], "m": m[own],
+                       "text": [tokens[begin[i]:begin[i + 1]].tobytes() for i in own.tolist()]}
+
+    return cut_lineage(arrow_map(text_rows(docs), run, "node binary, n long, m int, text binary"))
+
+
+def postings(held: DataFrame, bits, cells: int) -> DataFrame:
+    """token, node, n, m: the prefix shingles that more than one document may have in its prefix."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                raw = batch.column("text").to_pylist()
+                tokens = np.frombuffer(b"".join(raw), np.uint64)
                 own = np.flatnonzero(estimated_repeated(tokens, bits.value, cells))
-                who = np.repeat(np.arange(len(n)), np.diff(begin))[own]
-                yield {"token": tokens[own].view(np.int64), "node": [names[i] for i in who.tolist()], "n": n[who], "m": m[who]}
+                who = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])[own]
+                yield {"token": tokens[own].view(np.int64)} | {c: batch.column(c).take(pa.array(who)) for c in ("node", "n", "m")}
 
     # Copies of a set give the same rows; they are combined before and after they are moved.
-    return arrow_map(text_rows(docs), run, "token long, node binary, n long, m int").distinct()
+    return arrow_map(held, run, "token long, node binary, n long, m int").distinct()
 
 
 def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
@@ -211,6 +226,19 @@ def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
     return arrow_map(rows, run, "a binary, b binary")
 
 
+def stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each node with the centre of its buckets with which it shares most, if that is
+    enough. The centre of a bucket is its node with the largest buckets."""
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    centres = (members.join(central, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "n", "m")).alias("best"))
+               .select("token", F.col("best.node").alias("centre"), F.col("best.n").alias("n_centre"), F.col("best.m").alias("m_centre")))
+    shared = (members.join(centres, "token").filter("node != centre")
+              .filter(100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre"))
+              .groupBy("node", "centre").agg(F.count("*").alias("shared"), F.min(F.least("m", "m_centre")).alias("least")))
+    best = shared.filter("shared >= least").groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("best"))
+    return best.select(F.least("node", "best.centre").alias("a"), F.greatest("node", "best.centre").alias("b")).distinct()
+
+
 def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKETCH_CELLS) -> DataFrame:
     """doc_id, n_shingles, node, root (the same for all rows that links reach; null for empty sets),
     written, for the caller to `forget`."""
@@ -220,25 +248,15 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     nodes = cut_lineage(made.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     order = spark.sparkContext.broadcast(Order(held_in, percent))
 
-    def seen(texts):
-        return order.value.prefixes(*shingle_sets(texts, size))[0]
-
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, seen, cells))
-    placed = cut_lineage(postings(docs, size, order, bits, cells))
-    shared = placed.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut_lineage(placed.join(shared, "token"))
+    held = prefixes(docs, size, order)
+    bits = spark.sparkContext.broadcast(repeated_cells(held, lambda texts: np.frombuffer(b"".join(texts), np.uint64), cells))
+    placed = cut_lineage(postings(held, bits, cells))
+    forget(held)
+    members = cut_lineage(placed.join(placed.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "token"))
     forget(placed)
 
-    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    centres = (members.join(central, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "n", "m")).alias("best"))
-               .select("token", F.col("best.node").alias("centre"), F.col("best.n").alias("n_centre"), F.col("best.m").alias("m_centre")))
-    stars = (members.join(centres, "token").filter("node != centre")
-             .filter(100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre"))
-             .groupBy(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-             .agg(F.count("*").alias("shared"), F.min(F.least("m", "m_centre")).alias("least")).filter("shared >= least").select("a", "b"))
-    likely = cut_lineage(stars)
-    needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    held = full_sets(needed, nodes, docs, size)
+    likely = cut_lineage(stars(members, percent))
+    held = full_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), nodes, docs, size)
     links = cut_lineage(verified(likely, held, percent))
     forget(likely, held)
 
@@ -247,15 +265,17 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     told = cut_lineage(members.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
                        .select("token", "node", "size", F.coalesce("root", "node").alias("root")))
     forget(members, edges)
-    largest = (told.groupBy("token", "root").agg(F.count("*").alias("k"))
-               .groupBy("token").agg(F.max(F.struct("k", "root")).alias("best"), F.count("*").alias("n_roots"))
-               .filter("n_roots > 1").select("token", F.col("best.root").alias("top")))
-    mixed = cut_lineage(told.join(largest, "token"))
+    top = (told.groupBy("token", "root").agg(F.count("*").alias("k"))
+           .groupBy("token").agg(F.max(F.struct("k", "root")).alias("best"), F.count("*").alias("n_roots"))
+           .filter("n_roots > 1").select("token", F.col("best.root").alias("top")))
+    mixed = cut_lineage(told.join(top, "token"))
+    del top
     forget(told)
     held = full_sets(mixed.select("node").distinct(), nodes, docs, size)
     pairs = cut_lineage(across(mixed, held, order, percent))
+    forget(mixed)
     all_links = cut_lineage(links.union(verified(pairs, held, percent)))
-    forget(mixed, held, nodes, pairs, links)
+    forget(held, nodes, pairs, links)
     edges = components(all_links)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = cut_lineage(made.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")))
