@@ -8,6 +8,10 @@ its own m by what its prefix would cost: the documents that its shingles would b
 the verification of those that could share m of them. Longer prefixes bring more together and pass
 fewer on. Two documents are verified if their prefixes for the smaller m of both share as many.
 
+Alike sets are of like size, too: sizes are cut into classes of such a width that alike ones are of
+one class or of neighbouring ones, and a bucket is a shingle and a class. Each node is at home in the
+buckets of its class and visits those of the next.
+
 Equal sets are one node. Nodes that meet are first linked with the most central node of their
 buckets; what is left are pairs of different components in a bucket, which are compared block
 against block inside tasks, each pair in the bucket of the first shingle it shares. Only pairs that
@@ -23,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domgrove.llm.common import arrow_map, text_rows, texts_of
+from domgrove.llm.common import arrow_map, mix, text_rows, texts_of
 from domgrove.llm.near import components, fingerprints, full_sets, judged, shingle_sets, verified
 from domgrove.llm.substring import CELLS as SKETCH_CELLS
 from domgrove.llm.substring import estimated_repeated, repeated_cells
 from domgrove.llm.text import in_blocks
 from domgrove.sources.tables import cut_lineage, forget
 
-#: Counters of shingles (4 MB as they are broadcast), and how many are merged at a time.
-COUNTERS, PIECE, LANES = 1 << 20, 1 << 16, 32
+#: Counters of shingles (16 MB as they are broadcast), and how many are merged at a time.
+COUNTERS, PIECE, LANES = 1 << 22, 1 << 16, 32
 #: The longest prefix that is tried shares so many shingles.
 MOST = 8
 #: Verifying a pair costs as much as this share of a set's size in places of prefix lists.
@@ -116,8 +120,8 @@ class Order:
 
 
 def prefixes(docs: DataFrame, size: int, order) -> DataFrame:
-    """node, n, m and `text`, the shingles of its prefix as bytes, for every document that has some;
-    written, so that texts are not read again."""
+    """node, n, m and `text`, n and the shingles of its prefix as bytes, for every document that has
+    some; written, so that texts are not read again."""
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)
@@ -126,30 +130,51 @@ def prefixes(docs: DataFrame, size: int, order) -> DataFrame:
                 tokens, begin, m, n = order.value.prefixes(hashes, at)
                 own, names = np.flatnonzero(n), fingerprints(hashes, at)
                 yield {"node": [names[i] for i in own.tolist()], "n": n[own], "m": m[own],
-                       "text": [tokens[begin[i]:begin[i + 1]].tobytes() for i in own.tolist()]}
+                       "text": [n[i].tobytes() + tokens[begin[i]:begin[i + 1]].tobytes() for i in own.tolist()]}
 
     return cut_lineage(arrow_map(text_rows(docs), run, "node binary, n long, m int, text binary"))
 
 
-def postings(held: DataFrame, bits, cells: int) -> DataFrame:
-    """token, node, n, m: the prefix shingles that more than one document may have in its prefix."""
+def classes(n: np.ndarray, percent: int) -> np.ndarray:
+    """Classes of sizes: of two sizes of which one is at least so many percent of the other, they
+    differ by one at most."""
+    return np.floor(np.log(n) / (np.log(100 / percent) + 1e-6)).astype(np.int64)
+
+
+def buckets(raw: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of `text`: the shingles, whose they are, and their buckets at home and on a visit."""
+    whole = np.frombuffer(b"".join(raw), np.uint64)
+    sizes = np.array([len(x) // 8 for x in raw], np.int64)
+    first = np.cumsum(sizes) - sizes
+    is_token = np.ones(len(whole), bool)
+    is_token[first] = False
+    who = np.repeat(np.arange(len(raw)), sizes)[is_token]
+    tokens, own = whole[is_token], classes(whole[first].astype(np.int64), percent)[who].astype(np.uint64)
+    home, visit = (mix(tokens + mix(own + np.uint64(k))) for k in (1, 2))
+    return tokens, who, home, visit
+
+
+def postings(held: DataFrame, bits, cells: int, percent: int) -> DataFrame:
+    """key (a bucket), token, is_home, node, n, m: the prefix shingles of nodes in buckets that more than
+    one document may be in."""
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                raw = batch.column("text").to_pylist()
-                tokens = np.frombuffer(b"".join(raw), np.uint64)
-                own = np.flatnonzero(estimated_repeated(tokens, bits.value, cells))
-                who = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])[own]
-                yield {"token": tokens[own].view(np.int64)} | {c: batch.column(c).take(pa.array(who)) for c in ("node", "n", "m")}
+            if not batch.num_rows:
+                continue
+            tokens, who, *keys = buckets(batch.column("text").to_pylist(), percent)
+            for is_home, key in zip((True, False), keys):
+                own = np.flatnonzero(estimated_repeated(key, bits.value, cells))
+                yield {"key": key[own].view(np.int64), "token": tokens[own].view(np.int64), "is_home": [is_home] * len(own)} | {
+                    c: batch.column(c).take(pa.array(who[own])) for c in ("node", "n", "m")}
 
     # Copies of a set give the same rows; they are combined before and after they are moved.
-    return arrow_map(held, run, "token long, node binary, n long, m int").distinct()
+    return arrow_map(held, run, "key long, token long, is_home boolean, node binary, n long, m int").distinct()
 
 
 def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components whose prefixes share enough.
 
-    mixed has token, node, root, top (the component with most members in the bucket, whose members
+    mixed has key, token, is_home, node, root, top (the component with most members in the bucket, whose members
     need not be compared with each other) and size, that of the bucket. Members of a bucket are dealt
     to blocks of some BLOCK; for each pair of blocks a part compares what is not `top` in either with
     everything in the other.
@@ -168,13 +193,15 @@ def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
               .withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
               .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
               .withColumn("x", F.least("block", "other").cast("int")).withColumn("y", F.greatest("block", "other").cast("int")))
-    columns = ["token", "x", "y", "left", "node", "root", "usual", "n", "m", "prefix"]
+    columns = ["key", "x", "y", "left", "node", "root", "usual", "n", "m", "prefix", "token", "is_home"]
     rows = (placed.join(cuts, "node")
-            .select("token", "x", "y", F.expr("block = x").alias("left"), "node", "root", F.expr("root = top").alias("usual"), "n", "m", "prefix")
-            .repartition("token", "x", "y").sortWithinPartitions("token", "x", "y"))
+            .select("key", "x", "y", F.expr("block = x").alias("left"), "node", "root", F.expr("root = top").alias("usual"),
+                    "n", "m", "prefix", "token", "is_home")
+            .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"))
 
     def compare(part):
-        token, x, y = part[0][:3]
+        _, x, y = part[0][:3]
+        token, home = part[0][10], np.array([r[11] for r in part])
         left, names = np.array([r[3] for r in part]), [r[4] for r in part]
         numbers: dict[bytes, int] = {}
         roots = np.array([numbers.setdefault(r[5], len(numbers)) for r in part])
@@ -192,6 +219,7 @@ def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
             allowed = (roots != roots[u]) & (usual | (np.arange(len(part)) < u))
             if x != y:
                 allowed &= left != left[u]
+            allowed &= home | home[u]  # two visitors meet at home
             allowed &= 100 * np.minimum(n, n[u]) >= percent * np.maximum(n, n[u])
             if not allowed.any():
                 continue
@@ -230,9 +258,9 @@ def stars(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): each node with the centre of its buckets with which it shares most, if that is
     enough. The centre of a bucket is its node with the largest buckets."""
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    centres = (members.join(central, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "n", "m")).alias("best"))
-               .select("token", F.col("best.node").alias("centre"), F.col("best.n").alias("n_centre"), F.col("best.m").alias("m_centre")))
-    shared = (members.join(centres, "token").filter("node != centre")
+    centres = (members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "m")).alias("best"))
+               .select("key", F.col("best.node").alias("centre"), F.col("best.n").alias("n_centre"), F.col("best.m").alias("m_centre")))
+    shared = (members.join(centres, "key").filter("node != centre")
               .filter(100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre"))
               .groupBy("node", "centre").agg(F.count("*").alias("shared"), F.min(F.least("m", "m_centre")).alias("least")))
     best = shared.filter("shared >= least").groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("best"))
@@ -249,10 +277,10 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     order = spark.sparkContext.broadcast(Order(held_in, percent))
 
     held = prefixes(docs, size, order)
-    bits = spark.sparkContext.broadcast(repeated_cells(held, lambda texts: np.frombuffer(b"".join(texts), np.uint64), cells))
-    placed = cut_lineage(postings(held, bits, cells))
+    bits = spark.sparkContext.broadcast(repeated_cells(held, lambda texts: np.concatenate(buckets(texts, percent)[2:]), cells))
+    placed = cut_lineage(postings(held, bits, cells, percent))
     forget(held)
-    members = cut_lineage(placed.join(placed.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "token"))
+    members = cut_lineage(placed.join(placed.groupBy("key").agg(F.count("*").alias("size"), F.max("is_home").alias("some")).filter("size > 1 AND some").drop("some"), "key"))
     forget(placed)
 
     likely = cut_lineage(stars(members, percent))
@@ -263,12 +291,12 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     # Pairs of one bucket that no link has joined yet.
     edges = components(links)
     told = cut_lineage(members.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-                       .select("token", "node", "size", F.coalesce("root", "node").alias("root")))
+                       .select("key", "token", "is_home", "node", "size", F.coalesce("root", "node").alias("root")))
     forget(members, edges)
-    top = (told.groupBy("token", "root").agg(F.count("*").alias("k"))
-           .groupBy("token").agg(F.max(F.struct("k", "root")).alias("best"), F.count("*").alias("n_roots"))
-           .filter("n_roots > 1").select("token", F.col("best.root").alias("top")))
-    mixed = cut_lineage(told.join(top, "token"))
+    top = (told.groupBy("key", "root").agg(F.count("*").alias("k"))
+           .groupBy("key").agg(F.max(F.struct("k", "root")).alias("best"), F.count("*").alias("n_roots"))
+           .filter("n_roots > 1").select("key", F.col("best.root").alias("top")))
+    mixed = cut_lineage(told.join(top, "key"))
     del top
     forget(told)
     held = full_sets(mixed.select("node").distinct(), nodes, docs, size)

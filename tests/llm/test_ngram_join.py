@@ -45,6 +45,15 @@ def test_prefix_of_common_shingles_is_longer():
     assert order.prefixes(common, np.array([0, 200]))[2][0] > 1 and order.prefixes(rare, np.array([0, 200]))[2][0] == 1
 
 
+@pytest.mark.parametrize("percent", [50, 75, 85, 100])
+def test_classes_of_sizes(percent):
+    """Sizes that may be alike are of one class or of neighbouring ones."""
+    n = np.arange(1, 3000)
+    for size in n.tolist():
+        alike = n[(n <= size) & (100 * n >= percent * size)]
+        assert np.abs(ngram_join.classes(alike, percent) - ngram_join.classes(np.array([size]), percent)).max() <= 1
+
+
 def test_edits(spark, small, few_cells):
     items = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
     long = [t for _, t in items if len(t.split()) > 150][:6]
