@@ -14,8 +14,10 @@ buckets of its class and visits those of the next.
 
 Equal sets are one node. Nodes that meet are first linked with the most central node of their
 buckets; what is left are pairs of different components in a bucket, which are compared block
-against block inside tasks, each pair in the bucket of the first shingle it shares. Only pairs that
-share enough leave the task, to be verified on full sets.
+against block inside tasks, each pair in the bucket of the first shingle it shares. Of those that
+share enough, one more look tells nearly all that are not alike: a bit for each of many cells, the
+parity of how many shingles fall in it. Two sets differ in no more bits than in shingles, so nothing
+is lost where too many bits differ. What is left leaves the task, to be verified on full sets.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ COUNTERS, PIECE, LANES = 1 << 22, 1 << 16, 32
 MOST = 8
 #: Verifying a pair costs as much as this share of a set's size in places of prefix lists.
 CHECK = 0.05
+#: Bits of parity of a set.
+PARITY = 2048
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
 
@@ -171,6 +175,15 @@ def postings(held: DataFrame, bits, cells: int, percent: int) -> DataFrame:
     return arrow_map(held, run, "key long, token long, is_home boolean, node binary, n long, m int").distinct()
 
 
+def parity(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set, from at[i] to at[i + 1], whether the number of its shingles in a cell is odd, as bits."""
+    cell = (mix(hashes + np.uint64(77)) & np.uint64(PARITY - 1)).astype(np.int64)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    odd = np.zeros((len(at) - 1, PARITY), np.uint8)
+    np.bitwise_xor.at(odd, (owner, cell), 1)
+    return np.packbits(odd, axis=1)
+
+
 def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components whose prefixes share enough.
 
@@ -184,19 +197,20 @@ def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
             sets = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
             if sets:
                 at = np.r_[0, np.cumsum([len(s) for s in sets])]
-                tokens, begin, m, n = order.value.prefixes(np.concatenate(sets), at)
-                yield {"node": batch.column("node"), "n": n, "m": m,
+                whole = np.concatenate(sets)
+                tokens, begin, m, n = order.value.prefixes(whole, at)
+                yield {"node": batch.column("node"), "n": n, "m": m, "odd": [x.tobytes() for x in parity(whole, at)],
                        "prefix": [tokens[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:])]}
 
-    cuts = arrow_map(held, cut, "node binary, n long, m int, prefix binary")
+    cuts = arrow_map(held, cut, "node binary, n long, m int, odd binary, prefix binary")
     placed = (mixed.withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) AS int)"))
               .withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
               .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
               .withColumn("x", F.least("block", "other").cast("int")).withColumn("y", F.greatest("block", "other").cast("int")))
-    columns = ["key", "x", "y", "left", "node", "root", "usual", "n", "m", "prefix", "token", "is_home"]
+    columns = ["key", "x", "y", "left", "node", "root", "usual", "n", "m", "prefix", "token", "is_home", "odd"]
     rows = (placed.join(cuts, "node")
             .select("key", "x", "y", F.expr("block = x").alias("left"), "node", "root", F.expr("root = top").alias("usual"),
-                    "n", "m", "prefix", "token", "is_home")
+                    "n", "m", "prefix", "token", "is_home", "odd")
             .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"))
 
     def compare(part):
@@ -214,6 +228,7 @@ def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
         here = int(np.searchsorted(known, np.uint64(token & (2**64 - 1))))
         starts = np.cumsum(sizes) - sizes
         base = sizes - m
+        odd = np.frombuffer(b"".join([r[12] for r in part]), np.uint8).reshape(len(part), -1)
         at = np.full(len(known), -1)
         for u in np.flatnonzero(~usual).tolist():
             allowed = (roots != roots[u]) & (usual | (np.arange(len(part)) < u))
@@ -235,6 +250,8 @@ def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
             np.minimum.at(first, v, at[own[hit]])
             enough = np.flatnonzero((shared > 0) & (shared >= np.minimum(m, m[u])) & (first == at[here]))
             at[mine] = -1
+            differ = np.bitwise_count(odd[enough] ^ odd[u]).sum(1, dtype=np.int64)
+            enough = enough[differ * (100 + percent) <= (n[enough] + n[u]) * (100 - percent)]
             for w in enough.tolist():
                 yield (names[u], names[w]) if names[u] < names[w] else (names[w], names[u])
 

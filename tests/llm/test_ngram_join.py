@@ -36,6 +36,14 @@ def test_prefixes_share_enough(common, less, more, counts, percent):
     assert len(cut[0] & cut[1]) >= fewer
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**63), min_size=1), st.sets(st.integers(0, 2**63)))
+def test_parity_never_tells_too_much(x, y):
+    both = np.array(sorted(x) + sorted(y), np.uint64)
+    odd = ngram_join.parity(both, np.array([0, len(x), len(x) + len(y)]))
+    assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(x ^ y)
+
+
 def test_prefix_of_common_shingles_is_longer():
     """A set that many others would meet asks for more shared shingles; a rare one for one."""
     held = np.ones(1 << 10, np.uint32)
