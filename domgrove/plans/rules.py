@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from domgrove.operators.selection import Selection, number, tag_test, values_of
 from domgrove.operators.shred import open_tags
+from domgrove.plans.rule_tree import run_tree
 
 
 @dataclass(frozen=True)
@@ -124,8 +125,8 @@ def run_rules(pages: DataFrame, rules: Mapping[str, Rule],
               nodes: DataFrame | None = None) -> DataFrame:
     """Results of all rules: page_id, rule, idx, value.
 
-    Rules on single elements share one pass over the elements; the others are joins over the
-    node table. Without `nodes` only rules on a tag and its attributes can be answered: they
+    Rules on single elements share one pass over the elements; the steps of the others are merged
+    into a prefix tree and taken once each, see `rule_tree`. Without `nodes` only rules on a tag and its attributes can be answered: they
     read the pages in one narrow pass and need no tree. Else shred once, keep the node table,
     and give it here.
     """
@@ -140,7 +141,6 @@ def run_rules(pages: DataFrame, rules: Mapping[str, Rule],
         if heavy:
             raise ValueError(f"these rules need the node table: {sorted(heavy)}")
     parts = [_one_look(elements, single)] if single else []
-    for name, item in rest.items():
-        values = item.select(Selection(nodes, pages)).values(item.emit)
-        parts.append(values.select("page_id", "node_id", F.lit(name).alias("rule"), "item", "value"))
+    if rest:
+        parts += run_tree(pages, nodes, rest)
     return number(reduce(DataFrame.unionByName, parts), "rule")

@@ -1,5 +1,7 @@
 """Steps, conditions and emitters on small pages."""
 
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -224,3 +226,45 @@ def test_descendants_against_brute_force(spark):
         assert len(found) == len(expected)
         assert {(r.page_id, r.node_id) for r in found} == expected
     nodes.unpersist()
+
+
+def drawn_rules(n, seed):
+    """Paths that share their beginnings, over all axes, conditions and emitters."""
+    draw = random.Random(seed)
+    columns = [C.nth(1), C.has("class"), C.last()]
+    emits = ["attr:class", "text", "attrs", "normalized_text", "html", "full_text", "count", "abs:href"]
+    out = {}
+    for i in range(n):
+        steps = [Step(*draw.choice([("descendant", "div"), ("child", "html"), ("descendant", "*"), ("self", "*", ("tag = 'html'",))]))]
+        for _ in range(draw.randrange(0, 4)):
+            where = draw.choice([(), (), ("sib_pos < 3",), ("attr['class'] = 'row'",), (draw.choice(columns),), ("depth > 2", columns[0])])
+            steps.append(Step(draw.choice(["child", "descendant", "..", "self", "child"]), draw.choice(["*", "p", "x:DIV", "a", "body"]), where))
+        out[f"r'{i}"] = Rule(tuple(steps), draw.choice(emits))
+    return out
+
+
+def test_rule_tree_equals_single_rules(pages, nodes):
+    rules = drawn_rules(70, 3)
+    found = {}
+    for r in run_rules(pages, rules, nodes).collect():
+        found.setdefault(r.rule, []).append((r.page_id, r.idx, r.value))
+    hits = 0
+    for name, item in rules.items():
+        expected = sorted(tuple(r) for r in item.on(Selection(nodes, pages)).collect())
+        assert sorted(found.get(name, [])) == expected, (name, item)
+        hits += bool(expected)
+    assert hits > 25
+
+
+def test_thousand_rules_plan_as_one(spark, pages, nodes):
+    """Whatever the number of rules: one join for all values, and windows by level of the tree."""
+    def plan(n):
+        rules = {f"r{i}": Rule((Step("descendant", "div"), Step("child", "p", (f"sib_pos = {i % 100}",)),
+                                Step("descendant", "*", (f"depth > {i // 100}",))), ["text", "attr:class"][i % 2]) for i in range(n)}
+        return run_rules(pages, rules, spark.table("tree_nodes"))._jdf.queryExecution().executedPlan().toString()
+
+    nodes.createOrReplaceTempView("tree_nodes")
+    few, many = plan(8), plan(1000)
+    for node in ("Join", "Window ", "Exchange", "FileScan"):
+        assert few.count(node) == many.count(node)
+    assert many.count("Join") <= 1 + few.count("InMemoryTableScan")
