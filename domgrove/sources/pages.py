@@ -58,7 +58,7 @@ def without_repeated(valid: DataFrame, pages: DataFrame, few: int = FEW_IDS, mos
         ids = F.broadcast(spark.createDataFrame(found, suspects.schema))
         repeated = F.broadcast(repeated_ids(valid.join(ids, "page_id", "left_semi")).select("page_id"))
         return valid.join(repeated, "page_id", "left_anti"), valid.join(repeated, "page_id", "left_semi")
-    sifted = valid.withColumn("is_suspect", F.lit(True)) if not most_bits else sift(valid, "page_id", suspects, most_bits)
+    sifted = sift(valid, "page_id", suspects, most_bits)
     held = sifted.filter("is_suspect").drop("is_suspect")
     repeated = repeated_ids(held).select("page_id")
     alone = held.join(repeated, "page_id", "left_anti")
@@ -66,6 +66,22 @@ def without_repeated(valid: DataFrame, pages: DataFrame, few: int = FEW_IDS, mos
             held.join(repeated, "page_id", "left_semi"))
 
 
+def split_by_ids(rows: DataFrame, ids: DataFrame, few: int = FEW_IDS) -> tuple[DataFrame, DataFrame]:
+    """rows (with page_id) that are not among `ids` (page_id, distinct), and those that are.
+
+    Up to `few` ids are broadcast; for more, rows are sifted first, so that nearly all that are not
+    among them stay where they are.
+    """
+    found = ids.limit(few + 1).collect()
+    if len(found) <= few:
+        known = F.broadcast(rows.sparkSession.createDataFrame(found, ids.schema))
+        return rows.join(known, "page_id", "left_anti"), rows.join(known, "page_id", "left_semi")
+    sifted = sift(rows, "page_id", ids)
+    held = sifted.filter("is_suspect").drop("is_suspect")
+    return (sifted.filter("NOT is_suspect").drop("is_suspect").unionByName(held.join(ids, "page_id", "left_anti")),
+            held.join(ids, "page_id", "left_semi"))
+
+
 def sift(rows: DataFrame, key: str, ids: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """rows with is_suspect: true where `key` is among `ids` (one column), false for nearly all others.
 
@@ -93,15 +109,48 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet", check_id
     return split_pages(spark.read.format(format).load(path).select("page_id", "url", "html"), check_ids)
 
 
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
+def read_html_files(spark: SparkSession, path: str, first_id=lambda address: F.xxhash64(address)) -> DataFrame:
     """HTML files as pages: the address is the file, the id a 64-bit hash of the address.
 
-    Files whose hashes collide have one id; split_pages rejects them.
+    Where addresses collide, all but the first in order get the hash of the address and a number, the
+    least that gives an id no other file has; so ids differ, and are the same in every run over the
+    same files. Files are listed for that, not read.
     """
+    address = F.input_file_name()
     files = spark.read.text(path, wholetext=True)
-    return files.select(
-        F.xxhash64(F.input_file_name()).alias("page_id"),
-        F.input_file_name().alias("url"), F.col("value").alias("html"))
+    pages = files.select(first_id(address).alias("page_id"), address.alias("url"), F.col("value").alias("html"))
+    # Of this format no content is read as long as nobody asks for it.
+    listed = (spark.read.format("binaryFile").load(path).select(address.alias("url"))
+              .withColumn("id", first_id(F.col("url"))))
+    moved = _moved_ids(spark, listed)
+    if not moved:
+        return pages
+    # Collisions of 64 bits: some tens in 30 billion files.
+    other = F.broadcast(spark.createDataFrame(sorted(moved.items()), "url string, moved_id long"))
+    return pages.join(other, "url", "left").select(F.coalesce("moved_id", "page_id").alias("page_id"), "url", "html")
+
+
+def _moved_ids(spark: SparkSession, listed: DataFrame) -> dict[str, int]:
+    """Ids of addresses (url, id) other than the first of those that share an id."""
+    shared = listed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    rows = listed.join(shared, "id").select("id", "url").collect()
+    later = sorted(r["url"] for r in rows)
+    for first in {min(r["url"] for r in rows if r["id"] == i) for i in {r["id"] for r in rows}}:
+        later.remove(first)
+    moved: dict[str, int] = {}
+    number = 0
+    while later:
+        number += 1
+        tried = {r["url"]: r["id"] for r in spark.createDataFrame([(u,) for u in later], "url string").select(
+            "url", F.xxhash64("url", F.lit(number)).alias("id")).collect()}
+        asked = F.broadcast(spark.createDataFrame([(i,) for i in set(tried.values())], "id long"))
+        taken = {r["id"] for r in listed.join(asked, "id", "left_semi").select("id").collect()} | set(moved.values())
+        for url in list(later):
+            if tried[url] not in taken:
+                moved[url] = tried[url]
+                taken.add(tried[url])
+                later.remove(url)
+    return moved
 
 
 def repeated_ids(pages: DataFrame) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def save_pages(pages: DataFrame, name: str, path: str, buckets: int) -> None:
@@ -29,21 +27,15 @@ def load_nodes(spark: SparkSession, name: str) -> DataFrame:
 
 def write_results(results: DataFrame, path: str, mode: str = "errorifexists",
                   rows_per_file: int = 5_000_000) -> None:
-    """Write results, one folder per rule, in files of some `rows_per_file` rows.
+    """Write results, one folder per rule, in files of at most `rows_per_file` rows.
 
-    Results are kept while they are counted by rule; a rule with many is dealt out by page to as
-    many tasks as it needs files, so neither a rare nor a frequent rule makes a file in every task.
+    Results are computed once and kept nowhere. They are rebalanced by rule: when their sizes are
+    known, Spark (adaptive plans) puts rare rules together in one task and deals a frequent one out
+    to as many as its bytes ask for, so neither makes a file in every task. Without adaptive plans a
+    rule is written by one task.
     """
-    kept = results.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = {r["rule"]: r["n"] for r in kept.groupBy("rule").agg(F.count("*").alias("n")).collect()}
-        files = F.create_map(*[F.lit(x) for rule, n in counts.items() for x in (rule, -(-n // rows_per_file))]
-                             ) if counts else F.lit(None).cast("map<string,bigint>")
-        share = F.pmod(F.xxhash64("page_id"), F.coalesce(files[F.col("rule")], F.lit(1)))
-        dealt = kept.withColumn("_share", share).repartition("rule", "_share").drop("_share")
-        dealt.write.mode(mode).partitionBy("rule").parquet(path)
-    finally:
-        kept.unpersist()
+    (results.hint("rebalance", "rule").write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+     .partitionBy("rule").parquet(path))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
