@@ -50,7 +50,9 @@ class Selection:
 
     # -- steps ---------------------------------------------------------------------------
 
-    def child(self, test: str = "*") -> Selection:
+    def child(self, test: str = "*") -> Selection | Comments:
+        if test == "comment()":
+            return Comments(self.nodes().filter("false") if self._picked is None else self.nodes())
         if self._picked is None:
             passes = tag_test(test) & F.col("parent_id").isNull()
             return self._with(self._nodes.filter(passes), passes)
@@ -58,13 +60,19 @@ class Selection:
         parents = self._picked.select("page_id", F.col("node_id").alias("parent_id"))
         return self._with(found.join(parents, ["page_id", "parent_id"], "left_semi"))
 
-    def descendant(self, test: str = "*") -> Selection:
+    def descendant(self, test: str = "*") -> Selection | Comments:
         """Elements at any depth below the selected ones.
 
         Starts (+1) and ends (-1) of the selected elements are merged with the candidates in
         document order; a candidate with a positive running sum before it lies inside one.
         All come from one pass over the node table, so the rows of a page stay where they are.
         """
+        if test == "comment()":
+            if self._picked is None:
+                return Comments(self._nodes)
+            # The elements themselves and what is below them, each once.
+            whole = self.nodes().unionByName(self.descendant("*").nodes())
+            return Comments(whole.dropDuplicates(["page_id", "node_id"]))
         passes = tag_test(test)
         if self._picked is None:
             return self._with(self._nodes.filter(passes), passes)
@@ -207,12 +215,30 @@ class Selection:
             "page_id", "node_id", F.lit(0).alias("item"), value.alias("value"))
 
 
+class Comments:
+    """Comments directly in some elements, each a node with a place and a parent."""
+
+    def __init__(self, holders: DataFrame):
+        self._holders = holders
+
+    def nodes(self) -> DataFrame:
+        """page_id, node_id (the place of the comment), parent_id, value."""
+        return self._holders.select("page_id", F.col("node_id").alias("parent_id"), F.explode("comments").alias("comment")).select(
+            "page_id", F.col("comment.pos").alias("node_id"), "parent_id", F.col("comment.text").alias("value"))
+
+    def text(self) -> DataFrame:
+        """What stands in every comment, as it is on the page, in document order."""
+        return number(self.nodes().withColumn("item", F.lit(0)))
+
+
 def values_of(emit: str) -> Column:
     """What an element emits by itself, as an array of strings."""
     if emit.startswith("attr:"):
         return F.array(attribute(emit.removeprefix("attr:")))
     if emit == "attrs":
         return F.transform("attrs", lambda a: F.concat_ws("=", a["name"], a["value"]))
+    if emit == "comments":
+        return F.transform("comments", lambda c: c["text"])
     if emit == "text":
         return F.transform("texts", lambda t: t["text"])
     if emit == "normalized_text":

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from domgrove.functions.attributes import attribute
 from domgrove.operators.outline import class_text
-from domgrove.sources.tables import cut_lineage
+from domgrove.operators.shred import CHUNK
 
 # Fixed value: own text must be longer than this to identify an element.
 SHORT_TEXT = 3
@@ -36,30 +34,38 @@ def selector_step() -> Column:
         F.concat(F.col("tag"), F.lit("["), F.array_join(conditions, " and "), F.lit("]")))
 
 
+def _paths(rows: Column) -> Column:
+    """The path of each element of a page, in document order; rows have depth, is_top and step.
+
+    A fold carries the paths of the elements around the current one, by depth. The paths of a chunk
+    of elements are carried, too, and put behind those of the chunks before.
+    """
+    strings = F.array().cast("array<string>")
+
+    def place(state: Column, row: Column) -> Column:
+        above = F.coalesce(F.get(state["open"], row["depth"] - 1), F.lit(""))
+        path = F.when(row["is_top"], "").when(above == "", row["step"]).otherwise(F.concat_ws("/", above, row["step"]))
+        return F.struct(F.array_append(F.slice(state["open"], F.lit(1), row["depth"]), path).alias("open"),
+                        F.array_append(state["out"], path).alias("out"))
+
+    def fold(state: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(state["open"].alias("open"), strings.alias("out")), place, lambda now: F.struct(
+            now["open"].alias("open"), F.concat(state["out"], now["out"]).alias("out")))
+
+    starts = F.sequence(F.lit(1), F.size(rows), F.lit(CHUNK))
+    return F.aggregate(F.transform(starts, lambda at: F.slice(rows, at, F.lit(CHUNK))),
+                       F.struct(strings.alias("open"), strings.alias("out")), fold, lambda state: state["out"])
+
+
 def selectors(nodes: DataFrame) -> DataFrame:
     """page_id, node_id, selector: the steps from below html and body down to the element.
 
-    Paths are built by doubling: after round k an element has its last 2^k steps and points to
-    the element above them. The rounds grow with the logarithm of the depth, each moves one row
-    per element, and each is written out so that the plan does not grow.
+    The elements of a page meet once, in document order, where their pages are if the node table is
+    bucketed; the path of an element is that of the one around it and its own step.
     """
-    is_top = F.col("tag").isin("html", "body")
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    paths = nodes.select(
-        "page_id", "node_id",
-        F.when(is_top, "").otherwise(selector_step()).alias("path"),
-        F.when(~is_top, F.col("parent_id")).alias("up"))
-    rounds = ceil(log2(deepest)) if deepest > 1 else 0
-    if rounds:
-        # Every round joins on page_id first, so one exchange serves them all.
-        paths = paths.repartition("page_id")
-    for _ in range(rounds):
-        paths = cut_lineage(paths)
-        above = paths.select("page_id", F.col("node_id").alias("up"), F.col("path").alias("head"),
-                             F.col("up").alias("next"))
-        paths = paths.join(above, ["page_id", "up"], "left").select(
-            "page_id", "node_id",
-            F.when(F.coalesce("head", F.lit("")) == "", F.col("path"))
-            .otherwise(F.concat_ws("/", "head", "path")).alias("path"),
-            F.col("next").alias("up"))
-    return paths.select("page_id", "node_id", F.concat(F.lit("//"), F.col("path")).alias("selector"))
+    row = F.struct("node_id", "depth", F.col("tag").isin("html", "body").alias("is_top"), selector_step().alias("step"))
+    pages = nodes.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    found = F.zip_with("rows", _paths(F.col("rows")), lambda row, path: F.struct(
+        row["node_id"].alias("node_id"), F.concat(F.lit("//"), path).alias("selector")))
+    # The outer form: for the inner one Spark would add a filter that folds once more.
+    return pages.select("page_id", F.explode_outer(found).alias("found")).select("page_id", "found.*")

@@ -107,10 +107,12 @@ def _with_attributes(tags: DataFrame) -> DataFrame:
 def _tags(pages: DataFrame) -> DataFrame:
     """One row per tag, with the text that follows it as `tail`.
 
-    Comments and text rows go away here, so the windows below move tags only.
+    Text rows go away here, so the windows below move tags and comments only.
     """
     row = W.partitionBy("page_id").orderBy("pos")
     opaque_text = F.regexp_extract("raw", r"(?s)^<[^>]*>(.*?)(?:</[^>]*>)?$", 1)
+    is_comment = F.col("raw").startswith("<!--")
+    comment = F.regexp_extract("raw", r"(?s)^<!--(?:-?>|(.*?)(?:--!?>)?$)", 1)
     rank = F.coalesce(*[
         F.when(V.is_one_of([t for t, r in V.ITEM_RANK.items() if r == rank]), rank)
         for rank in RANKS
@@ -123,13 +125,13 @@ def _tags(pages: DataFrame) -> DataFrame:
             F.sum("len").over(row.rowsBetween(W.unboundedPreceding, -1)).alias("off"),
             F.when(F.lead("kind").over(row) == TEXT, F.lead("raw").over(row)).alias("tail"),
         )
-        .filter((F.col("kind") < TEXT) | (F.col("kind") == END) | F.col("tail").isNotNull())
+        .filter((F.col("kind") < TEXT) | (F.col("kind") == END) | F.col("tail").isNotNull() | is_comment)
         .filter(F.col("kind") != TEXT)
         .select(
             "page_id", _place(F.col("pos"), F.coalesce("off", F.lit(0))).alias("at"),
             "kind", "len", "tag", F.when(_is(OPEN, CLOSE), rank).alias("rank"),
             F.when(_is(OPEN, VOID, OPAQUE), start_tag(F.col("raw"))).alias("tag_text"),
-            F.when(_is(OPAQUE) & ~V.is_one_of(V.SCRIPT_LIKE), opaque_text).alias("text"),
+            F.when(_is(OPAQUE) & ~V.is_one_of(V.SCRIPT_LIKE), opaque_text).when(_is(MISC) & is_comment, comment).alias("text"),
             "tail",
         )
     )
@@ -154,7 +156,7 @@ def _pair_containers(tags: DataFrame) -> DataFrame:
         tags.withColumn("key", key)
         .withColumn("level", level)
         .withColumn("kind", kind)
-        .filter(~_is(MISC) | F.col("tail").isNotNull())
+        .filter(~_is(MISC) | F.col("tail").isNotNull() | F.col("text").isNotNull())
         .drop("key", "level")
     )
 
@@ -241,7 +243,7 @@ def _end_items(tags: DataFrame) -> DataFrame:
                 F.when(_is(CLOSE) & F.col("rank").isNotNull(), MISC).otherwise(F.col("kind"))
                 .alias("kind"),
                 F.col("block.id").alias("block"), F.col("block.end").alias("block_end"))
-        .filter(~_is(MISC) | F.col("tail").isNotNull() | F.col("ends").isNotNull())
+        .filter(~_is(MISC) | F.col("tail").isNotNull() | F.col("ends").isNotNull() | F.col("text").isNotNull())
     )
 
 
@@ -360,6 +362,7 @@ def _gather(tags: DataFrame) -> DataFrame:
     empty = {
         "node": "bigint", "parent": "bigint", "head": "struct<tag:string,tag_text:string>",
         "end": "bigint", "clipped_by": "bigint", "piece": "struct<at:bigint,is_break:boolean,text:string>",
+        "comment": "struct<pos:int,text:string>",
     }
 
     def role(**fields: Column) -> Column:
@@ -372,6 +375,7 @@ def _gather(tags: DataFrame) -> DataFrame:
     at, parent = F.col("at"), F.col("parent")
     head = F.struct("tag", "tag_text")
     inner = F.coalesce("text", F.when(_is(OPEN, CONTAINER), F.col("tail")))
+    comment = F.when(_is(MISC) & F.col("text").isNotNull(), F.struct(_position(at), "text"))
     is_element = _is(OPEN, CONTAINER, VOID, OPAQUE)
     follows = ~_is(OPEN, CONTAINER) & (F.col("tail").isNotNull() | (F.col("tag") == "br"))
     roles = F.array_compact(F.array(
@@ -379,6 +383,7 @@ def _gather(tags: DataFrame) -> DataFrame:
                                 piece=F.when(inner.isNotNull(), piece(inner)))),
         # Text behind a tag belongs to the element around it; so does a line break.
         F.when(follows, role(node=parent, piece=piece(F.col("tail")))),
+        F.when(comment.isNotNull(), role(node=parent, comment=comment)),
         # An end tag is part of the element it ends.
         F.when(F.col("ends").isNotNull(), role(node=F.col("ends"), end=at + F.col("len"))),
     ))
@@ -392,6 +397,7 @@ def _gather(tags: DataFrame) -> DataFrame:
             F.max("end").alias("end"),
             F.max("clipped_by").alias("clipped_by"),
             F.sort_array(F.collect_list("piece")).alias("pieces"),
+            F.sort_array(F.collect_list("comment")).alias("comments"),
         )
         .filter("head IS NOT NULL")
         .select(
@@ -400,7 +406,7 @@ def _gather(tags: DataFrame) -> DataFrame:
             F.when(F.col("parent") >= 0, _position(F.col("parent"))).alias("parent_id"),
             "head.tag", "head.tag_text", _offset(F.col("node")).alias("off"),
             (_offset(F.col("end")) - _offset(F.col("node"))).alias("len"), "pieces",
-            _position(F.col("clipped_by")).alias("clipped_by"),
+            _position(F.col("clipped_by")).alias("clipped_by"), "comments",
         )
     )
 
@@ -473,5 +479,5 @@ def shred(pages: DataFrame, partitions: int | None = None, clustered: bool = Fal
             .withColumn("own_text", own_text)
         )
         .select("page_id", "node_id", "end_pos", "parent_id", "depth", "tag", "attrs", "attr",
-                "texts", "own_text", "sib_pos", "sib_count", "tag_pos", "tag_count", "off", "len", "clipped_by")
+                "texts", "own_text", "sib_pos", "sib_count", "tag_pos", "tag_count", "off", "len", "clipped_by", "comments")
     )
