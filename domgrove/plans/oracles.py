@@ -217,6 +217,18 @@ ORACLES: dict[str, str] = {
         SELECT page_id, CAST(spot + i AS INTEGER) AS node_id, CASE i WHEN 1 THEN 'i' ELSE 'a' END AS tag,
           CAST(spot + 4 AS INTEGER) AS end_pos, CAST(spot AS INTEGER) AS clipped_by, 'em' AS clipped_by_tag
         FROM found, (SELECT unnest([1, 2]) AS i)""",
+    "comments": _found("<!--(.*?)-->"),
+    "li_comments": _found("<(li)>", "'x &amp; y'"),
+    # Every item before in the page has one token more.
+    "nav_comments": f"""{NODES} SELECT page_id, CAST(node_id + row_number() OVER w AS INTEGER) AS node_id,
+        CAST(node_id + row_number() OVER w - 1 AS INTEGER) AS parent_id, 'x &amp; y' AS value
+        FROM nodes WHERE tag = 'li' WINDOW w AS (PARTITION BY page_id ORDER BY node_id)""",
+    "valueless_attributes": """
+        WITH m AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages),
+        r AS (SELECT page_id, unnest(list_transform(range(2 * len(l)), lambda i:
+            CASE WHEN i % 2 = 0 THEN 'download=' ELSE 'href=' || l[i // 2 + 1] END)) AS value,
+            unnest(range(2 * len(l))) AS i FROM m)
+        SELECT page_id, CAST(i + 1 AS INTEGER) AS idx, value FROM r""",
     "links": _found(_HREF),
     "preset_title": _found("<(li)>", "'t & u'"),
     "preset_data_original": _found(_HREF),
@@ -235,6 +247,8 @@ ORACLES: dict[str, str] = {
     "li_pos_lt3": _rows("tag = 'li' AND sib_pos < 3"),
     "li_pos_any": _rows("tag = 'li'"),
     "h1_first_child": _rows("tag = 'h1' AND sib_pos = 1"),
+    # A heading is three tokens: the first paragraph takes its place.
+    "p_first_child": f"{NODES} SELECT page_id, node_id, 'p' AS tag FROM nodes WHERE tag = 'h1'",
     "p_second_sibling": _rows("tag = 'p' AND sib_pos = 2"),
     "p_second_of_tag": _rows("tag = 'p' AND tag_pos = 2"),
     "children_by_position": _rows("tag IN ('h1', 'p') AND sib_pos BETWEEN 2 AND 4"),
@@ -263,6 +277,14 @@ ORACLES: dict[str, str] = {
                      regexp_extract_all(html, '{_HREF}', 1) AS l FROM pages),
         r AS (SELECT page_id, site, unnest(l) AS v, unnest(range(len(l))) AS i FROM m)
         SELECT page_id, CAST(i + 1 AS INTEGER) AS idx, site || v AS value FROM r""",
+    "abs_links_of_shapes": """
+        WITH m AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site,
+                     regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS l FROM pages),
+        r AS (SELECT page_id, site, unnest(l) AS v, unnest(range(len(l))) AS i FROM m)
+        SELECT page_id, CAST(4 * i + k AS INTEGER) AS idx, CASE k WHEN 1 THEN site || '/base/up/' || v
+          WHEN 2 THEN site || '/base/dir/?q=' || v WHEN 3 THEN regexp_extract(site, '^[a-z]*:') || '//o.example/' || v
+          ELSE site || '/base/dir/' || v END AS value
+        FROM r, (SELECT unnest([1, 2, 3, 4]) AS k)""",
     "count_links": f"""SELECT page_id, CAST(1 AS INTEGER) AS idx,
         CAST(len(list_filter(regexp_extract_all(html, '{_HREF}', 1), lambda h: contains(h, ','))) AS VARCHAR) AS value
         FROM pages""",
@@ -276,6 +298,17 @@ ORACLES: dict[str, str] = {
             WHERE tag = 'a' AND NOT contains(href, ','))
         SELECT page_id, rule, CAST(row_number() OVER (PARTITION BY page_id, rule ORDER BY node_id) AS INTEGER) AS idx,
           value FROM hits""",
+    "rule_report": f"""{NODES},
+        hits AS (
+          SELECT page_id, 'headings' AS rule FROM nodes WHERE tag = 'h1' AND own_text <> ''
+          UNION ALL SELECT a.page_id, 'first_links' FROM nodes a JOIN nodes l
+            ON a.page_id = l.page_id AND a.parent_id = l.node_id WHERE a.tag = 'a' AND l.tag = 'li' AND l.sib_pos = 1)
+        SELECT rule, CAST(count(*) AS BIGINT) AS n_results, count(DISTINCT page_id) AS n_pages,
+          CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS reason FROM hits GROUP BY rule
+        UNION ALL SELECT * FROM (VALUES
+          ('no_column', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 2, 'condition: UNRESOLVED_COLUMN'),
+          ('no_condition', NULL, NULL, 1, 'condition: PARSE_SYNTAX_ERROR'), ('no_axis', NULL, NULL, 1, 'unknown axis'),
+          ('no_emitter', NULL, NULL, NULL, 'unknown emitter'), ('no_steps', NULL, NULL, NULL, 'blank rule'))""",
     "coverage": f"{_RULE_SET} SELECT page_id, rule, count(*) AS n_results FROM results GROUP BY page_id, rule",
     "not_found": f"""
         SELECT page_id, 'quoted' AS rule FROM pages
@@ -288,7 +321,17 @@ ORACLES: dict[str, str] = {
     "outline": f"""{_OUTLINE} SELECT page_id, node_id, parent_id,
         CAST(row_number() OVER (PARTITION BY page_id ORDER BY node_id) - 1 AS INTEGER) AS item,
         CAST(depth - 1 AS INTEGER) AS depth, display, kids IS NOT NULL AS has_children FROM bounds""",
+    "outline_of_named": f"""{NODES} SELECT page_id, node_id,
+        CASE tag WHEN 'article' THEN '<article#main.wide>' ELSE '<br>' END AS display
+        FROM nodes WHERE tag IN ('article', 'br')""",
     "selectors": _SELECTORS,
+    "selectors_of_named": f"""{_SELECTORS.replace("SELECT page_id, node_id, '//' || path AS selector FROM paths", "")}
+        SELECT p.page_id, p.node_id, CASE n.tag
+          WHEN 'h1' THEN '//' || replace(path, 'article/', 'article[@id=''main'' and @class=''wide'']/')
+          ELSE '//' || replace(left(path, length(path) - 2), 'article/', 'article[@id=''main'' and @class=''wide'']/')
+            || 'br[@data-kind=''line break'']' END AS selector
+        FROM paths p JOIN nodes n ON n.page_id = p.page_id AND n.node_id = p.node_id
+        WHERE n.tag = 'br' OR n.tag = 'h1'""",
     "search": _search("the"),
     "search_attribute": _search('HREF="/A'),
 }

@@ -15,7 +15,7 @@ from domgrove.operators.selection import Selection
 from domgrove.operators.selectors import selectors
 from domgrove.operators.shred import open_tags, shred
 from domgrove.plans import reports
-from domgrove.plans.rules import PRESETS, Rule, Step, rules_from_table, run_rules
+from domgrove.plans.rules import PRESETS, Rule, Step, check_rules, rules_from_table, run_rules
 from domgrove.plans.workspace import nodes_of, pages_beside, pages_of
 from domgrove.sources.pages import split_pages
 
@@ -147,6 +147,17 @@ CROSSED = (("<b>", "<b><i>"), ("</b>", "</b></i>"))
 CROSSED_LINKS = (("<a href=", "<em><i><a href="), ("</a>", "</em> </a></i>"))
 
 
+# Comments inside list items; attributes without value; pages without headings.
+REMARKS = (("<li>", "<li><!--x &amp; y-->"),)
+VALUELESS = (("<a href=", "<a download href="),)
+HEADLESS = (("<h1>[^<]*</h1>", ""),)
+# A base address, and links of every shape beside those that begin with a slash.
+SHAPES = (("<head>", '<head><base href="/base/dir/">'),
+          ('<a href="/([^"]*)">', '<a href="../up/$1"></a><a href="?q=$1"></a><a href="//o.example/$1"></a><a href="./$1">'))
+# Elements with an id, and with a data attribute in place of text.
+NAMED = (("<article>", "<article id='main' class=wide>"), ("<br>", "<br data-kind='line break'>"))
+
+
 def _shredded(*changes: tuple[str, str]) -> Callable:
     def run(spark, folder):
         pages = rewritten(spark, folder, *changes)
@@ -198,6 +209,28 @@ def _repeated(spark, folder) -> DataFrame:
     return split_pages(pages.union(pages.filter("page_id % 10 = 0")), check_ids=True)[1]
 
 
+#: Rules as rows, of which only the first two can be answered.
+ODD_RULES = [
+    ("headings", [("descendant", "h1", "")], "text"),
+    ("first_links", [("descendant", "li", "sib_pos = 1"), ("child", "a", "")], "attr:href"),
+    ("no_column", [("descendant", "li", "sib_pos = 1"), ("child", "a", "colour = 'red'")], "text"),
+    ("no_condition", [("descendant", "a", "sib_pos = = 1")], "text"),
+    ("no_axis", [("sideways", "a", "")], "text"),
+    ("no_emitter", [("descendant", "a", "")], "xml"),
+    ("no_steps", [], "text"),
+]
+
+
+def _rule_report(spark, folder) -> DataFrame:
+    """Every rule of a table: how many results on how many pages, or what is wrong with it."""
+    nodes = nodes_of(spark, folder)
+    table = spark.createDataFrame(ODD_RULES, "rule string, steps array<struct<axis:string,test:string,where:string>>, emit string")
+    rules, errors = check_rules(nodes, rules_from_table(table))
+    found = reports.coverage(run_rules(pages_beside(spark, folder), rules, nodes)).groupBy("rule").agg(
+        F.sum("n_results").alias("n_results"), F.count("*").alias("n_pages"))
+    return found.unionByName(errors, allowMissingColumns=True)
+
+
 def _nesting(spark, folder) -> DataFrame:
     return reports.nesting(nodes_of(spark, folder)).select(
         "page_id", "n_elements", "max_depth", "n_crossing")
@@ -221,6 +254,11 @@ QUERIES: dict[str, Query] = {
     "crossed_text": _crossed_text,
     "crossed_links": _crossed_links,
     "clipped": _clipped,
+    "comments": _values(lambda s: s.descendant("comment()").text()),
+    "li_comments": lambda spark, folder: _shredded(*REMARKS)(spark, folder).descendant("li").child("comment()").text(),
+    "nav_comments": lambda spark, folder: _shredded(*REMARKS)(spark, folder).descendant("nav").descendant("comment()").nodes(),
+    "valueless_attributes": lambda spark, folder: (
+        _shredded(*VALUELESS)(spark, folder).descendant("a").where(C.has("download")).attrs()),
     # presets
     "links": _light("@href"),
     "preset_title": _lazy("@title"),
@@ -242,6 +280,8 @@ QUERIES: dict[str, Query] = {
     "li_pos_lt3": _elements(lambda s: s.descendant("li").where(C.pos("<", 3))),
     "li_pos_any": _elements(lambda s: s.descendant("li").where(C.pos())),
     "h1_first_child": _elements(lambda s: s.descendant("h1").where(C.nth(1))),
+    "p_first_child": lambda spark, folder: (
+        _shredded(*HEADLESS)(spark, folder).descendant("p").where(C.nth(1)).nodes().select("page_id", "node_id", "tag")),
     "p_second_sibling": _elements(lambda s: s.descendant("p").where(C.nth(2))),
     "p_second_of_tag": _elements(lambda s: s.descendant("p").where(C.nth(2, of="tag"))),
     "children_by_position": _elements(_children_by_position),
@@ -270,11 +310,13 @@ QUERIES: dict[str, Query] = {
     "nav_html": _values(lambda s: s.descendant("nav").html()),
     "nav_full_text": _values(lambda s: s.descendant("nav").full_text()),
     "abs_links": _values(lambda s: s.descendant("a").abs_attr("href")),
+    "abs_links_of_shapes": lambda spark, folder: _shredded(*SHAPES)(spark, folder).descendant("a").abs_attr("href"),
     "count_links": _values(lambda s: s.descendant("a").where(C.contains("href", ","))
                            .count()),
     # rule sets and reports
     "rule_set": _rule_set,
     "rule_table": _rule_table,
+    "rule_report": _rule_report,
     "coverage": _coverage,
     "not_found": _not_found,
     "reports_on_links": _reports_on("attr:href", "a"),
@@ -282,7 +324,11 @@ QUERIES: dict[str, Query] = {
     "reports_on_html": _reports_on("html", "ul"),
     # outline
     "outline": _outline,
+    "outline_of_named": lambda spark, folder: outline(shred(rewritten(spark, folder, *NAMED))).filter(
+        "tag IN ('article', 'br')").select("page_id", "node_id", "display"),
     "selectors": _selectors,
+    "selectors_of_named": lambda spark, folder: selectors(shred(rewritten(spark, folder, *NAMED))).filter(
+        "selector LIKE '%main%h1%' OR selector LIKE '%data-kind%'"),
     "search": _search("the"),
     "search_attribute": _search('HREF="/A'),
 }

@@ -26,8 +26,8 @@ class Step:
 
 @dataclass(frozen=True)
 class Rule:
-    """A path and what to emit: attr:<name>, abs:<name>, attrs, text, normalized_text, html,
-    full_text or count."""
+    """A path and what to emit: attr:<name>, abs:<name>, attrs, text, normalized_text, comments,
+    html, full_text or count."""
 
     steps: Sequence[Step] = field(default_factory=tuple)
     emit: str = "html"
@@ -44,7 +44,7 @@ class Rule:
     @property
     def one_look(self) -> bool:
         """Whether one look at every element alone answers the rule."""
-        local = self.emit.startswith("attr") or self.emit in ("text", "normalized_text")
+        local = self.emit.startswith("attr") or self.emit in ("text", "normalized_text", "comments")
         return local and len(self.steps) == 1 and self.steps[0].axis == "descendant"
 
     def condition(self) -> Column:
@@ -77,18 +77,57 @@ def rules_from_table(table: DataFrame) -> dict[str, Rule]:
     """Rules kept as rows: rule, steps array<struct<axis,test,where>>, emit.
 
     `where` is a Spark SQL condition over the node table, or empty. A rule set becomes the plan of
-    a job, so it is read to the driver.
+    a job, so it is read to the driver. Rows that make no sense make rules that `check_rules` tells.
     """
     rows = table.select("rule", "steps", "emit").collect()
     return {
-        row["rule"]: Rule(
-            tuple(Step(s["axis"], s["test"], (s["where"],) if s["where"] else ())
-                  for s in row["steps"]),
-            row["emit"])
+        row["rule"] or "": Rule(
+            tuple(Step(s["axis"] or "", s["test"] or "", (s["where"],) if s["where"] else ())
+                  for s in row["steps"] or () if s),
+            row["emit"] or "")
         for row in rows
     }
 
 
+#: Emitters, and those that are followed by the name of an attribute.
+EMITTERS = ("attrs", "text", "normalized_text", "comments", "html", "full_text", "count")
+NAMED_EMITTERS = ("attr:", "abs:")
+AXES = ("child", "descendant", "parent", "..", "self", ".")
+
+
+def _problem(nodes: DataFrame, name: str, item: Rule) -> tuple[int | None, str] | None:
+    """The step (from 1) that is wrong with a rule, if it is one, and why; None for a good rule."""
+    if not name.strip() or not item.steps:
+        return None, "blank rule"
+    for i, step in enumerate(item.steps, 1):
+        if step.axis not in AXES:
+            return i, "unknown axis"
+        if not step.test.strip():
+            return i, "no test"
+        for condition in step.where:
+            if not isinstance(condition, (Column, str)):
+                return i, "not a condition"
+            try:
+                nodes.filter(F.expr(condition) if isinstance(condition, str) else condition)
+            except AnalysisException as error:
+                return i, f"condition: {(error.getCondition() or 'not understood').split('.')[0]}"
+    if item.emit not in EMITTERS and not any(item.emit.startswith(e) and len(item.emit) > len(e) for e in NAMED_EMITTERS):
+        return None, "unknown emitter"
+    return None
+
+
+def check_rules(nodes: DataFrame, rules: Mapping[str, Rule]) -> tuple[dict[str, Rule], DataFrame]:
+    """The rules that can be answered from a node table, and (rule, step, reason) of the others.
+
+    Every rule is analysed by itself, without running anything, so one that makes no sense takes no
+    other along. step counts from 1 and is null where the whole rule is wrong.
+    """
+    problems = {name: _problem(nodes, name, item) for name, item in rules.items()}
+    rows = [(name, *problem) for name, problem in problems.items() if problem]
+    errors = nodes.sparkSession.createDataFrame(rows, "rule string, step int, reason string")
+    return {name: item for name, item in rules.items() if not problems[name]}, errors
+
+
 def _check(rules: Mapping[str, Rule]) -> None:
     if not rules:
         raise ValueError("no rules")

@@ -15,11 +15,11 @@ from domgrove.operators.selectors import selectors
 from domgrove.operators.shred import shred
 from domgrove.plans.reports import coverage, enrich, not_found
 from domgrove.plans.queries import QUERIES
-from domgrove.plans.rules import PRESETS, rule, run_rules
+from domgrove.plans.rules import PRESETS, Rule, Step, check_rules, rule, rules_from_table, run_rules
 from domgrove.plans.workspace import pages_of
 from domgrove.sources.pages import read_html_files, read_pages, repeated_ids, split_pages, without_repeated
 from domgrove.sources.tables import load_nodes, save_nodes, save_pages, write_results
-from domgrove.streaming.run import run_stream
+from domgrove.streaming.run import run_stream, stream_results
 
 RULES = {
     "links": rule([("descendant", "a")], "attr:href"),
@@ -240,6 +240,99 @@ def test_html_files(spark, tmp_path):
     assert len({r.page_id for r in rows}) == 2
 
 
+def test_file_ids_that_collide(spark, tmp_path):
+    """No file is lost, ids stay the same, and those that do not collide keep their hash."""
+    for i in range(40):
+        (tmp_path / f"{i}.html").write_text(f"<p>{i}</p>")
+    few = lambda address: F.pmod(F.xxhash64(address), F.lit(16))
+    rows = [sorted(map(tuple, read_html_files(spark, str(tmp_path), few).select("url", "page_id", "html").collect())) for _ in range(2)]
+    assert rows[0] == rows[1] and len({r[1] for r in rows[0]}) == 40 == len({r[2] for r in rows[0]})
+    assert sum(0 <= r[1] < 16 for r in rows[0]) >= 10
+    plain = read_html_files(spark, str(tmp_path))
+    assert plain.select("page_id").distinct().count() == 40
+    assert plain.filter(F.col("page_id") != F.xxhash64("url")).isEmpty()
+
+
+def test_result_files(spark, tmp_path):
+    """A rare rule is one file, a frequent one several; results are computed once and kept nowhere."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "page_id long, rule string, idx int, value string"
+    rows = spark.range(40_000, numPartitions=8).select(
+        F.col("id").alias("page_id"), F.when(F.col("id") % 4000 == 0, "rare").otherwise("frequent").alias("rule"),
+        F.lit(1).alias("idx"), F.md5(F.col("id").cast("string")).alias("value"))
+    write_results(rows.mapInArrow(count, schema), str(tmp_path / "r"), rows_per_file=10_000)
+    assert seen.value == 40_000
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "r").iterdir() if d.is_dir()}
+    assert files["rule=rare"] == 1 and 4 <= files["rule=frequent"] <= 8
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 40_000
+
+
+def test_comments(make_pages):
+    pages = ["<!-- top --><div>a<!--1-->b<p>c<!-- 2 --><b>x<!--3--></p>y</div><!--4--><ul><li><!--5-->z</ul><!--open <p>q",
+             "<p>none</p>", "<title>t</title><!----><!--><p>x<!--a--!>", "<p><!--1--><!--2--><i>x</p><script><!--no--></script>"]
+    nodes = shred(make_pages(pages), 2).persist()
+    start = Selection(nodes)
+
+    def values(found):
+        out = {}
+        for r in found.text().collect():
+            out.setdefault(r.page_id, {})[r.idx] = r.value
+        return {p: [v for _, v in sorted(own.items())] for p, own in out.items()}
+
+    assert values(start.descendant("comment()")) == {
+        0: ["1", " 2 ", "3", "4", "5", "open <p>q"], 2: ["", "", "a"], 3: ["1", "2"]}
+    assert values(start.descendant("div").child("comment()")) == {0: ["1"]}
+    assert values(start.descendant("div").descendant("comment()")) == {0: ["1", " 2 ", "3"]}
+    assert values(start.descendant("*").descendant("comment()")) == values(start.descendant("comment()"))
+    assert start.child("comment()").text().isEmpty()
+    places = {(r.page_id, r.node_id): r.parent_id for r in start.descendant("comment()").nodes().collect()}
+    tags = {(r.page_id, r.node_id): r.tag for r in nodes.collect()}
+    assert [tags[p, places[p, n]] for p, n in sorted(places)] == ["div", "p", "b", "body", "li", "body", "head", "head", "p", "p", "p"]
+    found = run_rules(make_pages(pages), {"c": rule([("descendant", "p")], "comments")}, nodes)
+    assert sorted((r.page_id, r.value) for r in found.collect()) == [(0, " 2 "), (2, "a"), (3, "1"), (3, "2")]
+    nodes.unpersist()
+
+
+def test_selectors_in_one_pass(spark, make_pages, tmp_path):
+    """Deep and long pages, without a checkpoint or more than one exchange."""
+    deep = "".join(f"<div id=d{i}>" for i in range(700))
+    pages = [deep, "<ul>" + "<li><b>x</b>" * 900 + "</ul>"]
+    nodes = shred(make_pages(pages), 2)
+    save_nodes(nodes, "path_nodes", str(tmp_path / "nodes"), 2)
+    found = selectors(spark.table("path_nodes"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.page_id, r.node_id): r.selector for r in found.collect()}
+    spark.sql("DROP TABLE path_nodes")
+    assert len(rows) == 3 + 700 + 3 + 1 + 1800
+    assert rows[0, 702] == "//" + "/".join(f"div[@id='d{i}']" for i in range(700))
+    assert sum(s.endswith("/b") for s in rows.values()) == 900 and "//ul/li[900]/b" in rows.values()
+
+
+def test_errors_by_rule(spark, make_pages):
+    nodes = shred(make_pages(["<p class=a>1</p><p>2</p>"]), 2)
+    table = spark.createDataFrame(
+        [("good", [("descendant", "p", "attr['class'] = 'a'")], "text"), ("column", [("descendant", "p", "nothing = 1")], "text"),
+         ("syntax", [("child", "html", ""), ("child", "body", "sib_pos ==== 1")], "text"), ("type", [("descendant", "p", "sib_pos + 1")], "text"),
+         ("axis", [("up", "p", "")], "text"), ("test", [("child", None, "")], "text"), ("emitter", [("descendant", "p", "")], "attr:"),
+         ("none", None, "text"), ("null emitter", [("descendant", "p", "")], None), (None, [("descendant", "p", "")], "text")],
+        "rule string, steps array<struct<axis:string,test:string,where:string>>, emit string")
+    rules = rules_from_table(table) | {"object": Rule((Step("descendant", "p", (7,)),), "text")}
+    good, errors = check_rules(nodes, rules)
+    assert {(r.rule, r.step, r.reason) for r in errors.collect()} == {
+        ("column", 1, "condition: UNRESOLVED_COLUMN"), ("syntax", 2, "condition: PARSE_SYNTAX_ERROR"),
+        ("type", 1, "condition: DATATYPE_MISMATCH"), ("axis", 1, "unknown axis"), ("test", 1, "no test"),
+        ("emitter", None, "unknown emitter"), ("none", None, "blank rule"), ("null emitter", None, "unknown emitter"),
+        ("", None, "blank rule"), ("object", 1, "not a condition")}
+    assert [r.value for r in run_rules(make_pages([]), good, nodes).collect()] == ["1"]
+    assert check_rules(nodes, {})[1].isEmpty()
+
+
 def test_saved_nodes_and_results(spark, make_pages, tmp_path):
     pages = make_pages(["<ul><li><a href=x>1</a><li>2</ul>", "<div><ul><li>3"])
     nodes = shred(pages, 4)
@@ -301,3 +394,43 @@ def test_stream_equals_batch(spark, make_pages, tmp_path):
     # A replay writes the same batches again.
     assert run(str(tmp_path / "state2")) == expected
     assert [r.page_id for r in spark.read.parquet(f"{target}/rejects").collect()] == [9]
+
+
+def batches_of(spark, source, *batches):
+    """Page tables that a stream reads one by one, in this order."""
+    import os
+    import time
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(source)
+        for name in os.listdir(source):
+            path = os.path.join(source, name)
+            if name.startswith("part-") and os.path.getmtime(path) > 1000:
+                os.utime(path, (i + 1, i + 1))
+
+
+@pytest.mark.parametrize("way, remember", [("reject", None), ("replace", None), ("reject", 1)])
+def test_ids_across_batches(spark, tmp_path, way, remember):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    page = lambda i, text: (i, f"https://s/{text}", f"<ul><li>{text}</ul>")
+    batches_of(spark, source, [page(1, "a"), page(2, "b")], [page(1, "c"), page(3, "d"), page(4, "e"), page(4, "f")],
+               [page(2, "g"), page(1, "h"), page(4, "i"), page(5, "j")])
+
+    def run(state):
+        run_stream(spark, source, target, str(tmp_path / state), RULES, max_files=1, once=True, repeated=way,
+                   remember=remember).awaitTermination()
+        rows = stream_results(spark, target).filter("rule = 'items'").collect()
+        rejects = spark.read.parquet(f"{target}/rejects").collect()
+        return (sorted((r.page_id, r.value, r.batch) for r in rows), sorted((r.page_id, r.url[-1], r.reason, r.batch) for r in rejects))
+
+    again, twice = "page id of an earlier batch", "repeated page id"
+    inside = [(4, "e", twice, 1), (4, "f", twice, 1)]
+    results, rejects = {
+        ("reject", None): ([(1, "a", 0), (2, "b", 0), (3, "d", 1), (4, "i", 2), (5, "j", 2)],
+                           [(1, "c", again, 1), (1, "h", again, 2), (2, "g", again, 2), *inside]),
+        ("replace", None): ([(1, "h", 2), (2, "g", 2), (3, "d", 1), (4, "i", 2), (5, "j", 2)], inside),
+        # What only the batch before the last had is forgotten.
+        ("reject", 1): ([(1, "a", 0), (1, "h", 2), (2, "b", 0), (2, "g", 2), (3, "d", 1), (4, "i", 2), (5, "j", 2)],
+                        [(1, "c", again, 1), *inside]),
+    }[way, remember]
+    assert run("state1") == (results, sorted(rejects))
+    assert run("state2") == (results, sorted(rejects))
