@@ -55,14 +55,14 @@ def anchors_seen(texts: list[bytes], size: int) -> np.ndarray:
     return runs[np.unique(anchors)]
 
 
-def repeated_cells(docs: DataFrame, seen_in: Callable[[list[bytes]], np.ndarray], cells: int = CELLS
-                   ) -> list[np.ndarray]:
+def repeated_cells(docs: DataFrame, seen_in: Callable[[list[bytes]], np.ndarray], cells: int = CELLS,
+                   n_rows: int = ROWS) -> list[np.ndarray]:
     """For each row of the sketch the bits of cells that the hashes seen in texts count twice or
     more, packed."""
     small = min(cells, BLOCK_CELLS)
 
     def count(batches):
-        rows = [np.zeros(cells, np.uint8) for _ in range(ROWS)]
+        rows = [np.zeros(cells, np.uint8) for _ in range(n_rows)]
         for batch in batches:
             texts = texts_of(batch)
             for a, b in in_blocks(texts):
@@ -91,8 +91,8 @@ def repeated_cells(docs: DataFrame, seen_in: Callable[[list[bytes]], np.ndarray]
 
     schema = "block int, used binary"
     parts = arrow_map(docs.select(F.col("text").cast("binary").alias("text")), count, schema)
-    merged = arrow_map(parts.repartition("block"), merge, schema).collect()  # at most ROWS * cells bits
-    bits = [np.zeros(cells // 8, np.uint8) for _ in range(ROWS)]
+    merged = arrow_map(parts.repartition("block"), merge, schema).collect()  # at most n_rows * cells bits
+    bits = [np.zeros(cells // 8, np.uint8) for _ in range(n_rows)]
     for r in merged:
         row, at = divmod(r["block"] * small, cells)
         bits[row][at // 8:(at + small) // 8] = np.frombuffer(r["used"], np.uint8)

@@ -39,6 +39,8 @@ SIZE, GRAM = 100, 32
 #: Never in UTF-8, so that no string of a segment reaches into the next.
 END = b"\xff"
 MOST = 2000
+#: Rows of the sketch: a segment that a third row keeps back costs more than the row.
+SKETCH_ROWS = 3
 CHUNK = 1 << 19
 
 
@@ -379,7 +381,7 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int =
     if not 8 <= gram < size or size - gram > 255:
         raise ValueError("gram must be at least 8 and shorter than size by 1 to 255")
     spark = docs.sparkSession
-    bits = repeated_cells(docs, lambda texts: anchors_seen(texts, size, gram), cells)
+    bits = repeated_cells(docs, lambda texts: anchors_seen(texts, size, gram), cells, SKETCH_ROWS)
     sketch = spark.sparkContext.broadcast(bits)
     firsts, _ = first_places(docs, sketch, size, gram, cells, most)
     lists = (firsts.groupBy("place", F.shiftright("at", 32).alias("mark"))
