@@ -85,13 +85,16 @@ def tokens_of(text):
 
 
 def tiling(doc, item, shortest):
-    """Greedy string tiling by trying every start: number of tiles and item tokens covered."""
+    """Greedy string tiling by trying every start: number of tiles and item tokens covered.
+
+    Of several longest matches the first in doc is marked, then the first in item.
+    """
     doc_free, item_free = [True] * len(doc), [True] * len(item)
     count = covered = 0
     while True:
         best = (shortest - 1, 0, 0)
-        for j in range(len(item)):
-            for i in range(len(doc)):
+        for i in range(len(doc)):
+            for j in range(len(item)):
                 k = 0
                 while (i + k < len(doc) and j + k < len(item) and doc_free[i + k] and item_free[j + k]
                        and doc[i + k] == item[j + k]):

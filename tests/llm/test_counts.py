@@ -195,12 +195,44 @@ def test_tiling(doc, item):
     items = decontaminate.Items([1], [" ".join(item).encode()], 3)
     found = {(d, i): (n, c) for d, i, n, c in items.found([" ".join(doc).encode()], 0.0)}
     n, covered = brute.tiling(doc, item, 3)
-    if n:
-        size = found[(0, 0)]
-        # Ties between longest matches may be marked in another order.
-        assert abs(size[1] - covered) <= 3
-    else:
-        assert not found
+    assert found == ({(0, 0): (n, covered)} if n else {})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=60), st.lists(st.sampled_from("ab"), min_size=2, max_size=20), st.sampled_from([1, 3, 1000]))
+def test_tiling_of_repetitive_texts(doc, item, size):
+    """Whatever the number of seeds in a slice, and with neighbours in the block."""
+    held, decontaminate.SLICE = decontaminate.SLICE, size
+    try:
+        items = decontaminate.Items(["x", "y"], [" ".join(item).encode(), b"a b a b b"], 2)
+        found = {(d, i): (n, c) for d, i, n, c in items.found([b"b b a", " ".join(doc).encode(), b"a"], 0.0)}
+    finally:
+        decontaminate.SLICE = held
+    expected = {}
+    for d, text in enumerate((["b", "b", "a"], doc, ["a"])):
+        for i, own in enumerate((item, ["a", "b", "a", "b", "b"])):
+            n, covered = brute.tiling(text, own, 2)
+            if n:
+                expected[d, i] = (n, covered)
+    assert found == expected
+
+
+def test_tiling_of_one_word():
+    """A text and an item of one word each: runs, not pairs of places, are kept."""
+    import tracemalloc
+    items = decontaminate.Items(["x"], [b"la " * 1000], 5)
+    tracemalloc.start()
+    found = list(items.found([b"la " * 40_000], 0.5))
+    assert found == [(0, 0, 1, 1000)] and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
+def test_short_items():
+    """Items without seeds are looked for as a whole, if they are long enough to mean something."""
+    texts = ["\u6e2c\u8a66\u984c\u76ee\u7b54\u6848", "what is photosynthesis exactly", "word", "a b c d", "", "..."]
+    items = decontaminate.Items(list("abcdef"), [t.encode() for t in texts], 5)
+    docs = [texts[0], f"x {texts[0]} y", f"x{texts[0]}", "So: What is photosynthesis, exactly?", "what is photosynthesis", "word", "a b c d"]
+    assert sorted(items.found([d.encode() for d in docs], 0.5)) == [(0, 0, 1, 1), (1, 0, 1, 1), (3, 1, 1, 4)]
 
 
 def test_leaks(spark, small, benchmark):
@@ -214,10 +246,13 @@ def test_leaks(spark, small, benchmark):
     docs = spark.createDataFrame(texts + planted + [(1, None), (2, "")], "doc_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()}
     assert {(9000 + k, items[k][0]) for k in range(8)} <= found
-    for doc_id, text in texts[:30] + planted:
-        for item_id, item in items:
-            own = brute.tokens_of(item)
-            _, covered = brute.tiling(brute.tokens_of(text), own, 5) if set(own) & set(brute.tokens_of(text)) and (doc_id, item_id) in found else (0, 0)
+    split = [(item_id, brute.tokens_of(item)) for item_id, item in items]
+    grams = [(item_id, own, set(zip(*(own[k:] for k in range(5))))) for item_id, own in split]
+    for doc_id, text in texts + planted:
+        tokens = brute.tokens_of(text)
+        mine = set(zip(*(tokens[k:] for k in range(5))))
+        for item_id, own, theirs in grams:
+            covered = brute.tiling(tokens, own, 5)[1] if mine & theirs else 0
             assert ((doc_id, item_id) in found) == (covered >= 0.5 * len(own) and covered > 0)
     kept = {r.doc_id for r in decontaminate.drop_leaking(docs, benchmark).collect()}
     assert kept == {d for d, _ in texts + planted + [(1, None), (2, None)]} - {d for d, _ in found}
@@ -228,6 +263,8 @@ def test_leaks_edges(spark, edges, empty, benchmark, monkeypatch):
                                                       "item_id long, text string"))
     found = decontaminate.leaks(edges, odd).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(10, None)}
+    again = odd.unionByName(odd.filter("text LIKE 'la%'").withColumn("item_id", F.lit(7).cast("long")))
+    assert sorted((r.doc_id, r.item_id or 0) for r in decontaminate.leaks(edges, again).collect()) == [(10, 0), (10, 7)]
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)  # several blocks of items
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(edges, odd).collect()} == {(10, None)}
     kept = decontaminate.drop_leaking(edges, odd)
