@@ -13,11 +13,11 @@ one class or of neighbouring ones, and a bucket is a shingle and a class. Each n
 buckets of its class and visits those of the next.
 
 Equal sets are one node. Nodes that meet are first linked with the most central node of their
-buckets; what is left are pairs of different components in a bucket, which are compared block
-against block inside tasks, each pair in the bucket of the first shingle it shares. Of those that
-share enough, one more look tells nearly all that are not alike: a bit for each of many cells, the
-parity of how many shingles fall in it. Two sets differ in no more bits than in shingles, so nothing
-is lost where too many bits differ. What is left leaves the task, to be verified on full sets.
+buckets; what is left are pairs of different components in a bucket, which are looked at block
+against block inside tasks. There nearly all that are not alike are told by a bit for each of many
+cells, the parity of how many shingles fall in it: two sets differ in no more bits than in shingles,
+so nothing is lost where too many bits differ. What is left leaves the task, once for each bucket it
+meets in; pairs that meet often enough are verified on full sets.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ COUNTERS, PIECE, LANES = 1 << 22, 1 << 16, 32
 MOST = 8
 #: Verifying a pair costs as much as this share of a set's size in places of prefix lists.
 CHECK = 0.05
-#: Bits of parity of a set.
-PARITY = 2048
+#: Bits of parity of a set of up to LARGE shingles; twice as many for each time it is twice as large.
+PARITY, LARGE = 2048, 2000
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
 
@@ -124,19 +124,37 @@ class Order:
 
 
 def prefixes(docs: DataFrame, size: int, order) -> DataFrame:
-    """node, n, m and `text`, n and the shingles of its prefix as bytes, for every document that has
-    some; written, so that texts are not read again."""
+    """node, n, m, `text` (n and the shingles of the prefix as bytes) and the parities `odd` and
+    `odd_next` (as in the next class of sizes; null if that is the same) for every document that has
+    shingles; written, so that texts are not read again."""
     def run(batches):
+        percent = order.value.percent
         for batch in batches:
             texts = texts_of(batch)
             for a, b in in_blocks(texts):
                 hashes, at = shingle_sets(texts[a:b], size)
                 tokens, begin, m, n = order.value.prefixes(hashes, at)
                 own, names = np.flatnonzero(n), fingerprints(hashes, at)
+                bits = [parity_bits(classes(n[own], percent) + k, percent) for k in (0, 1)]
+                sets = [hashes[at[i]:at[i + 1]] for i in own.tolist()]
                 yield {"node": [names[i] for i in own.tolist()], "n": n[own], "m": m[own],
-                       "text": [n[i].tobytes() + tokens[begin[i]:begin[i + 1]].tobytes() for i in own.tolist()]}
+                       "text": [n[i].tobytes() + tokens[begin[i]:begin[i + 1]].tobytes() for i in own.tolist()],
+                       "odd": [parity(x, k) for x, k in zip(sets, bits[0].tolist())],
+                       "odd_next": [None if k == j else parity(x, k) for x, j, k in zip(sets, *map(np.ndarray.tolist, bits))]}
 
-    return cut_lineage(arrow_map(text_rows(docs), run, "node binary, n long, m int, text binary"))
+    return cut_lineage(arrow_map(text_rows(docs), run, "node binary, n long, m int, text binary, odd binary, odd_next binary"))
+
+
+def parity_bits(own: np.ndarray, percent: int) -> np.ndarray:
+    """How many bits of parity sets of a class have."""
+    largest = np.exp((own + 1) * (np.log(100 / percent) + 1e-6))
+    return PARITY << np.maximum(0, np.ceil(np.log2(largest / LARGE))).astype(np.int64)
+
+
+def parity(hashes: np.ndarray, bits: int) -> bytes:
+    """Whether the number of shingles in each cell is odd."""
+    cells = (mix(hashes + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=bits) & 1).tobytes()
 
 
 def classes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -145,8 +163,8 @@ def classes(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / (np.log(100 / percent) + 1e-6)).astype(np.int64)
 
 
-def buckets(raw: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of `text`: the shingles, whose they are, and their buckets at home and on a visit."""
+def buckets(raw: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of `text`: for each shingle whose it is, and its buckets at home and on a visit."""
     whole = np.frombuffer(b"".join(raw), np.uint64)
     sizes = np.array([len(x) // 8 for x in raw], np.int64)
     first = np.cumsum(sizes) - sizes
@@ -155,105 +173,58 @@ def buckets(raw: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.
     who = np.repeat(np.arange(len(raw)), sizes)[is_token]
     tokens, own = whole[is_token], classes(whole[first].astype(np.int64), percent)[who].astype(np.uint64)
     home, visit = (mix(tokens + mix(own + np.uint64(k))) for k in (1, 2))
-    return tokens, who, home, visit
+    return who, home, visit
 
 
 def postings(held: DataFrame, bits, cells: int, percent: int) -> DataFrame:
-    """key (a bucket), token, is_home, node, n, m: the prefix shingles of nodes in buckets that more than
-    one document may be in."""
+    """key (a bucket), is_home, node, n, m: the buckets of nodes that more than one document may be in."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens, who, *keys = buckets(batch.column("text").to_pylist(), percent)
+            who, *keys = buckets(batch.column("text").to_pylist(), percent)
             for is_home, key in zip((True, False), keys):
                 own = np.flatnonzero(estimated_repeated(key, bits.value, cells))
-                yield {"key": key[own].view(np.int64), "token": tokens[own].view(np.int64), "is_home": [is_home] * len(own)} | {
+                yield {"key": key[own].view(np.int64), "is_home": [is_home] * len(own)} | {
                     c: batch.column(c).take(pa.array(who[own])) for c in ("node", "n", "m")}
 
     # Copies of a set give the same rows; they are combined before and after they are moved.
-    return arrow_map(held, run, "key long, token long, is_home boolean, node binary, n long, m int").distinct()
+    return arrow_map(held, run, "key long, is_home boolean, node binary, n long, m int").distinct()
 
 
-def parity(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each set, from at[i] to at[i + 1], whether the number of its shingles in a cell is odd, as bits."""
-    cell = (mix(hashes + np.uint64(77)) & np.uint64(PARITY - 1)).astype(np.int64)
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    odd = np.zeros((len(at) - 1, PARITY), np.uint8)
-    np.bitwise_xor.at(odd, (owner, cell), 1)
-    return np.packbits(odd, axis=1)
+def across(mixed: DataFrame, odds: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be alike and whose prefixes share enough.
 
-
-def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components whose prefixes share enough.
-
-    mixed has key, token, is_home, node, root, top (the component with most members in the bucket, whose members
-    need not be compared with each other) and size, that of the bucket. Members of a bucket are dealt
-    to blocks of some BLOCK; for each pair of blocks a part compares what is not `top` in either with
-    everything in the other.
+    mixed has key, is_home, node, n, m, root, top (the component with most members in the bucket,
+    whose members need not be compared with each other) and size, that of the bucket. Members of a
+    bucket are dealt to blocks of some BLOCK; for each pair of blocks a part compares what is not
+    `top` in either with everything in the other. odds has node, odd and odd_next.
     """
-    def cut(batches):
-        for batch in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
-            if sets:
-                at = np.r_[0, np.cumsum([len(s) for s in sets])]
-                whole = np.concatenate(sets)
-                tokens, begin, m, n = order.value.prefixes(whole, at)
-                yield {"node": batch.column("node"), "n": n, "m": m, "odd": [x.tobytes() for x in parity(whole, at)],
-                       "prefix": [tokens[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:])]}
-
-    cuts = arrow_map(held, cut, "node binary, n long, m int, odd binary, prefix binary")
     placed = (mixed.withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) AS int)"))
               .withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
               .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
               .withColumn("x", F.least("block", "other").cast("int")).withColumn("y", F.greatest("block", "other").cast("int")))
-    columns = ["key", "x", "y", "left", "node", "root", "usual", "n", "m", "prefix", "token", "is_home", "odd"]
-    rows = (placed.join(cuts, "node")
-            .select("key", "x", "y", F.expr("block = x").alias("left"), "node", "root", F.expr("root = top").alias("usual"),
-                    "n", "m", "prefix", "token", "is_home", "odd")
+    columns = ["key", "x", "y", "left", "is_home", "node", "root", "usual", "n", "m", "odd"]
+    rows = (placed.join(odds, "node")
+            .select("key", "x", "y", F.expr("block = x").alias("left"), "is_home", "node", "root", F.expr("root = top").alias("usual"),
+                    "n", "m", F.expr("CASE WHEN is_home THEN odd ELSE coalesce(odd_next, odd) END").alias("odd"))
             .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"))
 
     def compare(part):
         _, x, y = part[0][:3]
-        token, home = part[0][10], np.array([r[11] for r in part])
-        left, names = np.array([r[3] for r in part]), [r[4] for r in part]
-        numbers: dict[bytes, int] = {}
-        roots = np.array([numbers.setdefault(r[5], len(numbers)) for r in part])
-        usual, n, m = (np.array([r[k] for r in part]) for k in (6, 7, 8))
-        prefixes = [np.frombuffer(r[9], np.uint64) for r in part]
-        sizes = np.array([len(p) for p in prefixes])
-        who = np.repeat(np.arange(len(part)), sizes)
-        place = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        known, own = np.unique(np.concatenate(prefixes), return_inverse=True)
-        here = int(np.searchsorted(known, np.uint64(token & (2**64 - 1))))
-        starts = np.cumsum(sizes) - sizes
-        base = sizes - m
-        odd = np.frombuffer(b"".join([r[12] for r in part]), np.uint8).reshape(len(part), -1)
-        at = np.full(len(known), -1)
+        left, home, usual, n, m = (np.array([r[k] for r in part]) for k in (3, 4, 7, 8, 9))
+        names, numbers = [r[5] for r in part], {}
+        roots = np.array([numbers.setdefault(r[6], len(numbers)) for r in part])
+        odd = np.frombuffer(b"".join([r[10] for r in part]), np.uint8).reshape(len(part), -1)
         for u in np.flatnonzero(~usual).tolist():
-            allowed = (roots != roots[u]) & (usual | (np.arange(len(part)) < u))
+            # Each pair once: with the usual ones, and of two others from the later one; visitors meet at home.
+            allowed = (roots != roots[u]) & (usual | (np.arange(len(part)) < u)) & (home | home[u])
             if x != y:
                 allowed &= left != left[u]
-            allowed &= home | home[u]  # two visitors meet at home
-            allowed &= 100 * np.minimum(n, n[u]) >= percent * np.maximum(n, n[u])
-            if not allowed.any():
-                continue
-            mine = own[starts[u]:starts[u] + sizes[u]]
-            at[mine] = np.arange(sizes[u])
-            hit = np.flatnonzero((at[own] >= 0) & allowed[who])
-            v = who[hit]
-            fewer = np.minimum(m[u], m[v])
-            hit = hit[(at[own[hit]] < base[u] + fewer) & (place[hit] < base[v] + fewer)]
-            v = who[hit]
-            shared = np.bincount(v, minlength=len(part))
-            first = np.full(len(part), len(who))
-            np.minimum.at(first, v, at[own[hit]])
-            enough = np.flatnonzero((shared > 0) & (shared >= np.minimum(m, m[u])) & (first == at[here]))
-            at[mine] = -1
-            differ = np.bitwise_count(odd[enough] ^ odd[u]).sum(1, dtype=np.int64)
-            enough = enough[differ * (100 + percent) <= (n[enough] + n[u]) * (100 - percent)]
-            for w in enough.tolist():
-                yield (names[u], names[w]) if names[u] < names[w] else (names[w], names[u])
+            others = np.flatnonzero(allowed & (100 * np.minimum(n, n[u]) >= percent * np.maximum(n, n[u])))
+            differ = np.bitwise_count(odd[others] ^ odd[u]).sum(1, dtype=np.int64)
+            for v in others[differ * (100 + percent) <= (n[others] + n[u]) * (100 - percent)].tolist():
+                yield min(names[u], names[v]), max(names[u], names[v]), int(min(m[u], m[v]))
 
     def run(batches):
         part: list[tuple] = []
@@ -264,11 +235,12 @@ def across(mixed: DataFrame, held: DataFrame, order, percent: int) -> DataFrame:
                     found += compare(part)
                     part = []
                 part.append(row)
-            yield {"a": [p for p, _ in found], "b": [q for _, q in found]}
+            yield {"a": [r[0] for r in found], "b": [r[1] for r in found], "least": [r[2] for r in found]}
         found = list(compare(part)) if part else []
-        yield {"a": [p for p, _ in found], "b": [q for _, q in found]}
+        yield {"a": [r[0] for r in found], "b": [r[1] for r in found], "least": [r[2] for r in found]}
 
-    return arrow_map(rows, run, "a binary, b binary")
+    met = arrow_map(rows, run, "a binary, b binary, least int")
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
 def stars(members: DataFrame, percent: int) -> DataFrame:
@@ -293,10 +265,9 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     nodes = cut_lineage(made.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     order = spark.sparkContext.broadcast(Order(held_in, percent))
 
-    held = prefixes(docs, size, order)
-    bits = spark.sparkContext.broadcast(repeated_cells(held, lambda texts: np.concatenate(buckets(texts, percent)[2:]), cells))
-    placed = cut_lineage(postings(held, bits, cells, percent))
-    forget(held)
+    begun = prefixes(docs, size, order)
+    bits = spark.sparkContext.broadcast(repeated_cells(begun, lambda texts: np.concatenate(buckets(texts, percent)[1:]), cells))
+    placed = cut_lineage(postings(begun, bits, cells, percent))
     members = cut_lineage(placed.join(placed.groupBy("key").agg(F.count("*").alias("size"), F.max("is_home").alias("some")).filter("size > 1 AND some").drop("some"), "key"))
     forget(placed)
 
@@ -308,7 +279,7 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     # Pairs of one bucket that no link has joined yet.
     edges = components(links)
     told = cut_lineage(members.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-                       .select("key", "token", "is_home", "node", "size", F.coalesce("root", "node").alias("root")))
+                       .select("key", "is_home", "node", "n", "m", "size", F.coalesce("root", "node").alias("root")))
     forget(members, edges)
     top = (told.groupBy("key", "root").agg(F.count("*").alias("k"))
            .groupBy("key").agg(F.max(F.struct("k", "root")).alias("best"), F.count("*").alias("n_roots"))
@@ -316,9 +287,11 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     mixed = cut_lineage(told.join(top, "key"))
     del top
     forget(told)
-    held = full_sets(mixed.select("node").distinct(), nodes, docs, size)
-    pairs = cut_lineage(across(mixed, held, order, percent))
-    forget(mixed)
+    odds = begun.select("node", "odd", "odd_next").join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    pairs = cut_lineage(across(mixed, odds, percent))
+    del odds
+    forget(mixed, begun)
+    held = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs, size)
     all_links = cut_lineage(links.union(verified(pairs, held, percent)))
     forget(held, nodes, pairs, links)
     edges = components(all_links)

@@ -39,11 +39,17 @@ def test_prefixes_share_enough(common, less, more, counts, percent):
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 2**63), min_size=1), st.sets(st.integers(0, 2**63)))
 def test_parity_never_tells_too_much(x, y):
-    both = np.array(sorted(x) + sorted(y), np.uint64)
-    odd = ngram_join.parity(both, np.array([0, len(x), len(x) + len(y)]))
+    odd = [np.frombuffer(ngram_join.parity(np.array(sorted(s), np.uint64), 64), np.uint8) for s in (x, y)]
     assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(x ^ y)
 
 
+def test_parity_of_large_sets():
+    """Bits grow with the sets, and stay several times the number that alike ones may differ in."""
+    n = np.array([1, 10, 1000, 2000, 5000, 40_000, 10**6])
+    bits = ngram_join.parity_bits(ngram_join.classes(n, 85), 85)
+    assert (np.diff(bits) >= 0).all() and (bits >= ngram_join.PARITY).all() and (bits >= 5 * 0.0811 * 2 * n).all()
+
+
 def test_prefix_of_common_shingles_is_longer():
     """A set that many others would meet asks for more shared shingles; a rare one for one."""
     held = np.ones(1 << 10, np.uint32)
