@@ -29,8 +29,9 @@ STEPS = (2, 3, 4, 5, 6)
 LEVEL = 9
 #: Sizes of the dictionaries, and how many windows the ordinary one is trained on.
 TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 4000, 16000, 30_000
-#: Share of the toxic windows that may be there by chance.
-FALSE_SHARE = 0.01
+#: Share of the toxic windows that may be there by chance. With few labels nothing may be as sure:
+#: then the next share holds.
+FALSE_SHARES = (0.01, 0.1, 1.0)
 #: Words of more bytes are read in ranges of RANGE bytes, one from each character on.
 LONG, RANGE = 48, 9
 
@@ -70,19 +71,24 @@ def surprise(bad: np.ndarray, usual: np.ndarray, n_bad: int, n_usual: int) -> np
     return np.array([made[k] for k in zip(bad.tolist(), usual.tolist())])
 
 
-def telling(marks: dict, bad: Counter, usual: Counter, n_bad: int, n_usual: int, false: float = FALSE_SHARE) -> list:
+def telling(marks: dict, bad: Counter, usual: Counter, n_bad: int, n_usual: int, shares: tuple[float, ...] = FALSE_SHARES) -> list:
     """Those of marks (their number of toxic documents by mark) that tell toxic documents, surest first.
 
     A mark counts if its share of toxic documents is 1.5 times that of ordinary ones or more, and if
-    it passes the procedure of Benjamini and Hochberg: among all that pass, a share of `false` is
-    expected to be there by chance, however many were looked at.
+    it passes the procedure of Benjamini and Hochberg: among all that pass, at most the first of
+    `shares` is expected to be there by chance, however many were looked at; the next of them where
+    none passes.
     """
     names = sorted(marks)
     a, b = (np.fromiter((c[w] for w in names), np.int64, len(names)) for c in (bad, usual))
     p = surprise(a, b, n_bad, n_usual)
     order = np.lexsort((-a, p))
-    passed = np.flatnonzero(p[order] <= false * np.arange(1, len(names) + 1) / max(1, len(names)))
-    sure = order[:passed[-1] + 1] if len(passed) else order[:0]
+    sure = order[:0]
+    for share in shares:
+        passed = np.flatnonzero(p[order] <= share * np.arange(1, len(names) + 1) / max(1, len(names)))
+        if len(passed):
+            sure = order[:passed[-1] + 1]
+            break
     often = (a + 0.5) / (n_bad + 1) >= 1.5 * (b + 0.5) / (n_usual + 1)
     return [names[i] for i in sure.tolist() if often[i]]
 
@@ -117,7 +123,7 @@ def train_dictionaries(texts: list[bytes], toxic: list[int], sizes: tuple[int, i
         if kind:
             for p in [p for p in pairs[1] if p[0] in single or p[1] in single]:
                 del pairs[1][p]
-    told = telling(pairs[1], *pairs[::-1], n[1], n[0])
+    told = telling(pairs[1], *pairs[::-1], n[1], n[0], FALSE_SHARES[:1])
     heads: dict[bytes, set[bytes]] = {}
     for first, second in told:
         heads.setdefault(first, set()).add(second)
