@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domgrove.functions.attributes import attribute
 from domgrove.operators import conditions as C
 from domgrove.operators.outline import outline
 from domgrove.operators.search import search
