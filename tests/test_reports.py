@@ -17,7 +17,7 @@ from domgrove.plans.reports import coverage, enrich, not_found
 from domgrove.plans.queries import QUERIES
 from domgrove.plans.rules import PRESETS, Rule, Step, check_rules, rule, rules_from_table, run_rules
 from domgrove.plans.workspace import pages_of
-from domgrove.sources.pages import read_html_files, read_pages, repeated_ids, split_pages, without_repeated
+from domgrove.sources.pages import read_html_files, read_pages, repeated_ids, split_by_ids, split_pages, without_repeated
 from domgrove.sources.tables import load_nodes, save_nodes, save_pages, write_results
 from domgrove.streaming.run import run_stream, stream_results
 
@@ -196,6 +196,16 @@ def test_id_check_ways(spark):
     assert counted(pages.filter("false")) == ([], None)
 
 
+@pytest.mark.parametrize("few", [0, 1, 100])
+def test_split_by_ids(spark, few):
+    rows = spark.range(50).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("h").alias("html"))
+    ids = spark.createDataFrame([(3,), (7,), (99,)], "page_id long")
+    others, among = split_by_ids(rows, ids, few)
+    assert sorted(r.page_id for r in among.collect()) == [3, 7]
+    assert sorted(r.page_id for r in others.collect()) == [i for i in range(50) if i not in (3, 7)]
+    assert others.columns == among.columns == rows.columns
+
+
 def test_only_valid_pages_repeat(spark):
     """A page stays if the other rows of its id cannot be worked on; rows without id are told apart."""
     rows = [(1, "https://a", "x"), (1, "https://a", None), (1, "", "y"), (2, "https://b", "x"), (2, "https://c", "x"),
