@@ -36,6 +36,9 @@ from domgrove.llm.substring import estimated_repeated, repeated_cells
 from domgrove.llm.text import in_blocks
 from domgrove.sources.tables import cut_lineage, forget
 
+#: Rows of the sketch that keeps back buckets of one document.
+SKETCH_ROWS = 3
+POSTING = "key long, is_home boolean, node binary, n long, m int"
 #: Counters of shingles (16 MB as they are broadcast), and how many are merged at a time.
 COUNTERS, PIECE, LANES = 1 << 22, 1 << 16, 32
 #: The longest prefix that is tried shares so many shingles.
@@ -177,7 +180,7 @@ def buckets(raw: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def postings(held: DataFrame, bits, cells: int, percent: int) -> DataFrame:
-    """key (a bucket), is_home, node, n, m: the buckets of nodes that more than one document may be in."""
+    """key (a bucket), is_home, node, n, m: the buckets of nodes that other nodes are in, too."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -188,8 +191,38 @@ def postings(held: DataFrame, bits, cells: int, percent: int) -> DataFrame:
                 yield {"key": key[own].view(np.int64), "is_home": [is_home] * len(own)} | {
                     c: batch.column(c).take(pa.array(who[own])) for c in ("node", "n", "m")}
 
-    # Copies of a set give the same rows; they are combined before and after they are moved.
-    return arrow_map(held, run, "key long, is_home boolean, node binary, n long, m int").distinct()
+    return in_company(arrow_map(held, run, POSTING))
+
+
+def in_company(rows: DataFrame) -> DataFrame:
+    """Rows of POSTING whose key several nodes have, each node of a key once.
+
+    They are moved once. In each task they come sorted; a row is held back until the next one tells
+    whether its key has another node, so no bucket is held, however large.
+    """
+    def run(batches):
+        held, last = None, (None, None)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            key = rows.column("key").to_numpy()
+            name = np.frombuffer(b"".join(rows.column("node").to_pylist()), np.uint64).reshape(-1, 2)
+            again = np.r_[(key[0], name[0].tobytes()) == last, (key[1:] == key[:-1]) & (name[1:] == name[:-1]).all(1)]
+            own = np.flatnonzero(~again)
+            if not len(own):
+                continue
+            key = key[own]
+            before = np.r_[last[0] == key[0], key[1:] == key[:-1]]
+            keep = before | np.r_[before[1:], False]
+            at = int(own[-1])
+            held = None if before[-1] else rows.slice(at, 1).to_batches()[0]
+            if held is None:
+                last = (key[-1], name[at].tobytes())
+            taken = rows.take(pa.array(own[keep]))
+            yield {c: taken.column(c) for c in taken.column_names}
+
+    return arrow_map(rows.repartition("key").sortWithinPartitions("key", "node"), run, POSTING)
 
 
 def across(mixed: DataFrame, odds: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +299,7 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     order = spark.sparkContext.broadcast(Order(held_in, percent))
 
     begun = prefixes(docs, size, order)
-    bits = spark.sparkContext.broadcast(repeated_cells(begun, lambda texts: np.concatenate(buckets(texts, percent)[1:]), cells))
+    bits = spark.sparkContext.broadcast(repeated_cells(begun, lambda texts: np.concatenate(buckets(texts, percent)[1:]), cells, SKETCH_ROWS))
     placed = cut_lineage(postings(begun, bits, cells, percent))
     members = cut_lineage(placed.join(placed.groupBy("key").agg(F.count("*").alias("size"), F.max("is_home").alias("some")).filter("size > 1 AND some").drop("some"), "key"))
     forget(placed)

@@ -68,6 +68,23 @@ def test_classes_of_sizes(percent):
         assert np.abs(ngram_join.classes(alike, percent) - ngram_join.classes(np.array([size]), percent)).max() <= 1
 
 
+def test_in_company(spark):
+    """Copies count once, and groups that end with a batch or reach over several are told right."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), bool(k % 2), bytes([int(v)]) * 16, 5, 1) for k, v in zip(rng.integers(0, 60, 150), rng.integers(0, 4, 150))]
+    rows += [(100, True, bytes([9]) * 16, 5, 1)] * 40 + [(101, True, bytes([i]) * 16, 5, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, ngram_join.POSTING).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = [(r.key, bytes(r.node)) for r in ngram_join.in_company(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nodes = {}
+    for k, _, name, _, _ in rows:
+        nodes.setdefault(k, set()).add(name)
+    assert sorted(found) == sorted((k, name) for k, own in nodes.items() if len(own) > 1 for name in own)
+
+
 def test_edits(spark, small, few_cells):
     items = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
     long = [t for _, t in items if len(t.split()) > 150][:6]
