@@ -93,16 +93,30 @@ def _ties(same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[False, same] | np.r_[same, False]) if len(same) else np.zeros(0, np.int64)
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes, in the order of their first `depth` bytes at least."""
+def chained(wanted: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """The wanted places and those that their order follows from: the places behind each, as far as
+    the first suffix that is smaller than its next."""
+    at = np.arange(len(wanted))
+    last_wanted = np.maximum.accumulate(np.where(wanted, at, -1))
+    last_small = np.r_[-1, np.maximum.accumulate(np.where(small, at, -1))[:-1]]
+    return last_wanted > last_small
+
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of all suffixes, in the order of their first `depth` bytes at least.
+
+    With `wanted` (a mask) only those and the few that their order follows from are sorted.
+    """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     small = smaller_than_next(text)
-    direct = sort_directly(eight(text), np.flatnonzero(small), depth)
+    needed = np.ones(n, bool) if wanted is None else chained(wanted, small)
+    direct = sort_directly(eight(text), np.flatnonzero(small & needed), depth)
     bounds = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))
+    if needed[n - 1]:
+        waiting[text[n - 1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
         parts = []
@@ -110,12 +124,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         while len(wave):  # places before those just found may belong to this very bucket
             parts.append(wave)
             wave = wave[wave > 0] - 1
-            wave = wave[text[wave] == c]
+            wave = wave[(text[wave] == c) & needed[wave]]
         parts.append(direct[bounds[c]:bounds[c + 1]])
         bucket = np.concatenate(parts)
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[text[before] > c]
+        before = before[(text[before] > c) & needed[before]]
         if len(before):
             kind = text[before]
             by = np.argsort(kind, kind="stable")
@@ -139,8 +153,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
         differ = np.where(ok, words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)], U(2**63))
         # Leading zero bytes of the difference.
         same = np.full(len(open_), 8)
-        for j in range(7, -1, -1):
-            same[(differ >> U(56 - 8 * j) & U(255)) != 0] = j
+        unlike = np.flatnonzero(differ)
+        rest = np.zeros(len(unlike), np.int64)
+        for j in range(1, 8):
+            rest += differ[unlike] >> U(64 - 8 * j) == 0
+        same[unlike] = rest
         out[open_] += same
         open_ = open_[same == 8]
     return np.minimum(out, depth)
@@ -153,8 +170,10 @@ def first_strings(segments: list[bytes], places: np.ndarray, starts: np.ndarray,
     begins = np.cumsum(lengths + 1) - lengths - 1
     owner = np.repeat(np.arange(len(segments)), lengths + 1)
     offset = np.arange(len(text)) - begins[owner]
-    order = suffix_array(text, size)
-    order = order[offset[order] + size <= lengths[owner[order]]]
+    # The last bytes of a segment begin no string: they are sorted as far as others follow from them.
+    begins_string = offset + size <= lengths[owner]
+    order = suffix_array(text, size, begins_string)
+    order = order[begins_string[order]]
     shared = common_prefixes(text, order, size)
     kind = np.cumsum(shared < size)
     own = owner[order]

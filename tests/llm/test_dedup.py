@@ -31,6 +31,18 @@ def test_suffix_array(text, depth):
         assert n == k
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.booleans()), min_size=1, max_size=200), st.sampled_from([16, 208]))
+def test_suffix_array_of_some(places, depth):
+    """Wanted suffixes come in the order that they have among all."""
+    data = np.frombuffer("".join(c for c, _ in places).encode(), np.uint8)
+    wanted = np.array([w for _, w in places])
+    raw = data.tobytes()
+    made = [i for i in suffixes.suffix_array(data, depth, wanted).tolist() if wanted[i]]
+    assert sorted(made) == np.flatnonzero(wanted).tolist()
+    assert all(raw[a:a + depth] <= raw[b:b + depth] for a, b in zip(made, made[1:]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=6, max_size=40), min_size=1, max_size=6))
 def test_first_strings(texts):
