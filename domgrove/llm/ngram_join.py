@@ -294,13 +294,16 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     written, for the caller to `forget`."""
     spark = docs.sparkSession
     rows, held_in = counted(docs, size)
-    made = rows.filter("piece IS NULL").select("doc_id", "n_shingles", "node")
+    made = cut_lineage(rows.filter("piece IS NULL").select("doc_id", "n_shingles", "node"))
+    forget(rows)
     nodes = cut_lineage(made.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     order = spark.sparkContext.broadcast(Order(held_in, percent))
 
     begun = prefixes(docs, size, order)
     bits = spark.sparkContext.broadcast(repeated_cells(begun, lambda texts: np.concatenate(buckets(texts, percent)[1:]), cells, SKETCH_ROWS))
     placed = cut_lineage(postings(begun, bits, cells, percent))
+    odds = cut_lineage(begun.select("node", "odd", "odd_next").dropDuplicates(["node"]))
+    forget(begun)
     members = cut_lineage(placed.join(placed.groupBy("key").agg(F.count("*").alias("size"), F.max("is_home").alias("some")).filter("size > 1 AND some").drop("some"), "key"))
     forget(placed)
 
@@ -320,17 +323,15 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     mixed = cut_lineage(told.join(top, "key"))
     del top
     forget(told)
-    odds = begun.select("node", "odd", "odd_next").join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    pairs = cut_lineage(across(mixed, odds, percent))
-    del odds
-    forget(mixed, begun)
+    pairs = cut_lineage(across(mixed, odds.join(mixed.select("node").distinct(), "node", "left_semi"), percent))
+    forget(mixed, odds)
     held = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs, size)
     all_links = cut_lineage(links.union(verified(pairs, held, percent)))
     forget(held, nodes, pairs, links)
     edges = components(all_links)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = cut_lineage(made.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root")))
-    forget(all_links, edges, rows)
+    forget(all_links, edges, made)
     order.unpersist()
     bits.unpersist()
     return out
