@@ -30,9 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domgrove.llm.common import arrow_map, shared_folder, texts_of
+from domgrove.llm.common import arrow_map, mix, shared_folder, texts_of
 from domgrove.llm.substring import CELLS, estimated_repeated, keyed, repeated_cells
-from domgrove.llm.text import covered, in_blocks, prefix, range_hash
+from domgrove.llm.text import covered, in_blocks, prefix
 
 U = np.uint64
 SIZE, GRAM = 100, 32
@@ -203,8 +203,9 @@ def anchored(texts: list[bytes], size: int, gram: int):
     n = len(raw) - size + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, U), np.zeros(0, bool), begins
-    at = np.arange(len(raw) - gram + 1)
-    runs = range_hash(prefix(np.frombuffer(raw, np.uint8).astype(U) + U(1), 0), at, at + gram)
+    # range_hash of every gram bytes that follow each other, without looking places up.
+    sums, down = prefix(np.frombuffer(raw, np.uint8).astype(U) + U(1), 0)
+    runs = mix((sums[gram:] - sums[:-gram]) * down[:len(raw) - gram + 1] + U(gram))
     least = doubled(runs, size - gram + 1, np.minimum)
     change = np.zeros(n + 1, np.int32)
     whole = lengths >= size
