@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -302,6 +303,35 @@ def test_quality_verdicts(spark):
     assert len(rows) == docs.count() and np.mean(right) > 0.95
 
 
+def test_forest_is_fitted_on_all_labelled_rows(spark):
+    # Bad rows stand behind the first 20,000 in the order of the hash, which once were all that counted.
+    order = W.partitionBy().orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = (spark.range(21_000).withColumnRenamed("id", "doc_id").withColumn("place", F.row_number().over(order))
+            .withColumn("quality", (F.col("place") <= 20_500).cast("int"))
+            .selectExpr("doc_id", "quality", "60 + doc_id % 300 AS n_words", "5 * n_words + doc_id % 7 AS word_chars",
+                        "IF(quality = 1, doc_id % 2, n_words + doc_id % 50) AS n_symbols", "0L AS n_dup_lines",
+                        "doc_id % 3 AS n_repeat_words", "3L AS n_lines").coalesce(4).persist())
+    labels = rows.select("doc_id", "quality")
+    forest = quality_rules.fit(rows.drop("quality"), labels)
+    local = rows.toPandas()
+    known = quality_rules.features({c: local[c].to_numpy() for c in quality_rules.COUNTS})
+    good, bad = known[local.quality == 1], known[local.quality == 0]
+    # Weights and threshold are those of all rows.
+    under = [np.mean(np.searchsorted(np.sort(g), b, "left") + np.searchsorted(np.sort(g), b, "right")) / len(g)
+             for g, b in zip(good.T, bad.T)]
+    assert np.allclose(quality_rules.separation(rows, len(good), len(bad)), 0.02 + (np.array(under) - 1) ** 2)
+    high, low = np.sort(forest.scores(good)), np.sort(forest.scores(bad))
+    marks = np.unique(np.r_[high, low])
+    gain = 2 * len(bad) * np.searchsorted(high, marks) - len(good) * np.searchsorted(low, marks)
+    best = int(np.argmax(gain))
+    assert forest.threshold == (marks[best] + marks[max(0, best - 1)]) / 2
+    assert (low >= forest.threshold).mean() > 0.9 and (high >= forest.threshold).mean() < 0.1
+    # Every tree has rows of its own, of both parts.
+    drawn = quality_rules.draw(rows, 21_000, 5, 512).to_pandas()
+    assert (drawn.groupby("tree").size() == 512).all()
+    assert len(quality_rules.draw(rows.limit(1).crossJoin(spark.range(3000)), 3000, 2, 512)) == 1024
+
+
 def test_classifier_edges(edges, empty, labels):
     rows = quality_classifier.judge(edges, labels).collect()
     assert len(rows) == edges.count() and all(0 <= r.score <= 1 for r in rows)
