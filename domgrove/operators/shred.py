@@ -247,6 +247,10 @@ def _end_items(tags: DataFrame) -> DataFrame:
     )
 
 
+#: Of all pages that a task shreds: so many characters of html and so many "<", of which a tag has one
+#: or two. A tag takes a row of some hundred bytes in each of the sorts of a shred.
+SHARE_CHARS, SHARE_TAGS = 8_000_000, 200_000
+
 #: Rows of a block that are folded at a time: what a fold carries is copied for every row.
 CHUNK = 512
 
@@ -431,19 +435,36 @@ def _with_depth(nodes: DataFrame) -> DataFrame:
     )
 
 
+def partitions_for(pages: DataFrame) -> int | None:
+    """Into how many parts pages are to be dealt, so that the memory of a task does not grow with their
+    number: as many as SHARE_CHARS and SHARE_TAGS ask for, and one for each core if the session has that
+    many. None where one is enough: then the session's number will do, whatever Spark makes of it.
+
+    Pages are read for that, in a job of its own. Their sizes on disk would not tell: html that repeats
+    takes little there.
+    """
+    html = F.col("html")
+    chars, tags = pages.agg(
+        F.sum(F.length(html)), F.sum(F.length(html) - F.length(F.replace(html, F.lit("<"), F.lit(""))))).first()
+    needed = max(-(-(chars or 0) // SHARE_CHARS), -(-(tags or 0) // SHARE_TAGS))
+    spark = pages.sparkSession
+    cores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(needed, cores) if needed > 1 else None
+
+
 def shred(pages: DataFrame, partitions: int | None = None, clustered: bool = False) -> DataFrame:
     """One row per element of every page; see the README for the columns.
 
     `pages` needs page_id (unique: see split_pages), and html (not null). They are moved once, to
-    `partitions` or as many as spark.sql.shuffle.partitions says; some 256 MB of html each are
-    right. `clustered` tells that they come from a table bucketed by page_id: then they are worked
-    on where they are.
+    `partitions` or as many as `partitions_for` finds. `clustered` tells that they come from a table
+    bucketed by page_id: then they are worked on where they are.
     """
     pages = pages.select("page_id", "html")
     if clustered:
         spread = pages
     else:
-        spread = pages.repartition(*[n for n in [partitions] if n], "page_id")
+        # With a number given, Spark does not put parts together again by what they take when packed.
+        spread = pages.repartition(*[n for n in [partitions or partitions_for(pages)] if n], "page_id")
     found = _gather(_end_inline(_end_items(_scope_by_container(_pair_containers(_tags(spread))))))
     siblings = W.partitionBy("page_id", "parent_id")
     same_tag = W.partitionBy("page_id", "parent_id", "tag")

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from domgrove.operators.shred import open_tags, shred
+from domgrove.operators import shred as shredding
+from domgrove.operators.shred import open_tags, partitions_for, shred
 from domgrove.plans.reports import clipped, nesting
 
 # name: (page, expected tree below body or html as nested text)
@@ -294,3 +295,21 @@ def test_random_markup_nests(spark, make_pages, mix):
             up = (row.page_id, row.parent_id)
             total[up] = total.get(up, 0) + total[key]
         assert pages[row.page_id][row.off:row.off + row.len].count("x") == total[key]
+
+
+def test_tasks_take_so_many_tags_at_most(make_pages, monkeypatch):
+    # Once Spark put parts together by what they take when packed: these pages pack to next to nothing.
+    pages = make_pages([f"<p>{k}" + "<b>x</b><i>y" * 50 for k in range(60)])
+    assert partitions_for(pages) is None and partitions_for(make_pages([""])) is None
+    whole = sorted(map(str, shred(pages).drop("attr").collect()))
+    chars, tags = (sum(part(r.html) for r in pages.collect()) for part in (len, lambda html: html.count("<")))
+    for share, total in (("SHARE_TAGS", tags), ("SHARE_CHARS", chars)):
+        with monkeypatch.context() as patch:
+            patch.setattr(shredding, share, total // 20)
+            assert partitions_for(pages) in (20, 21)
+            nodes = shred(pages)
+            assert nodes.rdd.getNumPartitions() == partitions_for(pages)
+            assert sorted(map(str, nodes.drop("attr").collect())) == whole
+            # At least one for each core.
+            patch.setattr(shredding, share, total - 1)
+            assert partitions_for(pages) == 4
