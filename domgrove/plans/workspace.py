@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from domgrove.operators.shred import shred
+from domgrove.operators.shred import partitions_for, shred
 from domgrove.session import configure
 from domgrove.sources.pages import read_pages
 from domgrove.sources.tables import load_nodes, remove_folder, save_nodes, save_pages
@@ -31,7 +31,7 @@ def _made(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[
         pages = pages_of(spark, folder)
         shared = shared_folder(spark)
         if shared:
-            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            buckets = partitions_for(pages) or int(spark.conf.get("spark.sql.shuffle.partitions"))
             names = [f"{kind}_{uuid4().hex}" for kind in ("pages", "nodes")]
             save_pages(pages, names[0], f"{shared}/{names[0]}", buckets)
             pages = spark.table(names[0])

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from domgrove.operators import shred as shredding
 from domgrove.plans import workspace
 from domgrove.plans.queries import QUERIES
 
@@ -49,3 +50,15 @@ def test_release(spark, shared):
     workspace.release(spark)
     assert not any(n.startswith(("nodes_", "pages_")) for n in os.listdir(shared))
     assert saved_tables(spark) == before
+
+
+def test_buckets_grow_with_the_pages(spark, shared, monkeypatch):
+    # Once there were as many as the session has partitions, whatever the pages take.
+    pages = workspace.pages_of(spark, FOLDER)
+    total = sum(len(r.html) for r in pages.collect())
+    monkeypatch.setattr(shredding, "SHARE_CHARS", total // 40)
+    wanted = shredding.partitions_for(pages)
+    assert wanted >= 40 and workspace.nodes_of(spark, FOLDER).count() > 0
+    for name in workspace._tables[(spark.sparkContext.applicationId, FOLDER)][2]:
+        described = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'")
+        assert described.first().data_type == str(wanted)
