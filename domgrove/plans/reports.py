@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from domgrove.functions import reports as R
@@ -40,10 +41,14 @@ def enrich(results: DataFrame) -> DataFrame:
 def clipped(nodes: DataFrame) -> DataFrame:
     """Elements that the end tag of another one cut short, because the two crossed: page_id, node_id,
     tag, end_pos, clipped_by and clipped_by_tag, the element whose end tag it was."""
-    cut = nodes.filter("clipped_by IS NOT NULL").select("page_id", "node_id", "tag", "end_pos", "clipped_by")
-    by = nodes.select("page_id", F.col("node_id").alias("clipped_by"), F.col("tag").alias("clipped_by_tag"))
-    return cut.join(by, ["page_id", "clipped_by"]).select(
-        "page_id", "node_id", "tag", "end_pos", "clipped_by", "clipped_by_tag")
+    # Every element stands at its own place, and once more beside the one that cut it short.
+    places = F.array_compact(F.array(
+        F.struct(F.col("node_id").alias("at"), F.lit(False).alias("is_cut")),
+        F.when(F.col("clipped_by").isNotNull(), F.struct(F.col("clipped_by").alias("at"), F.lit(True).alias("is_cut")))))
+    by = F.max(F.when(~F.col("is_cut"), F.col("tag"))).over(W.partitionBy("page_id", "at"))
+    return (nodes.select("page_id", "node_id", "tag", "end_pos", "clipped_by", F.explode(places).alias("place"))
+            .select("*", "place.*").withColumn("clipped_by_tag", by).filter("is_cut AND clipped_by_tag IS NOT NULL")
+            .select("page_id", "node_id", "tag", "end_pos", "clipped_by", "clipped_by_tag"))
 
 
 def nesting(nodes: DataFrame) -> DataFrame:
