@@ -13,7 +13,7 @@ from domgrove.operators.search import search
 from domgrove.operators.selection import Selection
 from domgrove.operators.selectors import selectors
 from domgrove.operators.shred import shred
-from domgrove.plans.reports import coverage, enrich, not_found
+from domgrove.plans.reports import clipped, coverage, enrich, not_found
 from domgrove.plans.queries import QUERIES
 from domgrove.plans.rules import PRESETS, Rule, Step, check_rules, rule, rules_from_table, run_rules
 from domgrove.plans.workspace import pages_of
@@ -444,3 +444,35 @@ def test_ids_across_batches(spark, tmp_path, way, remember):
     }[way, remember]
     assert run("state1") == (results, sorted(rejects))
     assert run("state2") == (results, sorted(rejects))
+
+
+def test_steps_shred_once(make_pages):
+    """Steps, bases of links and clipped elements need no second shred of pages that are not saved."""
+    pages = make_pages(["<base href=/a/><base href=/b/><ul><li><a href=x>1</a><li><b><i><a href=y>2</b>3</i></ul>",
+                        "<ul><li><a>4</a><ol><li><a href=z>5</ol></ul>"])
+    nodes = shred(pages, 2)
+    start = Selection(nodes, pages)
+    items = start.child("html").child("body").child("ul").child("li")
+    asked = {
+        "child": (items.child("a").attr("href"), [(0, 1, "x"), (1, 1, "")]),
+        "descendant": (items.descendant("a").attr("href"), [(0, 1, "x"), (0, 2, "y"), (1, 1, ""), (1, 2, "z")]),
+        "links": (items.descendant("a").abs_attr("href"), [
+            (0, 1, "https://site.example/a/x"), (0, 2, "https://site.example/a/y"), (1, 1, ""), (1, 2, "https://site.example/dir/z")]),
+        "where": (start.where("depth = 0").descendant("li").where("sib_pos = 1").child("a").text(), [(0, 1, "1"), (1, 1, "4"), (1, 2, "5")]),
+    }
+    for name, (found, expected) in asked.items():
+        assert found._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(html") == 1, name
+        assert sorted(map(tuple, found.select("page_id", "idx", "value").collect())) == expected, name
+    cut = clipped(nodes)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(html") == 1
+    assert [(r.page_id, r.tag, r.clipped_by_tag) for r in cut.collect()] == [(0, "i", "b")]
+
+
+def test_steps_from_repeated_elements(make_pages):
+    """What is below elements that stand several times is found once."""
+    pages = make_pages(["<div><p><b>1</b></p><p><b>2</b></p></div>"])
+    parents = Selection(shred(pages, 2).persist(), pages).descendant("p").parent(keep_duplicates=True)
+    assert [r.tag for r in parents.nodes().collect()] == ["div", "div"]
+    assert parents.child("p").nodes().count() == 2
+    assert sorted(r.value for r in parents.descendant("b").text().collect()) == ["1", "2"]
+    assert sorted(r.tag for r in parents.where("tag = 'div'").child().child("b").parent().nodes().collect()) == ["p", "p"]
