@@ -55,6 +55,19 @@ def anchors_seen(texts: list[bytes], size: int) -> np.ndarray:
     return runs[np.unique(anchors)]
 
 
+def packed_cells(own: np.ndarray, twice: np.ndarray, n_cells: int) -> bytes:
+    """Cells in ascending order and whether they counted twice: two bytes for each, behind the number
+    of them in each run of 32,768 cells."""
+    sizes = np.bincount(own >> 15, minlength=max(1, n_cells >> 15))
+    return sizes.astype("<u4").tobytes() + ((own & 0x7FFF) * 2 + twice).astype("<u2").tobytes()
+
+
+def unpacked_cells(used: bytes, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
+    n = max(1, n_cells >> 15)
+    sizes, coded = np.frombuffer(used, "<u4", n), np.frombuffer(used, "<u2", offset=4 * n)
+    return (coded >> 1) + np.repeat(np.arange(n) << 15, sizes), (coded & 1).astype(np.uint8)
+
+
 def repeated_cells(docs: DataFrame, seen_in: Callable[[list[bytes]], np.ndarray], cells: int = CELLS,
                    n_rows: int = ROWS) -> list[np.ndarray]:
     """For each row of the sketch the bits of cells that the hashes seen in texts count twice or
@@ -76,16 +89,15 @@ def repeated_cells(docs: DataFrame, seen_in: Callable[[list[bytes]], np.ndarray]
                 own = np.flatnonzero(part)
                 if len(own):
                     yield {"block": [row * cells // small + at // small],
-                           "used": [(own * 2 + (part[own] > 1)).astype("<u4").tobytes()]}
+                           "used": [packed_cells(own, part[own] > 1, small)]}
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, used in zip(batch.column("block").to_pylist(), batch.column("used").to_pylist()):
                 counters = held.setdefault(block, np.zeros(small, np.uint8))
-                coded = np.frombuffer(used, "<u4")
-                own = coded >> 1
-                counters[own] = np.minimum(counters[own] + 1 + (coded & 1).astype(np.uint8), 2)
+                own, twice = unpacked_cells(used, small)
+                counters[own] = np.minimum(counters[own] + 1 + twice, 2)
         for block, counters in held.items():
             yield {"block": [block], "used": [np.packbits(counters > 1).tobytes()]}
 

@@ -243,3 +243,16 @@ def test_merged_registers():
     made = near.registers(np.r_[np.sort(pool[:200]), np.sort(pool[100:])], np.array([0, 200, 400]))
     union = near.registers(np.sort(pool), np.array([0, 300]))
     assert (np.maximum(made[0], made[1]) == union[0]).all()
+
+
+def test_cells_of_a_sketch_take_two_bytes():
+    # Once four.
+    draw = np.random.default_rng(1)
+    for n in (64, 1 << 15, 1 << 20):
+        for share in (0.0, 0.01, 1.0):
+            own = np.flatnonzero(draw.random(n) < share)
+            twice = draw.random(len(own)) < 0.5
+            used = substring.packed_cells(own, twice, n)
+            back, flags = substring.unpacked_cells(used, n)
+            assert back.tolist() == own.tolist() and flags.tolist() == twice.tolist()
+            assert len(used) == 2 * len(own) + 4 * max(1, n >> 15)
