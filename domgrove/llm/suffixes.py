@@ -40,6 +40,8 @@ SIZE, GRAM = 100, 32
 END = b"\xff"
 MOST = 2000
 CHUNK = 1 << 19
+#: Bytes of texts whose runs are hashed together: the arrays of eight bytes a place stay in a core's cache.
+BLOCK = 1 << 17
 
 
 # The suffix array.
@@ -59,10 +61,10 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     n = len(text)
     change = np.flatnonzero(text[1:] != text[:-1])
     rises = text[change] < text[change + 1]
-    at = np.searchsorted(change, np.arange(n))
     out = np.zeros(n, bool)
-    inner = at < len(change)
-    out[inner] = rises[at[inner]]
+    # Equal bytes are as the last of their run; the run at the end is never smaller.
+    if len(change):
+        out[:change[-1] + 1] = np.repeat(rises, np.diff(change, prepend=-1))
     return out
 
 
@@ -216,8 +218,11 @@ def anchored(texts: list[bytes], size: int, gram: int):
 
 def anchors_seen(texts: list[bytes], size: int, gram: int) -> np.ndarray:
     """Hashes of the anchors of all strings, each place once."""
-    runs, least, inside, _ = anchored(texts, size, gram)
-    return runs[anchor_places(runs, least, inside, size - gram)]
+    found = [np.zeros(0, U)]
+    for a, b in in_blocks(texts, BLOCK):
+        runs, least, inside, _ = anchored(texts[a:b], size, gram)
+        found.append(runs[anchor_places(runs, least, inside, size - gram)])
+    return np.concatenate(found)
 
 
 def anchor_places(runs: np.ndarray, least: np.ndarray, inside: np.ndarray, reach: int) -> np.ndarray:
@@ -263,7 +268,7 @@ def segments_of(docs: DataFrame, sketch, size: int, gram: int, cells: int, held:
         for batch in batches:
             texts = texts_of(batch)
             place, mark = batch.column("place").to_pylist(), batch.column("mark").to_pylist()
-            for a, b in in_blocks(texts, CHUNK):
+            for a, b in in_blocks(texts, BLOCK):
                 own = texts[a:b]
                 keep, runs, least, begins = candidates(own, bits, cells, size, gram)
                 at = anchor_places(runs, least, keep, reach)
@@ -410,7 +415,7 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int =
         for batch in batches:
             texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
             lists = batch.column("firsts").to_pylist()
-            for a, b in in_blocks(texts, CHUNK):
+            for a, b in in_blocks(texts, BLOCK):
                 own = texts[a:b]
                 keep, _, _, begins = candidates(own, sketch.value, cells, size, gram)
                 for i, found in enumerate(lists[a:b]):

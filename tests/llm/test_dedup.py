@@ -16,6 +16,27 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: (brute.order(r[0]), r[1:]))
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text("abc", min_size=1, max_size=60))
+def test_suffixes_smaller_than_the_next(text):
+    raw = text.encode()
+    made = suffixes.smaller_than_next(np.frombuffer(raw, np.uint8)).tolist()
+    assert made == [raw[i:] < raw[i + 1:] for i in range(len(raw))]
+
+
+def test_anchors_by_small_blocks(monkeypatch):
+    # Once all texts at hand went through the arrays of eight bytes a place together, half a million and more.
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 99, 100, 3000, 7, 2500, 101, 9000, 400)]
+    whole = sorted(suffixes.anchors_seen(texts, 100, 32).tolist())
+    taken, anchored = [], suffixes.anchored
+    monkeypatch.setattr(suffixes, "anchored", lambda own, *more: (taken.append(own), anchored(own, *more))[1])
+    monkeypatch.setattr(suffixes, "BLOCK", 3000)
+    assert sorted(suffixes.anchors_seen(texts, 100, 32).tolist()) == whole
+    assert [t for own in taken for t in own] == texts and len(taken) > 1
+    assert all(len(own) == 1 or sum(map(len, own)) + len(own) - 1 <= 3000 for own in taken)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text("abc", min_size=1, max_size=300), st.sampled_from([16, 104]))
 def test_suffix_array(text, depth):
