@@ -17,7 +17,8 @@ buckets; what is left are pairs of different components in a bucket, which are l
 against block inside tasks. There nearly all that are not alike are told by a bit for each of many
 cells, the parity of how many shingles fall in it: two sets differ in no more bits than in shingles,
 so nothing is lost where too many bits differ. What is left leaves the task, once for each bucket it
-meets in; pairs that meet often enough are verified on full sets.
+meets in; pairs that meet often enough are verified on full sets. Links with centres go past the same
+bits before full sets are made for them.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ MOST = 8
 #: Verifying a pair costs as much as this share of a set's size in places of prefix lists.
 CHECK = 0.05
 #: Bits of parity of a set of up to LARGE shingles; twice as many for each time it is twice as large.
-PARITY, LARGE = 2048, 2000
+PARITY, LARGE = 256, 300
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
 
@@ -277,16 +278,43 @@ def across(mixed: DataFrame, odds: DataFrame, percent: int) -> DataFrame:
 
 
 def stars(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): each node with the centre of its buckets with which it shares most, if that is
-    enough. The centre of a bucket is its node with the largest buckets."""
+    """Pairs (a, b) and the `total` of their sizes: each node with the centre of its buckets with which
+    it shares most, if that is enough. The centre of a bucket is its node with the largest buckets."""
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     centres = (members.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n", "m")).alias("best"))
                .select("key", F.col("best.node").alias("centre"), F.col("best.n").alias("n_centre"), F.col("best.m").alias("m_centre")))
     shared = (members.join(centres, "key").filter("node != centre")
               .filter(100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre"))
-              .groupBy("node", "centre").agg(F.count("*").alias("shared"), F.min(F.least("m", "m_centre")).alias("least")))
-    best = shared.filter("shared >= least").groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("best"))
-    return best.select(F.least("node", "best.centre").alias("a"), F.greatest("node", "best.centre").alias("b")).distinct()
+              .groupBy("node", "centre").agg(F.count("*").alias("shared"), F.min(F.least("m", "m_centre")).alias("least"),
+                                             F.min(F.col("n") + F.col("n_centre")).alias("total")))
+    best = shared.filter("shared >= least").groupBy("node").agg(F.max(F.struct("shared", "centre", "total")).alias("best"))
+    return best.select(F.least("node", "best.centre").alias("a"), F.greatest("node", "best.centre").alias("b"), "best.total").distinct()
+
+
+def maybe_alike(pairs: DataFrame, odds: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of which the parities do not tell that they are not alike, so that full sets are
+    made and moved for few others than links. pairs has a, b and total; odds has node, odd and odd_next."""
+    joined = pairs
+    for side in "ab":
+        joined = joined.join(odds.select(F.col("node").alias(side), F.col("odd").alias(f"odd_{side}"),
+                                         F.col("odd_next").alias(f"next_{side}")), side)
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("total", "odd_a", "next_a", "odd_b", "next_b"))
+            for i, (total, x, next_x, y, next_y) in enumerate(zip(*columns)):
+                # Of neighbouring classes the smaller one has its bits as in the other class, too.
+                if len(x) < len(y):
+                    x = next_x
+                elif len(y) < len(x):
+                    y = next_y
+                differ = int.bit_count(int.from_bytes(x) ^ int.from_bytes(y))
+                if differ * (100 + percent) <= total * (100 - percent):
+                    keep.append(i)
+            yield {s: batch.column(s).take(pa.array(keep, pa.int64())) for s in "ab"}
+
+    return arrow_map(joined, run, "a binary, b binary")
 
 
 def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKETCH_CELLS) -> DataFrame:
@@ -307,7 +335,7 @@ def labelled(docs: DataFrame, size: int = 4, percent: int = 85, cells: int = SKE
     members = cut_lineage(placed.join(placed.groupBy("key").agg(F.count("*").alias("size"), F.max("is_home").alias("some")).filter("size > 1 AND some").drop("some"), "key"))
     forget(placed)
 
-    likely = cut_lineage(stars(members, percent))
+    likely = cut_lineage(maybe_alike(stars(members, percent), odds, percent))
     held = full_sets(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), nodes, docs, size)
     links = cut_lineage(verified(likely, held, percent))
     forget(likely, held)

@@ -1,5 +1,7 @@
 """The n-gram join against all pairs."""
 
+from functools import partial
+
 import brute
 import numpy as np
 import pytest
@@ -113,6 +115,25 @@ def test_around_one_passage(spark, monkeypatch, few_cells, block):
     assert got == expected(items) and len({r[2] for r in got}) > 2
 
 
+def test_full_sets_of_links_only(spark, monkeypatch, few_cells):
+    """Documents that share prefixes and are not alike are told by their parities, before full sets are made."""
+    asked, full_sets = [], ngram_join.full_sets
+
+    def counting(needed, *rest):
+        asked.append(needed.count())
+        return full_sets(needed, *rest)
+
+    monkeypatch.setattr(ngram_join, "full_sets", counting)
+    monkeypatch.setattr(ngram_join, "counted", partial(ngram_join.counted, counters=16))
+    items = [(2 * k + j, " ".join([f"c{k}w{i}" for i in range(60)] + [f"k{k}j{j}w{i}" for i in range(60)])) for k in range(30) for j in (0, 1)]
+    items += [(100 + j, " ".join([f"v{i}" for i in range(400)] + [f"j{j}w{i}" for i in range(20)])) for j in (0, 1)]
+    # One of the next class of sizes, with more bits.
+    items += [(200 + j, " ".join(f"u{i}" for i in range(285 + 45 * j))) for j in (0, 1)]
+    docs = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    assert found(docs, few_cells) == expected(items)
+    assert asked == [4, 0]
+
+
 def test_odd_rows(edges, empty, few_cells):
     rows = ngram_join.similar(edges, cells=few_cells).collect()
     assert len(rows) == edges.count()
