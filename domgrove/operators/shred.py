@@ -465,7 +465,17 @@ def shred(pages: DataFrame, partitions: int | None = None, clustered: bool = Fal
     else:
         # With a number given, Spark does not put parts together again by what they take when packed.
         spread = pages.repartition(*[n for n in [partitions or partitions_for(pages)] if n], "page_id")
-    found = _gather(_end_inline(_end_items(_scope_by_container(_pair_containers(_tags(spread))))))
+    return elements(blocks(spread))
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """The first half of a shred: tags with the container or item they stand in. Nothing is moved."""
+    return _end_items(_scope_by_container(_pair_containers(_tags(pages.select("page_id", "html")))))
+
+
+def elements(tags: DataFrame) -> DataFrame:
+    """The second half of a shred: the node table from what `blocks` gives."""
+    found = _gather(_end_inline(tags))
     siblings = W.partitionBy("page_id", "parent_id")
     same_tag = W.partitionBy("page_id", "parent_id", "tag")
     decoded = F.transform("pieces", lambda p: F.struct(

@@ -7,10 +7,10 @@ from uuid import uuid4
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from domgrove.operators.shred import partitions_for, shred
+from domgrove.operators.shred import blocks, elements, partitions_for, shred
 from domgrove.session import configure
 from domgrove.sources.pages import read_pages
-from domgrove.sources.tables import load_nodes, remove_folder, save_nodes, save_pages
+from domgrove.sources.tables import load_nodes, remove_folder, save_blocks, save_nodes, save_pages
 
 # By application and folder: the node table, the pages beside it, and names of saved tables.
 _tables: dict[tuple[str, str], tuple[DataFrame, DataFrame, list[str]]] = {}
@@ -33,9 +33,14 @@ def _made(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[
         if shared:
             buckets = partitions_for(pages) or int(spark.conf.get("spark.sql.shuffle.partitions"))
             names = [f"{kind}_{uuid4().hex}" for kind in ("pages", "nodes")]
+            half = f"blocks_{uuid4().hex}"
             save_pages(pages, names[0], f"{shared}/{names[0]}", buckets)
             pages = spark.table(names[0])
-            save_nodes(shred(pages, clustered=True), names[1], f"{shared}/{names[1]}", buckets)
+            # In two stages: a whole shred compiles 134 classes, and a session keeps 100 unless told
+            # otherwise, so that every task would compile most of them again.
+            save_blocks(blocks(pages), half, f"{shared}/{half}", buckets)
+            save_nodes(elements(spark.table(half)), names[1], f"{shared}/{names[1]}", buckets)
+            _drop(spark, half, f"{shared}/{half}")
             _tables[key] = load_nodes(spark, names[1]), pages, names
         else:
             _tables[key] = shred(pages).persist(StorageLevel.MEMORY_AND_DISK), pages, []
@@ -63,5 +68,9 @@ def release(spark: SparkSession) -> None:
         nodes, _, names = _tables.pop(key)
         nodes.unpersist()
         for name in names:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-            remove_folder(spark, f"{shared}/{name}")
+            _drop(spark, name, f"{shared}/{name}")
+
+
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove_folder(spark, path)

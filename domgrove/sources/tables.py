@@ -14,6 +14,12 @@ def save_pages(pages: DataFrame, name: str, path: str, buckets: int) -> None:
      .option("path", path).bucketBy(buckets, "page_id").saveAsTable(name))
 
 
+def save_blocks(tags: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Keep the first half of a shred, bucketed by page_id, so that the second one reads it in place."""
+    (tags.write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, "page_id").saveAsTable(name))
+
+
 def save_nodes(nodes: DataFrame, name: str, path: str, buckets: int) -> None:
     """Keep a node table, bucketed by page_id, so that rules read it without an exchange."""
     (nodes.write.mode("overwrite").format("parquet").option("path", path)

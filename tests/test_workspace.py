@@ -62,3 +62,23 @@ def test_buckets_grow_with_the_pages(spark, shared, monkeypatch):
     for name in workspace._tables[(spark.sparkContext.applicationId, FOLDER)][2]:
         described = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'")
         assert described.first().data_type == str(wanted)
+
+
+def test_node_table_in_two_stages(spark, shared, monkeypatch):
+    """The stage that writes the node table does not cut pages into tokens, too: a whole shred in one
+    stage compiles more classes than a session keeps. The table is what a shred gives."""
+    plans, save_nodes = [], workspace.save_nodes
+
+    def looked_at(nodes, *rest):
+        plans.append(nodes._jdf.queryExecution().executedPlan().toString())
+        save_nodes(nodes, *rest)
+
+    monkeypatch.setattr(workspace, "save_nodes", looked_at)
+    made = workspace.nodes_of(spark, FOLDER)
+    assert len(plans) == 1 and "regexp_extract_all(html" not in plans[0] and "Exchange" not in plans[0]
+    whole = shredding.shred(workspace.pages_of(spark, FOLDER))
+    assert made.columns == whole.columns
+    order = ["page_id", "node_id"]
+    assert made.orderBy(*order).collect() == whole.orderBy(*order).collect()
+    assert not any(n.startswith("blocks_") for n in os.listdir(shared))
+    assert not any(t.name.startswith("blocks_") for t in spark.catalog.listTables())
